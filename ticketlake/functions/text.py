@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space: Java's \s knows only the ASCII part.
+# Unicode white space as a character class (Java's \s knows only the ASCII part)
+# and, for trimming, as the characters themselves.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
-_EDGES = rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z"
+_INK = r"[^\s\x1c-\x1f\x85\p{Z}]"
+SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 MAX_CHARS = 2000
 TAIL_CHARS = 200
@@ -16,7 +18,12 @@ CUT_MARK = "\n[...]\n"
 
 def strip(col: Column) -> Column:
     """Drop Unicode white space at both ends (``trim`` knows only U+0020)."""
-    return F.regexp_replace(col, _EDGES, "")
+    return F.btrim(col, F.lit(SPACE_CHARS))
+
+
+def is_blank(col: Column) -> Column:
+    """True when ``strip`` would leave nothing; stops at the first visible character."""
+    return ~F.regexp_like(col, F.lit(_INK))
 
 
 def squeeze(col: Column) -> Column:

@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import flat_text, cap_length, language_code, none_if_empty, strip
+from ..functions.text import (
+    cap_length,
+    flat_text,
+    is_blank,
+    language_code,
+    none_if_empty,
+    strip,
+)
 from ..schemas import TARGET_LANGUAGES
 
 EMPTY_TEXT = "subject and body cannot both be empty"
@@ -36,31 +43,23 @@ def canonicalise(df: DataFrame, malformed: str | None = None) -> DataFrame:
         value = none_if_empty(F.col(name)) if has[name] else F.lit(None).cast("string")
         return value.alias(name)
 
-    flat = df.select(
+    subject, body = _text("subject", has["subject"]), _text("body", has["body"])
+    # The text rule is only looked at once the single fields are sound. Rules
+    # test the raw cells, so filtering on them never repeats the stripping.
+    error = (
+        F.when(F.col(malformed) if malformed else F.lit(False), BAD_ROW)
+        .when(is_blank(language), EMPTY_LANGUAGE)
+        .when(is_blank(subject) & is_blank(body), EMPTY_TEXT)
+    )
+    return df.select(
         *keep,
-        strip(_text("subject", has["subject"])).alias("subject"),
-        strip(_text("body", has["body"])).alias("body"),
-        strip(language).alias("language"),
+        strip(subject).alias("subject"),
+        strip(body).alias("body"),
+        language_code(strip(language)).alias("language"),
         label("queue"),
         label("priority"),
         label("type"),
-        (F.col(malformed) if malformed else F.lit(False)).alias("_malformed"),
-    )
-    # the text rule is only looked at once the single fields are sound
-    error = (
-        F.when(F.col("_malformed"), BAD_ROW)
-        .when(F.col("language") == "", EMPTY_LANGUAGE)
-        .when((F.col("subject") == "") & (F.col("body") == ""), EMPTY_TEXT)
-    )
-    return flat.withColumn("errors", F.array_compact(F.array(error))).select(
-        *keep,
-        "subject",
-        "body",
-        language_code(F.col("language")).alias("language"),
-        "queue",
-        "priority",
-        "type",
-        "errors",
+        F.array_compact(F.array(error)).alias("errors"),
     )
 
 
@@ -94,9 +93,10 @@ def filter_languages(df: DataFrame, languages=TARGET_LANGUAGES) -> DataFrame:
 
 def clean_text(df: DataFrame) -> DataFrame:
     """Add ``text`` (merged, squeezed, capped) and ``text_length``; drop empty texts."""
-    text = df.withColumn("text", flat_text(F.col("subject"), F.col("body")))
+    subject, body = F.col("subject"), F.col("body")
     return (
-        text.where(F.col("text") != "")
+        df.where(~(is_blank(subject) & is_blank(body)))
+        .withColumn("text", flat_text(subject, body))
         .withColumn("text", cap_length(F.col("text")))
         .withColumn("text_length", F.length("text"))
     )

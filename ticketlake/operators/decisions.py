@@ -73,14 +73,28 @@ def step_decision(
     )
 
 
+def with_text_figures(df: DataFrame) -> DataFrame:
+    """Replace ``text`` by text_snippet and text_length, all that results keep of it.
+
+    Done before any join, so that no shuffle carries whole texts.
+    """
+    return (
+        df.withColumn("text_snippet", snippet(F.col("text")))
+        .withColumn("text_length", F.length("text"))
+        .drop("text")
+    )
+
+
 def decide(scored: DataFrame, folded: DataFrame) -> DataFrame:
-    """Scored tickets (ticket_id, topic, urgency, ...) with their decision.
+    """Scored tickets (ticket_id, text, topic, urgency, ...) with their decision.
 
-    Tickets without any recorded step take the fallback. ``decision_error`` is
+    The text is reduced to text_snippet and text_length. Tickets without any recorded step take the fallback. ``decision_error`` is
     set, and the decision left null, where a valid step carried arguments no
     decision can be built from.
     """
     marks = F.array(F.lit(FALLBACK_MARK))
+    if "text" in scored.columns:
+        scored = with_text_figures(scored)
     joined = scored.join(folded, "ticket_id", "left").withColumn(
         "tools_used", F.coalesce("tools_used", marks)
     )
@@ -136,7 +150,7 @@ def assemble_results(decided: DataFrame, runtimes: DataFrame | None = None) -> D
         done = done.withColumn("runtime_seconds", F.lit(None).cast("double"))
     return done.select(
         "ticket_id",
-        snippet(F.col("text")).alias("text_snippet"),
+        "text_snippet",
         "topic",
         "topic_margin",
         "topic_all_scores",
@@ -149,7 +163,7 @@ def assemble_results(decided: DataFrame, runtimes: DataFrame | None = None) -> D
         "faq_topic",
         "tools_used",
         "runtime_seconds",
-        F.length("text").alias("text_length"),
+        "text_length",
         F.struct("queue", "priority", "type").alias("ground_truth"),
     )
 

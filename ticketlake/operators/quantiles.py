@@ -8,8 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _quantile_array(probs: Sequence[float]) -> Column:
-    return F.array(*(F.lit(float(p)) for p in probs))
+def value_weights(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Non-null values folded to (by..., value, _n)."""
+    known = df.where(F.col(value).isNotNull())
+    return known.groupBy(*by, value).agg(F.count("*").alias("_n"))
+
+
+def weighted_quantiles(value: str, probs: Sequence[float], weight: str = "_n") -> Column:
+    """Aggregate: exact quantiles of folded values, as an array of doubles."""
+    array = F.array(*(F.lit(float(p)) for p in probs))
+    return F.percentile(F.col(value), array, F.col(weight))
 
 
 def bounded_quantiles(
@@ -17,17 +25,11 @@ def bounded_quantiles(
 ) -> DataFrame:
     """One row per group with ``q``, the quantiles as an array of doubles.
 
-    For values from a small range, such as the length of a capped text: rows
-    are first folded to (value, count), so what reaches the exact percentile
-    is at most one row per distinct value.
+    For values from a small range, such as the length of a capped text: what
+    reaches the exact percentile is at most one row per distinct value.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count("*").alias("_n"))
-    )
-    q = F.percentile(F.col(value), _quantile_array(probs), F.col("_n"))
-    return counts.groupBy(*by).agg(q.alias("q"))
+    folded = value_weights(df, value, by)
+    return folded.groupBy(*by).agg(weighted_quantiles(value, probs).alias("q"))
 
 
 def exact_quantiles(
@@ -134,25 +136,43 @@ def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return left.join(renamed, cond).drop(*(f"_r_{k}" for k in keys))
 
 
-def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
+def histogram(
+    df: DataFrame, value: str, bins: int, bounded: bool = False
+) -> DataFrame:
     """Equal-width bins from minimum to maximum, the last one closed; empty ones count 0.
 
     Columns: bin (0-based), lower, upper, n. Equal values all fall in bin 0.
+    ``bounded`` values are folded to (value, count) first, so that finding the
+    range and filling the bins share one pass over the rows.
     """
-    x = F.col(value).cast("double")
     known = df.where(F.col(value).isNotNull())
-    span = known.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("s"))
-    lo, hi = span.scalar()["lo"], span.scalar()["hi"]
+    if bounded:
+        known = value_weights(df, value)
+    n = F.sum("_n") if bounded else F.count("*")
+    x = F.col(value).cast("double")
+    # n is not needed here; asking for it lets Spark reuse the folded rows' exchange
+    span = known.agg(
+        F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), n.alias("n"))
+    ).scalar()
+    lo, hi = F.col("_span.lo"), F.col("_span.hi")
     width = (hi - lo) / bins
     place = F.when(hi == lo, F.lit(0)).otherwise(
         F.least(F.floor((x - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
     )
-    counts = known.groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    counts = (
+        known.withColumn("_span", span)
+        .groupBy(place.cast("int").alias("_bin"))
+        .agg(n.alias("_n"), F.max("_span").alias("_span"))
+    )
+    heights = [
+        F.coalesce(F.sum(F.when(F.col("_bin") == i, F.col("_n"))), F.lit(0))
+        for i in range(bins)
+    ]
+    # equal values fill one bin, no values none
+    wanted = F.when(hi > lo, F.lit(bins)).when(hi == lo, F.lit(1)).otherwise(F.lit(0))
     return (
-        grid.join(counts, "bin", "left")
-        .select("bin", F.coalesce("n", F.lit(0)).alias("n"))
-        .where(lo.isNotNull() & ((F.col("bin") == 0) | (hi > lo)))
+        counts.agg(F.array(*heights).alias("_ns"), F.max("_span").alias("_span"))
+        .select("_span", F.posexplode(F.slice("_ns", F.lit(1), wanted)).alias("bin", "n"))
         .select(
             "bin",
             (lo + F.col("bin") * width).alias("lower"),

@@ -26,11 +26,8 @@ def _bucket(key: Column) -> Column:
     return F.substring(key, 1, _DIGITS)
 
 
-def lowest(df: DataFrame, n: int | Column, key: str, tie: str) -> DataFrame:
-    """The n rows with the smallest (key, tie); ``n`` may be a scalar subquery.
-
-    ``key`` is a hex-digest column.
-    """
+def lowest(df: DataFrame, n: int, key: str, tie: str) -> DataFrame:
+    """The n rows with the smallest (key, tie), where ``key`` is a hex digest."""
     counts = df.groupBy(_bucket(F.col(key)).alias("_b")).agg(F.count("*").alias("_n"))
     running = counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_b")))
     cut = (
@@ -39,7 +36,7 @@ def lowest(df: DataFrame, n: int | Column, key: str, tie: str) -> DataFrame:
         .select(
             F.struct(
                 F.col("c._b").alias("bucket"),
-                (n - (F.col("c._upto") - F.col("c._n"))).alias("need"),
+                (F.lit(n) - (F.col("c._upto") - F.col("c._n"))).alias("need"),
             )
         )
         .scalar()
@@ -60,45 +57,24 @@ def _as_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _lowest_per_stratum(
-    df: DataFrame, n: int, stratum: str, key: str, tie: str
-) -> tuple[DataFrame, int]:
-    """Flag (``_picked``) the ``n // strata`` smallest rows of every stratum."""
-    counts = stage(
-        df.where(F.col(stratum).isNotNull())
-        .groupBy(F.col(stratum).alias("_s"), _bucket(F.col(key)).alias("_b"))
-        .agg(F.count("*").alias("_n")),
-        "strata-counts",
-    )
-    strata = counts.agg(F.count_distinct("_s")).first()[0]
-    quota = n // max(strata, 1)
-    upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_b"))
-    cuts = stage(
-        counts.withColumn("_upto", upto)
-        .where(F.col("_upto") >= quota)
-        .groupBy("_s")
-        .agg(F.min(F.struct("_b", "_n", "_upto")).alias("c"))
-        .select(
-            "_s",
-            F.col("c._b").alias("_cut"),
-            (quota - (F.col("c._upto") - F.col("c._n"))).alias("_need"),
-        ),
-        "strata-cuts",
-    )
+def _flag_lowest(df: DataFrame, cuts: DataFrame, key: str, tie: str) -> DataFrame:
+    """Add ``_picked``: whether a row is within its stratum's quota.
+
+    ``cuts`` names, per stratum, the bucket its quota ends in and how many rows
+    of that bucket it still needs; strata without a cut are taken whole.
+    """
     placed = df.join(
-        _as_small(cuts, _BROADCAST_ROWS), F.col(stratum) == F.col("_s"), "left"
+        _as_small(cuts, _BROADCAST_ROWS), F.col("_stratum") == F.col("_s"), "left"
     ).withColumn("_b", _bucket(F.col(key)))
     # the boundary bucket of each stratum is the only part that is ranked
-    at_cut = F.col("_b") == F.col("_cut")
+    at_cut = F.coalesce(F.col("_b") == F.col("_cut"), F.lit(False))
     rank = F.row_number().over(Window.partitionBy("_s").orderBy(key, tie))
     edge = placed.where(at_cut).withColumn("_picked", rank <= F.col("_need"))
-    plain = placed.where(F.col("_cut").isNull() | ~at_cut).withColumn(
-        "_picked",
-        F.col(stratum).isNotNull()
-        & (F.col("_cut").isNull() | (F.col("_b") < F.col("_cut"))),
+    inside = F.col("_cut").isNull() | (F.col("_b") < F.col("_cut"))
+    plain = placed.where(~at_cut).withColumn(
+        "_picked", F.col("_stratum").isNotNull() & inside
     )
-    flagged = plain.unionByName(edge).drop("_s", "_b", "_cut", "_need")
-    return flagged, strata
+    return plain.unionByName(edge).drop("_s", "_b", "_cut", "_need")
 
 
 def stratified_ids(
@@ -114,26 +90,52 @@ def stratified_ids(
     then missing is drawn from all other rows, those without a stratum
     included. Without any stratum value the whole draw is unstratified.
     """
-    if stratum is not None and stratum in df.columns:
-        rows = df.select(
-            id_col,
-            F.col(stratum).alias("_stratum"),
-            sample_key(F.col(id_col), seed).alias("_key"),
-        )
-        flagged, strata = _lowest_per_stratum(rows, n, "_stratum", "_key", id_col)
-        if strata:
-            flagged = stage(flagged.select(id_col, "_picked"), "strata-picks")
-            picked = flagged.where("_picked").select(id_col)
-            rest = flagged.where("not _picked").select(
-                id_col, sample_key(F.col(id_col), f"{seed}:fill").alias("_key")
-            )
-            gap = n - picked.count()
-            if gap <= 0:
-                return picked
-            fill = lowest(rest, gap, "_key", id_col).select(id_col)
-            return picked.unionByName(fill)
-    rows = df.select(id_col, sample_key(F.col(id_col), seed).alias("_key"))
-    return lowest(rows, n, "_key", id_col).select(id_col)
+
+    def unstratified() -> DataFrame:
+        rows = df.select(id_col, sample_key(F.col(id_col), seed).alias("_key"))
+        return lowest(rows, n, "_key", id_col).select(id_col)
+
+    if stratum is None or stratum not in df.columns:
+        return unstratified()
+    rows = df.select(
+        id_col,
+        F.col(stratum).alias("_stratum"),
+        sample_key(F.col(id_col), seed).alias("_key"),
+    )
+    counts = stage(
+        rows.where(F.col("_stratum").isNotNull())
+        .groupBy(F.col("_stratum").alias("_s"), _bucket(F.col("_key")).alias("_b"))
+        .agg(F.count("*").alias("_n")),
+        "strata-counts",
+    )
+    sizes = counts.groupBy("_s").agg(F.sum("_n").alias("size"))
+    strata = sizes.count()
+    if strata == 0:
+        return unstratified()
+    quota = n // strata
+    upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_b"))
+    cuts = stage(
+        counts.withColumn("_upto", upto)
+        .where(F.col("_upto") >= quota)
+        .groupBy("_s")
+        .agg(F.min(F.struct("_b", "_n", "_upto")).alias("c"))
+        .select(
+            "_s",
+            F.col("c._b").alias("_cut"),
+            (quota - (F.col("c._upto") - F.col("c._n"))).alias("_need"),
+        ),
+        "strata-cuts",
+    )
+    flagged = _flag_lowest(rows, cuts, "_key", id_col)
+    gap = n - sizes.agg(F.sum(F.least("size", F.lit(quota)))).first()[0]
+    if gap == 0:
+        return flagged.where("_picked").select(id_col)
+    flagged = stage(flagged.select(id_col, "_picked"), "strata-picks")
+    rest = flagged.where("not _picked").select(
+        id_col, sample_key(F.col(id_col), f"{seed}:fill").alias("_key")
+    )
+    fill = lowest(rest, gap, "_key", id_col).select(id_col)
+    return flagged.where("_picked").select(id_col).unionByName(fill)
 
 
 def stratified_sample(

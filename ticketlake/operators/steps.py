@@ -79,7 +79,9 @@ def validate_steps(log: DataFrame) -> DataFrame:
 
     New columns: errors (empty when the step is valid), thought, tool,
     args_json, and for the decision: reasoning, questions, faq_topic,
-    args_error (a valid step whose arguments have the wrong type).
+    args_error (a valid step whose arguments have the wrong type). Stage the
+    result before filtering it: a filter on ``errors`` would be pushed below the
+    parsing and repeat it for every rule.
     """
     doc = log.withColumn("_doc", json_document(F.col("raw_json")))
     parts = (

@@ -17,16 +17,13 @@ def percent(part: Column, whole: Column) -> Column:
     return part * F.lit(100.0) / F.nullif(whole, F.lit(0))
 
 
-def value_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(col).agg(F.count("*").alias("n"))
+def _sum_where(condition: Column, col: str) -> Column:
+    """Sum of ``col`` over the rows that meet the condition, 0 if there are none."""
+    return F.coalesce(F.sum(F.when(condition, F.col(col))), F.lit(0))
 
 
-def _frame(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
-    """A constant frame (ord, col) of the listed values."""
-    rows = F.array(
-        *(F.struct(F.lit(i).alias("ord"), F.lit(v).alias(col)) for i, v in enumerate(values))
-    )
-    return df.sparkSession.range(1).select(F.inline(rows))
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    return df.groupBy(col).agg(F.count("*").alias("n"))
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:
@@ -41,31 +38,38 @@ def dense_distribution(df: DataFrame, col: str, values: Sequence[str]) -> DataFr
 
     Percentages are over the rows that have one of the values.
     """
-    counts = value_counts(df.where(F.col(col).isin(list(values))), col)
-    total = counts.agg(F.sum("n")).scalar()
-    return (
-        _frame(df, col, values)
-        .join(counts, col, "left")
-        .select("ord", col, F.coalesce("n", F.lit(0)).alias("n"))
-        .withColumn("pct", F.coalesce(percent(F.col("n"), total), F.lit(0.0)))
-        .orderBy("ord")
+    counts = value_counts(df, col)
+    rows = [
+        F.struct(
+            F.lit(i).alias("ord"),
+            F.lit(v).alias(col),
+            _sum_where(F.col(col) == v, "n").alias("n"),
+        )
+        for i, v in enumerate(values)
+    ]
+    listed = counts.agg(
+        F.array(*rows).alias("rows"),
+        _sum_where(F.col(col).isin(list(values)), "n").alias("total"),
+    )
+    return listed.select(F.inline("rows"), "total").select(
+        "ord", col, "n", F.coalesce(percent(F.col("n"), F.col("total")), F.lit(0.0)).alias("pct")
     )
 
 
 def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
-    """The k most frequent non-null values: n, pct of all rows, and n_more left out.
+    """The k most frequent non-null values: n, pct, and n_more values left out.
 
-    Ties go by value.
+    Ties go by value; percentages are over the rows that have a value.
     """
-    counts = value_counts(df, col)
-    total = counts.agg(F.sum("n")).scalar()
-    distinct = counts.agg(F.count(col)).scalar()
+    counts = value_counts(df.where(F.col(col).isNotNull()), col)
+    all_values = counts.agg(
+        F.struct(F.sum("n").alias("rows"), F.count(col).alias("values"))
+    ).scalar()
     return (
-        counts.where(F.col(col).isNotNull())
-        .orderBy(F.desc("n"), col)
+        counts.orderBy(F.desc("n"), col)
         .limit(k)
-        .withColumn("pct", percent(F.col("n"), total))
-        .withColumn("n_more", F.greatest(distinct - k, F.lit(0)))
+        .withColumn("pct", percent(F.col("n"), all_values["rows"]))
+        .withColumn("n_more", F.greatest(all_values["values"] - k, F.lit(0)))
     )
 
 
@@ -90,24 +94,24 @@ def crosstab(
     rows: Sequence[str],
     cols: Sequence[str],
     margins: bool = True,
+    weight: str | None = None,
 ) -> DataFrame:
     """Dense counts in fixed order: one column per listed value, 0 where empty.
 
     With margins a ``Total`` row and a ``total`` column over all counted rows
-    are added; a null row value is never counted.
+    are added; a null row value is never counted. ``weight`` names the count
+    column of rows that stand for several.
     """
-    pairs = (
-        df.where(F.col(row).isNotNull()).groupBy(row, col).agg(F.count("*").alias("n"))
-    )
-    cells = [F.sum(F.when(F.col(col) == v, F.col("n"))).alias(v) for v in cols]
-    cells.append(F.sum("n").alias("total"))
-    counted = pairs.rollup(row).agg(F.grouping(row).alias("_all"), *cells)
-    labelled = counted.withColumn(
-        row, F.when(F.col("_all") == 1, "Total").otherwise(F.col(row))
-    ).drop("_all")
-    wanted = [*rows, "Total"] if margins else list(rows)
-    dense = _frame(df, row, wanted).join(labelled, row, "left")
-    names = [*cols, "total"] if margins else list(cols)
-    return dense.select(
-        "ord", row, *(F.coalesce(c, F.lit(0)).alias(c) for c in names)
-    ).orderBy("ord")
+    n = F.sum(weight) if weight else F.count("*")
+    pairs = df.where(F.col(row).isNotNull()).groupBy(row, col).agg(n.alias("n"))
+
+    def line(i: int, label: str, of_row: Column) -> Column:
+        cells = [_sum_where(of_row & (F.col(col) == c), "n").alias(c) for c in cols]
+        if margins:
+            cells.append(_sum_where(of_row, "n").alias("total"))
+        return F.struct(F.lit(i).alias("ord"), F.lit(label).alias(row), *cells)
+
+    lines = [line(i, r, F.col(row) == r) for i, r in enumerate(rows)]
+    if margins:
+        lines.append(line(len(rows), "Total", F.lit(True)))
+    return pairs.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))

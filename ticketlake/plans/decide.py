@@ -25,7 +25,8 @@ def resolve(
     scored: DataFrame, step_log: DataFrame, runtimes: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(results, tickets whose step had unusable arguments)."""
-    folded = fold_turns(pick_attempts(validate_steps(step_log)))
+    steps = stage(validate_steps(step_log), "steps")
+    folded = fold_turns(pick_attempts(steps))
     decided = stage(decide(scored, folded), "decided")
     errors = decided.where(F.col("decision_error").isNotNull()).select(
         "ticket_id", "tools_used", "decision_error"

@@ -11,7 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import priority_urgency, queue_topic, urgency_ordinal
-from ..operators.quantiles import bounded_quantiles, exact_quantiles, histogram
+from ..operators.quantiles import (
+    bounded_quantiles,
+    exact_quantiles,
+    histogram,
+    value_weights,
+    weighted_quantiles,
+)
 from ..operators.tables import (
     crosstab,
     dense_distribution,
@@ -281,55 +287,100 @@ def length_by_action(frame: DataFrame) -> DataFrame:
 LENGTH_BUCKETS = ["short", "medium", "long"]
 
 
-def with_length_bucket(frame: DataFrame) -> DataFrame:
-    """Rows with a length, in buckets cut at the frame's own quartiles.
+# Capped texts have at most 2,007 lengths. The bucket reports fold the frame to
+# one row per length first; quartiles and buckets then come from those rows.
+
 
-    Adds bucket, q25, q75 and the display label.
+def _length_cuts(folded: DataFrame) -> Column:
+    """Quartiles [q25, q75] of rows folded by text_length, as a scalar.
+
+    The subquery also reads the other columns, so that Spark reuses the exchange
+    of the folded rows instead of folding the frame a second time.
     """
-    cuts = bounded_quantiles(frame, "text_length", [0.25, 0.75]).select("q").scalar()
-    length = F.col("text_length")
-    cut = (
-        frame.where(length.isNotNull())
-        .withColumn("q25", cuts[0])
-        .withColumn("q75", cuts[1])
-    )
-    low, high = F.col("q25").cast("int"), F.col("q75").cast("int")
-    return cut.withColumn(
-        "bucket",
-        F.when(length <= F.col("q25"), "short")
-        .when(length <= F.col("q75"), "medium")
-        .otherwise("long"),
-    ).withColumn(
-        "bucket_label",
-        F.when(F.col("bucket") == "short", F.format_string("short (<=%d)", low))
-        .when(
-            F.col("bucket") == "medium", F.format_string("medium (%d-%d)", low + 1, high)
+    others = [c for c in folded.columns if c not in ("text_length", "_n")]
+    return folded.agg(
+        F.struct(
+            weighted_quantiles("text_length", [0.25, 0.75]).alias("q"),
+            *(F.max(c).alias(c) for c in others),
         )
-        .otherwise(F.format_string("long (>%d)", high)),
+    ).scalar()["q"]
+
+
+def length_bucket(length: Column, cuts: Column) -> Column:
+    return (
+        F.when(length <= cuts[0], "short").when(length <= cuts[1], "medium").otherwise("long")
     )
 
 
 def length_bucket_actions(frame: DataFrame, margins: bool = True) -> DataFrame:
+    folded = value_weights(frame, "text_length", ["action"])
+    cut = folded.withColumn("_q", _length_cuts(folded))
     return crosstab(
-        with_length_bucket(frame), "bucket", "action", LENGTH_BUCKETS, ACTIONS, margins
+        cut.withColumn("bucket", length_bucket(F.col("text_length"), F.col("_q"))),
+        "bucket",
+        "action",
+        LENGTH_BUCKETS,
+        ACTIONS,
+        margins,
+        weight="_n",
     )
 
 
 def bucket_quality(frame: DataFrame) -> DataFrame:
-    """Agreement per length bucket, each figure over the rows that have it."""
-    counts = (
-        with_length_bucket(frame)
-        .groupBy("bucket", "bucket_label", "q25", "q75")
-        .agg(
-            F.count("mapped_topic").alias("n_topic"),
-            F.count_if(_topic_hit()).alias("n_topic_exact"),
-            F.count("mapped_urgency").alias("n_urgency"),
-            F.count_if(_urgency_hit()).alias("n_urgency_exact"),
-            F.avg("topic_margin").alias("mean_margin"),
+    """Agreement per length bucket, each figure over the rows that have it.
+
+    All three buckets are listed, with their cut points and display labels.
+    """
+    tallies = {
+        "_n": F.count("*"),
+        "n_topic": F.count("mapped_topic"),
+        "n_topic_exact": F.count_if(_topic_hit()),
+        "n_urgency": F.count("mapped_urgency"),
+        "n_urgency_exact": F.count_if(_urgency_hit()),
+        "_margins": F.count("topic_margin"),
+        "_margin_sum": F.sum("topic_margin"),
+    }
+    folded = (
+        frame.where(F.col("text_length").isNotNull())
+        .groupBy("text_length")
+        .agg(*(c.alias(n) for n, c in tallies.items()))
+    )
+    q = F.col("_q")
+    placed = folded.withColumn("_q", _length_cuts(folded)).withColumn(
+        "bucket", length_bucket(F.col("text_length"), q)
+    )
+    low, high = q[0].cast("int"), q[1].cast("int")
+    label = (
+        F.when(F.col("bucket") == "short", F.format_string("short (<=%d)", low))
+        .when(
+            F.col("bucket") == "medium", F.format_string("medium (%d-%d)", low + 1, high)
+        )
+        .otherwise(F.format_string("long (>%d)", high))
+    )
+
+    def in_bucket(name: str, col: str) -> Column:
+        return F.sum(F.when(F.col("bucket") == name, F.col(col)))
+
+    rows = [
+        F.struct(
+            F.lit(i).alias("ord"),
+            F.lit(b).alias("bucket"),
+            F.coalesce(in_bucket(b, "_n"), F.lit(0)).alias("n"),
+            *(F.coalesce(in_bucket(b, n), F.lit(0)).alias(n) for n in list(tallies)[1:5]),
+            (
+                in_bucket(b, "_margin_sum") / F.nullif(in_bucket(b, "_margins"), F.lit(0))
+            ).alias("mean_margin"),
         )
+        for i, b in enumerate(LENGTH_BUCKETS)
+    ]
+    listed = (
+        placed.agg(F.array(*rows).alias("rows"), F.max("_q").alias("_q"))
+        .select("_q", F.inline("rows"))
+        .select("*", label.alias("bucket_label"), q[0].alias("q25"), q[1].alias("q75"))
+        .drop("_q")
     )
     return _with_percent(
-        counts,
+        listed,
         ("topic_pct", "n_topic_exact", "n_topic"),
         ("urgency_pct", "n_urgency_exact", "n_urgency"),
     )

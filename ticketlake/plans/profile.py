@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.labels import has_explicit_topic, priority_urgency, queue_topic
 from ..functions.text import sample_label
 from ..operators.canonical import with_text_length
-from ..operators.quantiles import bounded_quantiles, histogram
+from ..operators.quantiles import (
+    bounded_quantiles,
+    histogram,
+    value_weights,
+    weighted_quantiles,
+)
 from ..operators.tables import (
     dense_distribution,
     distribution,
@@ -155,7 +160,7 @@ def mapping_coverage(df: DataFrame) -> DataFrame:
 
 
 def length_histogram(df: DataFrame, bins: int = 40) -> DataFrame:
-    return histogram(with_text_length(df), "text_length", bins)
+    return histogram(with_text_length(df), "text_length", bins, bounded=True)
 
 
 def length_box(df: DataFrame) -> DataFrame:
@@ -168,13 +173,15 @@ def length_box(df: DataFrame) -> DataFrame:
 
 
 def length_summary(df: DataFrame) -> DataFrame:
-    df = with_text_length(df)
-    q = bounded_quantiles(df, "text_length", [0.0, 0.25, 0.5, 0.75, 0.95, 1.0])
-    cuts = q.select("q").scalar()
-    names = ["min", "p25", "median", "p75", "p95", "max"]
-    return df.agg(
-        F.count("text_length").alias("n"), F.avg("text_length").alias("mean")
-    ).select("*", *(cuts[i].alias(n) for i, n in enumerate(names)))
+    """Rows, mean and quantiles of the text length."""
+    folded = value_weights(with_text_length(df), "text_length")
+    probs = {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "max": 1.0}
+    n, total = F.sum("_n"), F.sum(F.col("text_length") * F.col("_n"))
+    return folded.agg(
+        F.coalesce(n, F.lit(0)).alias("n"),
+        (total / n).alias("mean"),
+        weighted_quantiles("text_length", list(probs.values())).alias("q"),
+    ).select("n", "mean", *(F.col("q")[i].alias(p) for i, p in enumerate(probs)))
 
 
 def type_distribution(df: DataFrame) -> DataFrame:

@@ -701,8 +701,8 @@ def _top(name: str, source: str, col: str, k: int, where: str = "true", pct: boo
 SELECT * FROM (
   SELECT {col}, count(*) AS n{share},
          greatest((SELECT count(DISTINCT {col}) FROM {source} WHERE {where}) - {k}, 0) AS n_more
-  FROM {source} WHERE {where} GROUP BY {col})
-WHERE {col} IS NOT NULL ORDER BY n DESC, {col} LIMIT {k}
+  FROM {source} WHERE {where} AND {col} IS NOT NULL GROUP BY {col})
+ORDER BY n DESC, {col} LIMIT {k}
 """,
     )
 
@@ -851,18 +851,21 @@ _oracle(
     "bucket_quality",
     ["buckets"],
     f"""
-SELECT bucket,
-       CASE bucket WHEN 'short' THEN 'short (<=' || floor(q25)::INT || ')'
-                   WHEN 'medium' THEN 'medium (' || (floor(q25)::INT + 1) || '-' || floor(q75)::INT || ')'
-                   ELSE 'long (>' || floor(q75)::INT || ')' END AS bucket_label,
-       q25, q75, count(mapped_topic) AS n_topic,
+SELECT CAST(o.ord AS INT) AS ord, o.bucket,
+       CASE o.bucket WHEN 'short' THEN 'short (<=' || floor(c.q25)::INT || ')'
+                     WHEN 'medium' THEN 'medium (' || (floor(c.q25)::INT + 1) || '-' || floor(c.q75)::INT || ')'
+                     ELSE 'long (>' || floor(c.q75)::INT || ')' END AS bucket_label,
+       c.q25, c.q75, count(b.ticket_id) AS n, count(mapped_topic) AS n_topic,
        count(*) FILTER (WHERE predicted_topic = mapped_topic) AS n_topic_exact,
        count(mapped_urgency) AS n_urgency,
        count(*) FILTER (WHERE predicted_urgency = mapped_urgency) AS n_urgency_exact,
        round(avg(topic_margin), 6) AS mean_margin,
        {_pct('count(*) FILTER (WHERE predicted_topic = mapped_topic)', 'count(mapped_topic)')} AS topic_pct,
        {_pct('count(*) FILTER (WHERE predicted_urgency = mapped_urgency)', 'count(mapped_urgency)')} AS urgency_pct
-FROM buckets GROUP BY bucket, q25, q75
+FROM {_values(['short', 'medium', 'long'])} o(ord, bucket)
+CROSS JOIN (SELECT DISTINCT q25, q75 FROM buckets) c
+LEFT JOIN buckets b ON b.bucket = o.bucket
+GROUP BY o.ord, o.bucket, c.q25, c.q75
 """,
 )
 _oracle(

@@ -25,7 +25,7 @@ from ..plans import profile as prof
 from ..schemas import FILE_VERSIONS, TOPICS
 from ..sources import tables
 from ..sources.csv_files import CSV_OPTIONS, read_ticket_files
-from ..storage import new_folder
+from ..storage import new_folder, stage
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -333,8 +333,8 @@ def step_validation(spark, d):
 
 @query
 def retry_messages(spark, d):
-    steps = validate_steps(views.step_log(spark, d)).where(F.size("errors") > 0)
-    return steps.select(
+    steps = stage(validate_steps(views.step_log(spark, d)), "steps")
+    return steps.where(F.size("errors") > 0).select(
         "ticket_id", "turn", "attempt", req.retry_message(F.col("errors")).alias("retry")
     )
 

@@ -93,8 +93,10 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     )
     parts = _listing(spark, path).count()
     if parts <= 1:
-        # one file is one partition, so the running id is the row number
-        return cells.withColumn("row_index", F.col("_at")).drop("_at", "_part")
+        # one file is one partition, so the running id is the row number; all
+        # further work is spread over the cluster
+        rows = cells.withColumn("row_index", F.col("_at")).drop("_at", "_part")
+        return rows.hint("rebalance")
     # every part is read by one task in order; ids are frozen by staging
     cells = stage(cells, "csv-rows")
     sizes = cells.groupBy("_part").agg(
