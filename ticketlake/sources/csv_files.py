@@ -1,23 +1,23 @@
 """Ticket CSV files of known names, read into raw ticket rows.
 
 Each known name may be one file or a folder of part files, as Spark writes
-them. Fields can hold line breaks, so a single CSV file is one task; a version
-too large for that is stored as a folder, whose parts are read in parallel.
+them. Either way the content is cut into records in parallel.
 """
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import ticket_id
 from ..operators.canonical import canonicalise
 from ..schemas import FILE_VERSIONS, GERMAN_ONLY_FILES, HEADER_ALIASES
 from ..storage import stage
+from .csv_records import csv_records
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 BAD = "_bad_row"
@@ -69,6 +69,68 @@ def _normalised_header(columns: list[str]) -> list[str]:
     return names
 
 
+def _headers(records: DataFrame) -> dict[str, list[str]]:
+    """Normalised header per ``file``; all parts of a folder must have the same one."""
+    first = records.where("rec = 0").groupBy("file")
+    found = first.agg(F.min("record").alias("lo"), F.max("record").alias("hi")).collect()
+    headers = {}
+    for r in found:
+        if r.lo != r.hi:
+            raise ValueError(f"parts of {r.file} differ in their header")
+        (cells,) = csv.reader([r.lo.removeprefix("\ufeff")])
+        headers[r.file] = _normalised_header(cells)
+    return headers
+
+
+def _parse(records: DataFrame, offsets: DataFrame, names: list[str]) -> DataFrame:
+    """Records of one file as cells; ``offsets`` holds the data rows before each part."""
+    columns = [*(f"c{i}" for i in range(len(names))), BAD]
+    options = {"multiLine": "true", "quote": '"', "escape": '"'}
+    ddl = ", ".join(f"{c} string" for c in columns)
+    cells = F.from_csv("record", ddl, {**options, "columnNameOfCorruptRecord": BAD})
+    return (
+        records.where("rec > 0")
+        .join(offsets, "part")
+        .withColumn("_cells", cells)
+        .select(
+            *(F.col("_cells")[f"c{i}"].alias(n) for i, n in enumerate(names)),
+            F.col("_cells")[BAD].isNotNull().alias(BAD),
+            (F.col("rec") - 1 + F.col("before")).alias("row_index"),
+        )
+    )
+
+
+def _read(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """name -> rows of every file in ``paths``, all cut into records together."""
+    records, parts = csv_records(spark, list(paths.values()))
+    source = F.lit(None).cast("string")
+    for name, path in paths.items():
+        # a folder may be called differently from its file, so match on the path
+        under = path.rstrip("/").removeprefix("file://").removeprefix("file:")
+        hit = F.col("part").endswith(under) | F.contains("part", F.lit(under + "/"))
+        source = F.when(hit, name).otherwise(source)
+    records = stage(records.withColumn("file", source), "csv-records", "file")
+    # data rows of a part are all its records but the header
+    data_rows = F.col("records") - 1
+    earlier = F.sum(data_rows).over(Window.partitionBy("file").orderBy("part"))
+    offsets = stage(
+        parts.withColumn("file", source).withColumn("before", earlier - data_rows),
+        "csv-parts",
+    )
+    small = offsets.count() <= _BROADCAST_PARTS
+    headers = _headers(records)
+    rows = {}
+    for name in paths:
+        if name not in headers:
+            raise ValueError(f"{paths[name]} has no header")
+        own = F.col("file") == name
+        before = offsets.where(own).select("part", "before")
+        rows[name] = _parse(
+            records.where(own), F.broadcast(before) if small else before, headers[name]
+        )
+    return rows
+
+
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """All cells as strings under normalised names, with ``row_index`` and ``_bad_row``.
 
@@ -76,46 +138,10 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     of a folder in name order. Rows with more or fewer cells than the header
     are marked bad.
     """
-    header = spark.read.options(**CSV_OPTIONS).csv(path).columns
-    names = _normalised_header(header)
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(header))]
-    schema = T.StructType([*fields, T.StructField(BAD, T.StringType())])
-    cells = (
-        spark.read.schema(schema)
-        .options(**CSV_OPTIONS, columnNameOfCorruptRecord=BAD)
-        .csv(path)
-        .select(
-            *(F.col(f"c{i}").alias(n) for i, n in enumerate(names)),
-            F.col(BAD).isNotNull().alias(BAD),
-            F.col("_metadata.file_path").alias("_part"),
-            F.monotonically_increasing_id().alias("_at"),
-        )
-    )
-    parts = _listing(spark, path).count()
-    if parts <= 1:
-        # one file is one partition, so the running id is the row number; all
-        # further work is spread over the cluster
-        rows = cells.withColumn("row_index", F.col("_at")).drop("_at", "_part")
-        return rows.hint("rebalance")
-    # every part is read by one task in order; ids are frozen by staging
-    cells = stage(cells, "csv-rows")
-    sizes = cells.groupBy("_part").agg(
-        F.min("_at").alias("_first"), F.count("*").alias("_n")
-    )
-    earlier = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
-    offsets = sizes.select("_part", (earlier - F.col("_first")).alias("_shift"))
-    if parts <= _BROADCAST_PARTS:
-        offsets = F.broadcast(offsets)
-    return (
-        cells.join(offsets, "_part")
-        .withColumn("row_index", F.col("_at") + F.col("_shift"))
-        .drop("_at", "_part", "_shift")
-    )
+    return _read(spark, {path: path})[path]
 
 
-def read_ticket_file(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One known file as canonical rows: file, row_index, ticket_id, ..., errors."""
-    rows = read_rows(spark, path)
+def _canonical(rows: DataFrame, name: str) -> DataFrame:
     tagged = (
         rows.withColumn("file", F.lit(name))
         .withColumn("version", F.lit(FILE_VERSIONS[name]))
@@ -138,12 +164,17 @@ def read_ticket_file(spark: SparkSession, path: str, name: str) -> DataFrame:
     )
 
 
+def read_ticket_file(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One known file as canonical rows: file, row_index, ticket_id, ..., errors."""
+    return _canonical(read_rows(spark, path), name)
+
+
 def read_ticket_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Union of known files given as name -> path, in name order."""
-    parts = [read_ticket_file(spark, paths[n], n) for n in sorted(paths)]
-    if not parts:
+    """Known files given as name -> path, as one table in name order."""
+    if not paths:
         raise ValueError("no known ticket file found")
-    return reduce(DataFrame.unionByName, parts)
+    rows = _read(spark, paths)
+    return reduce(DataFrame.unionByName, [_canonical(rows[n], n) for n in sorted(paths)])
 
 
 def read_ticket_folder(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,12 +27,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/ticketlake/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The stored table keeps column pruning for the passes that follow and
     outlives lost executors.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
