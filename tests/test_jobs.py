@@ -4,11 +4,12 @@ import os
 
 from pyspark.sql import functions as F
 
+from ticketlake import jobs
 from ticketlake.operators.canonical import filter_languages
 from ticketlake.plans import decide, evaluate, prepare
 from ticketlake.plans.score import score_urgency
 from ticketlake.registry import views
-from ticketlake.schemas import FILE_VERSIONS, PREPARED, RESULT
+from ticketlake.schemas import FILE_VERSIONS, PREPARED, RESULT, TOPICS
 from ticketlake.sources import tables
 from ticketlake.storage import shared_folder, stage
 
@@ -100,3 +101,31 @@ def test_resolve_rejects_nothing_silently(spark):
 def test_language_filter_keeps_only_targets(spark):
     kept = filter_languages(views.valid(spark, SF_DIR))
     assert {r.language for r in kept.select("language").distinct().collect()} == {"en", "de"}
+
+
+def test_command_line_jobs(spark, tmp_path):
+    _ticket_folder(tmp_path)
+    at = lambda name: f"{tmp_path}/out/{name}"
+    jobs.main(["prepare", "--folder", str(tmp_path), "--out", at("sample"), "--rejected-out", at("rejected"), "--n", "30"])
+    ids = spark.read.parquet(at("sample")).select("ticket_id")
+    vector = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.sin(i * (F.col("ticket_id") % 17)).cast("float"))
+    ids.select("ticket_id", vector.alias("embedding")).write.parquet(at("vectors"))
+    unit = [(t, [1.0 if i == j else 0.0 for j in range(5)]) for i, t in enumerate(TOPICS)]
+    spark.createDataFrame(unit, "topic string, anchor array<float>").write.parquet(at("anchors"))
+    ids.select("ticket_id", F.lit(0.4).alias("zs_score")).write.parquet(at("zs"))
+    jobs.main(["score", "--sample", at("sample"), "--vectors", at("vectors"), "--anchors", at("anchors"),
+               "--classifier-scores", at("zs"), "--out", at("scored"), "--n", "20"])
+    scored = spark.read.parquet(at("scored"))
+    assert scored.count() == 20 and scored.where("urgency is null or topic is null").count() == 0
+    (tmp_path / "system.txt").write_text("Route tickets.")
+    jobs.main(["requests", "--scored", at("scored"), "--system", str(tmp_path / "system.txt"), "--out", at("requests")])
+    assert spark.read.parquet(at("requests")).count() == 20
+    reply = F.lit('{"thought": "t", "tool": "faq", "args": {"reasoning": "how-to"}}')
+    scored.limit(12).select("ticket_id", F.lit(1).alias("turn"), F.lit(1).alias("attempt"), reply.alias("raw_json")).write.json(at("steps"))
+    jobs.main(["decide", "--scored", at("scored"), "--steps", at("steps"), "--out", at("results")])
+    results = tables.read_results(spark, at("results"))
+    assert results.where("action = 'FAQ' and reasoning = 'how-to'").count() == 12 and results.count() == 20
+    jobs.main(["evaluate", "--results", at("results"), "--out", at("reports")])
+    assert spark.read.json(at("reports/fallback_rate")).first().n_fallback == 8
+    jobs.main(["profile", "--sample", at("sample"), "--out", at("stats"), "--languages", "en"])
+    assert spark.read.json(at("stats/kpis")).first().n_languages == 1

@@ -87,5 +87,5 @@ def urgency_level(score: Column) -> Column:
     return (
         F.when(score >= URGENCY_HIGH, "high")
         .when(score >= URGENCY_MEDIUM, "medium")
-        .otherwise("low")
+        .when(score.isNotNull(), "low")
     )

@@ -13,6 +13,7 @@ from ..schemas import (
     FALLBACK_REASONS,
     LOOP_BREAK_MARK,
     NO_REASONING,
+    TOPICS,
 )
 
 MAX_REASONING = 200
@@ -170,10 +171,15 @@ def assemble_results(decided: DataFrame, runtimes: DataFrame | None = None) -> D
 
 def comparison_view(results: DataFrame) -> DataFrame:
     """Prediction next to the labels, one row per ticket."""
+    declared = F.array(*(F.lit(t) for t in TOPICS))
     ranked = F.array_sort(
         F.transform(
             F.map_entries("topic_all_scores"),
-            lambda e: F.struct((-e["value"]).alias("neg"), e["key"].alias("topic")),
+            lambda e: F.struct(
+                (-e["value"]).alias("neg"),
+                F.array_position(declared, e["key"]).alias("ord"),
+                e["key"].alias("topic"),
+            ),
         )
     )
     top = F.array_join(

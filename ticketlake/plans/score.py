@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.topic import anchor_matrix, cosine_scores, with_topic
 from ..functions.urgency import signal_score, signals, urgency_level, urgency_score
+from ..operators.decisions import with_text_figures
 from ..schemas import TOPIC_DESCRIPTIONS, URGENCY_WORDS
 
 
@@ -32,6 +33,20 @@ def score_topics(
     return with_topic(df.withColumn("topic_scores", scores(vector)).drop(vector))
 
 
+def with_signals(
+    df: DataFrame, lexicon: Sequence[str] = URGENCY_WORDS, text: str = "text"
+) -> DataFrame:
+    return df.withColumn("signals_found", signals(F.col(text), lexicon))
+
+
+def with_urgency(df: DataFrame, classifier: Column) -> DataFrame:
+    """Add urgency_score and urgency to rows that have signals_found."""
+    score = urgency_score(signal_score(F.col("signals_found")), classifier)
+    return df.withColumn("urgency_score", score).withColumn(
+        "urgency", urgency_level(F.col("urgency_score"))
+    )
+
+
 def score_urgency(
     df: DataFrame,
     classifier: Column,
@@ -39,10 +54,32 @@ def score_urgency(
     text: str = "text",
 ) -> DataFrame:
     """Add signals_found, urgency_score and urgency; ``classifier`` is in [0, 1]."""
-    return (
-        df.withColumn("signals_found", signals(F.col(text), lexicon))
-        .withColumn(
-            "urgency_score", urgency_score(signal_score(F.col("signals_found")), classifier)
-        )
-        .withColumn("urgency", urgency_level(F.col("urgency_score")))
+    return with_urgency(with_signals(df, lexicon, text), classifier)
+
+
+def score(
+    tickets: DataFrame,
+    vectors: DataFrame,
+    anchors: DataFrame,
+    classifier_scores: DataFrame,
+    lexicon: Sequence[str] = URGENCY_WORDS,
+    keep_text: bool = False,
+) -> DataFrame:
+    """Prepared tickets with topic and urgency.
+
+    ``vectors`` is (ticket_id, embedding), ``classifier_scores`` (ticket_id,
+    zs_score). Tickets without a vector count as Other. All that depends on the
+    text is computed before the joins; unless ``keep_text`` is set, only
+    text_snippet and text_length go through them. Each input is shuffled once,
+    by ticket_id, and the decide job's joins use the same partitioning.
+    """
+    own = with_signals(tickets, lexicon)
+    if not keep_text:
+        own = with_text_figures(own)
+    joined = own.join(classifier_scores, "ticket_id", "left").join(
+        score_topics(vectors, anchors), "ticket_id", "left"
+    )
+    topic = F.coalesce("topic", F.lit("Other"))
+    return with_urgency(joined.withColumn("topic", topic), F.col("zs_score")).drop(
+        "zs_score"
     )

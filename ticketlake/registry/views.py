@@ -14,7 +14,7 @@ from ..operators.canonical import canonicalise, clean_text, valid_rows
 from ..operators.decisions import assemble_results, decide
 from ..operators.steps import fold_turns
 from ..plans.evaluate import eval_frame
-from ..plans.score import score_topics, score_urgency
+from ..plans.score import score, score_topics, with_signals, with_urgency
 
 # Words that occur in the documents; the built-in lexicon does not.
 LEXICON = ["the", "and", "under", "der", "und", "que", "para"]
@@ -100,26 +100,33 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_text(valid(spark, sf_dir))
 
 
-def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ticket_id, topic, topic_margin, topic_all_scores of every vector."""
-    vectors = table(spark, sf_dir, "embeddings").select(
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("ticket_id"), "embedding"
     )
-    return score_topics(vectors, view(spark, sf_dir, "topic_anchors"))
+
+
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ticket_id, topic, topic_margin, topic_all_scores of every vector."""
+    return score_topics(vectors(spark, sf_dir), view(spark, sf_dir, "topic_anchors"))
 
 
 def urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared tickets with signals_found, urgency_score and urgency."""
-    text = prepared(spark, sf_dir).join(view(spark, sf_dir, "zs_scores"), "ticket_id")
-    return score_urgency(text, F.col("zs_score"), LEXICON).drop("zs_score")
+    found = with_signals(prepared(spark, sf_dir), LEXICON)
+    joined = found.join(view(spark, sf_dir, "zs_scores"), "ticket_id")
+    return with_urgency(joined, F.col("zs_score")).drop("zs_score")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, keep_text: bool = True) -> DataFrame:
     """Prepared tickets with topic and urgency; Other where there is no vector."""
-    return (
-        urgent(spark, sf_dir)
-        .join(topics(spark, sf_dir), "ticket_id", "left")
-        .withColumn("topic", F.coalesce("topic", F.lit("Other")))
+    return score(
+        prepared(spark, sf_dir),
+        vectors(spark, sf_dir),
+        view(spark, sf_dir, "topic_anchors"),
+        view(spark, sf_dir, "zs_scores"),
+        LEXICON,
+        keep_text,
     )
 
 
@@ -128,7 +135,7 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide(scored(spark, sf_dir), folded(spark, sf_dir))
+    return decide(scored(spark, sf_dir, keep_text=False), folded(spark, sf_dir))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
