@@ -55,10 +55,11 @@ def test_stray_quotes_do_not_shift_records(spark, tmp_path, blocks):
     path = tmp_path / "t.csv"
     path.write_text(text)
     want = [r[0] for r in csv.reader(io.StringIO(text, newline=""))]
-    records, parts = csv_records(spark, [str(path)])
-    got = [r.record.split(",")[0] for r in records.orderBy("rec").collect()]
+    cut = csv_records(spark, [str(path)])
+    got = [r.record.split(",")[0] for r in cut.records.orderBy("rec").collect()]
     assert got == want
-    assert [r.records for r in parts.collect()] == [121]
+    assert [r.records for r in cut.parts.collect()] == [121]
+    assert [r.record for r in cut.headers.collect()] == ["h1,h2"]
 
 
 def test_several_files_at_once(spark, tmp_path, blocks):
@@ -66,10 +67,10 @@ def test_several_files_at_once(spark, tmp_path, blocks):
     for i, n in enumerate([0, 1, 40]):
         texts[f"{i}.csv"] = _random_csv(i, n)
         (tmp_path / f"{i}.csv").write_text(texts[f"{i}.csv"], newline="")
-    records, parts = csv_records(spark, [str(tmp_path)])
-    counts = {r.part.rsplit("/", 1)[1]: r.records for r in parts.collect()}
+    cut = csv_records(spark, [str(tmp_path)])
+    counts = {r.part.rsplit("/", 1)[1]: r.records for r in cut.parts.collect()}
     assert counts == {"0.csv": 1, "1.csv": 2, "2.csv": 41}
-    assert records.count() == 44
+    assert cut.records.count() == 44
 
 
 def test_file_ending_inside_a_cell_is_an_error(spark, tmp_path, blocks):
@@ -96,5 +97,4 @@ def test_parts_with_different_headers_are_refused(spark, tmp_path):
 def test_a_long_line_needs_no_recursion(spark, tmp_path):
     cell = '""' * 30000 + "," * 30000
     (tmp_path / "t.csv").write_text(f'a,b\n1,"{cell}"\n2,{"x" * 50000}\n' + "," * 40000 + '"open\nclosed"\n')
-    records, _ = csv_records(spark, [str(tmp_path / "t.csv")])
-    assert records.count() == 4
+    assert csv_records(spark, [str(tmp_path / "t.csv")]).records.count() == 4

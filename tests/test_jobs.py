@@ -11,7 +11,7 @@ from ticketlake.plans.score import score_urgency
 from ticketlake.registry import views
 from ticketlake.schemas import FILE_VERSIONS, PREPARED, RESULT, TOPICS
 from ticketlake.sources import tables
-from ticketlake.storage import shared_folder, stage
+from ticketlake.storage import clear, shared_folder, stage
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -88,6 +88,10 @@ def test_staged_tables_are_stored(spark):
     df = stage(spark.range(5), "ids")
     assert f"{shared_folder(spark)}/ticketlake/ids-" in df.inputFiles()[0]
     assert sorted(r.id for r in df.collect()) == list(range(5))
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    clear(spark)
+    assert not os.path.exists(folder)
 
 
 def test_resolve_rejects_nothing_silently(spark):

@@ -50,9 +50,9 @@ def signals(text: Column, lexicon: Sequence[str] = URGENCY_WORDS) -> Column:
 
     def pattern(entries: Sequence[str]) -> str:
         # looking at the first letter before the word edge rules most places out
-        initials = "|".join(sorted({re.escape(e[0]) for e in entries}))
+        initials = "".join(sorted({re.escape(e[0]) for e in entries}))
         body = "|".join(re.escape(e).replace(r"\ ", " ") for e in entries)
-        return f"(?={initials}){_NOT_AFTER}(?:{body}){_NOT_BEFORE}"
+        return f"(?=[{initials}]){_NOT_AFTER}(?:{body}){_NOT_BEFORE}"
 
     found = []
     if together:

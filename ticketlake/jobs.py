@@ -24,6 +24,7 @@ from .plans import decide, evaluate, prepare, profile
 from .plans.score import score
 from .schemas import STEP_LOG
 from .sources.tables import read_prepared, read_results
+from .storage import clear
 
 
 def _save(reports: dict[str, DataFrame], out: str) -> None:
@@ -110,7 +111,10 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("ticketlake").getOrCreate()
-    args.run(spark, args)
+    try:
+        args.run(spark, args)
+    finally:
+        clear(spark)
 
 
 if __name__ == "__main__":

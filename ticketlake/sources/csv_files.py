@@ -7,15 +7,20 @@ them. Either way the content is cut into records in parallel.
 from __future__ import annotations
 
 import csv
-from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.labels import lookup
 from ..functions.text import ticket_id
 from ..operators.canonical import canonicalise
-from ..schemas import FILE_VERSIONS, GERMAN_ONLY_FILES, HEADER_ALIASES
+from ..schemas import (
+    FILE_VERSIONS,
+    GERMAN_ONLY_FILES,
+    HEADER_ALIASES,
+    TICKET_COLUMNS,
+)
 from ..storage import stage
 from .csv_records import csv_records
 
@@ -69,66 +74,90 @@ def _normalised_header(columns: list[str]) -> list[str]:
     return names
 
 
-def _headers(records: DataFrame) -> dict[str, list[str]]:
-    """Normalised header per ``file``; all parts of a folder must have the same one."""
-    first = records.where("rec = 0").groupBy("file")
-    found = first.agg(F.min("record").alias("lo"), F.max("record").alias("hi")).collect()
-    headers = {}
-    for r in found:
+def _file_of(part: Column, paths: dict[str, str]) -> Column:
+    """Name of the file a part belongs to; a folder may be called differently."""
+    name = F.lit(None).cast("string")
+    for file, path in paths.items():
+        under = path.rstrip("/").removeprefix("file://").removeprefix("file:")
+        hit = part.endswith(under) | F.contains(part, F.lit(under + "/"))
+        name = F.when(hit, file).otherwise(name)
+    return name
+
+
+def _headers(headers: DataFrame, paths: dict[str, str]) -> dict[str, list[str]]:
+    """Normalised header per file; all parts of a folder must have the same one."""
+    found = (
+        headers.groupBy(_file_of(F.col("part"), paths).alias("file"))
+        .agg(F.min("record").alias("lo"), F.max("record").alias("hi"))
+        .collect()
+    )
+    names = {}
+    for r in found:  # one row per file
         if r.lo != r.hi:
             raise ValueError(f"parts of {r.file} differ in their header")
         (cells,) = csv.reader([r.lo.removeprefix("\ufeff")])
-        headers[r.file] = _normalised_header(cells)
-    return headers
+        names[r.file] = _normalised_header(cells)
+    for file in paths:
+        if file not in names:
+            raise ValueError(f"{paths[file]} has no header")
+    return names
 
 
-def _parse(records: DataFrame, offsets: DataFrame, names: list[str]) -> DataFrame:
-    """Records of one file as cells; ``offsets`` holds the data rows before each part."""
+def _cells(names: list[str], wanted: list[str]) -> Column:
+    """The wanted columns of ``record`` and whether it fits the header, as a struct."""
     columns = [*(f"c{i}" for i in range(len(names))), BAD]
     options = {"multiLine": "true", "quote": '"', "escape": '"'}
     ddl = ", ".join(f"{c} string" for c in columns)
-    cells = F.from_csv("record", ddl, {**options, "columnNameOfCorruptRecord": BAD})
-    return (
-        records.where("rec > 0")
-        .join(offsets, "part")
-        .withColumn("_cells", cells)
-        .select(
-            *(F.col("_cells")[f"c{i}"].alias(n) for i, n in enumerate(names)),
-            F.col("_cells")[BAD].isNotNull().alias(BAD),
-            (F.col("rec") - 1 + F.col("before")).alias("row_index"),
+    row = F.from_csv("record", ddl, {**options, "columnNameOfCorruptRecord": BAD})
+
+    def pick(cells: Column) -> Column:
+        known = {n: cells[f"c{i}"] for i, n in enumerate(names)}
+        none = F.lit(None).cast("string")
+        return F.struct(
+            *(known.get(n, none).alias(n) for n in wanted),
+            cells[BAD].isNotNull().alias(BAD),
         )
-    )
 
+    # through a lambda, so that a record is parsed once and not once per column
+    return F.transform(F.array(row), pick)[0]
 
-def _read(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """name -> rows of every file in ``paths``, all cut into records together."""
-    records, parts = csv_records(spark, list(paths.values()))
-    source = F.lit(None).cast("string")
-    for name, path in paths.items():
-        # a folder may be called differently from its file, so match on the path
-        under = path.rstrip("/").removeprefix("file://").removeprefix("file:")
-        hit = F.col("part").endswith(under) | F.contains("part", F.lit(under + "/"))
-        source = F.when(hit, name).otherwise(source)
-    records = stage(records.withColumn("file", source), "csv-records", "file")
+
+def _read(
+    spark: SparkSession, paths: dict[str, str], wanted: list[str] | None = None
+) -> DataFrame:
+    """file, row_index, the wanted columns and ``_bad_row`` of all files in one pass.
+
+    Without ``wanted`` all columns of the first file are read.
+    """
+    cut = csv_records(spark, list(paths.values()))
+    headers = _headers(cut.headers, paths)
+    wanted = wanted or headers[next(iter(paths))]
     # data rows of a part are all its records but the header
     data_rows = F.col("records") - 1
     earlier = F.sum(data_rows).over(Window.partitionBy("file").orderBy("part"))
     offsets = stage(
-        parts.withColumn("file", source).withColumn("before", earlier - data_rows),
+        cut.parts.withColumn("file", _file_of(F.col("part"), paths)).withColumn(
+            "before", earlier - data_rows
+        ),
         "csv-parts",
     )
-    small = offsets.count() <= _BROADCAST_PARTS
-    headers = _headers(records)
-    rows = {}
-    for name in paths:
-        if name not in headers:
-            raise ValueError(f"{paths[name]} has no header")
-        own = F.col("file") == name
-        before = offsets.where(own).select("part", "before")
-        rows[name] = _parse(
-            records.where(own), F.broadcast(before) if small else before, headers[name]
+    if offsets.count() <= _BROADCAST_PARTS:
+        offsets = F.broadcast(offsets)
+    cells = None
+    for file, names in headers.items():
+        parsed = _cells(names, wanted)
+        is_file = F.col("file") == file
+        cells = F.when(is_file, parsed) if cells is None else cells.when(is_file, parsed)
+    return (
+        cut.records.where("rec > 0")
+        .join(offsets.drop("records"), "part")
+        .withColumn("_cells", cells)
+        .select(
+            "file",
+            (F.col("rec") - 1 + F.col("before")).alias("row_index"),
+            *(F.col("_cells")[n].alias(n) for n in [*wanted, BAD]),
         )
-    return rows
+    )
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -138,43 +167,32 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     of a folder in name order. Rows with more or fewer cells than the header
     are marked bad.
     """
-    return _read(spark, {path: path})[path]
+    return _read(spark, {path: path}).drop("file")
+
 
+def read_ticket_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Known files, given as name -> path, as one table of canonical rows.
 
-def _canonical(rows: DataFrame, name: str) -> DataFrame:
-    tagged = (
-        rows.withColumn("file", F.lit(name))
-        .withColumn("version", F.lit(FILE_VERSIONS[name]))
-        .withColumn("ticket_id", ticket_id(F.lit(name), F.col("row_index")))
+    Columns: file, row_index, ticket_id, the ticket's fields, errors.
+    """
+    if not paths:
+        raise ValueError("no known ticket file found")
+    file, row_index = F.col("file"), F.col("row_index")
+    language = F.when(file.isin(GERMAN_ONLY_FILES), "de").otherwise(F.col("language"))
+    rows = (
+        _read(spark, paths, [c for c in TICKET_COLUMNS if c != "version"])
+        .withColumn("language", language)
+        .withColumn("version", lookup(FILE_VERSIONS, file))
+        .withColumn("ticket_id", ticket_id(file, row_index))
     )
-    if name in GERMAN_ONLY_FILES:
-        tagged = tagged.withColumn("language", F.lit("de"))
-    return canonicalise(tagged, malformed=BAD).select(
-        "file",
-        "row_index",
-        "ticket_id",
-        "subject",
-        "body",
-        "language",
-        "version",
-        "queue",
-        "priority",
-        "type",
-        "errors",
+    return canonicalise(rows, malformed=BAD).select(
+        "file", "row_index", "ticket_id", *TICKET_COLUMNS, "errors"
     )
 
 
 def read_ticket_file(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One known file as canonical rows: file, row_index, ticket_id, ..., errors."""
-    return _canonical(read_rows(spark, path), name)
-
-
-def read_ticket_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Known files given as name -> path, as one table in name order."""
-    if not paths:
-        raise ValueError("no known ticket file found")
-    rows = _read(spark, paths)
-    return reduce(DataFrame.unionByName, [_canonical(rows[n], n) for n in sorted(paths)])
+    """One known file as canonical rows."""
+    return read_ticket_files(spark, {name: path})
 
 
 def read_ticket_folder(spark: SparkSession, folder: str) -> DataFrame:

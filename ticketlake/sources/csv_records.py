@@ -12,6 +12,7 @@ state each block really has, and how many records come before it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -146,38 +147,77 @@ def _block_offsets(lines: DataFrame) -> DataFrame:
     )
 
 
-def csv_records(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(records, parts) of CSV files.
+def _numbered(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """part, rec, line: the lines of every record, blank lines between records left out."""
+    inside = F.when(F.col("opening"), F.col("in_1")).otherwise(F.col("in_0"))
+    number = F.when(F.col("opening"), F.col("n_1")).otherwise(F.col("n_0"))
+    return (
+        lines.join(blocks, ["part", "block"])
+        .where(inside | ~F.col("blank"))
+        .select(
+            "part",
+            (F.col("before") + number - 1).alias("rec"),
+            F.struct("block", "at", "value").alias("line"),
+        )
+    )
+
+
+def _assembled(numbered: DataFrame) -> DataFrame:
+    """part, rec, record"""
+    text = F.array_join(
+        F.transform(F.array_sort(F.collect_list("line")), lambda x: x["value"]), "\n"
+    )
+    return numbered.groupBy("part", "rec").agg(
+        F.regexp_replace(text, r"\r\z", "").alias("record")
+    )
+
+
+@dataclass
+class CsvRecords:
+    """Records of CSV files.
 
     ``records`` is (part, rec, record): the text of each record and its number
-    in its file from 0, the header. ``parts`` is (part, records). Blank lines
-    between records are skipped. A file that ends inside a quoted cell is an
-    error.
+    in its file from 0, the header. ``headers`` holds the records numbered 0.
+    ``parts`` is (part, records), the number of records per file.
+    """
+
+    records: DataFrame
+    headers: DataFrame
+    parts: DataFrame
+
+
+def csv_records(spark: SparkSession, paths: Sequence[str]) -> CsvRecords:
+    """Cut files, or folders of files, into records.
+
+    Blank lines between records are skipped. A file that ends inside a quoted
+    cell is an error.
     """
     lines = stage(_described_lines(spark, paths), "csv-lines")
     blocks = stage(_block_offsets(lines), "csv-blocks")
     seen = (
         blocks.groupBy("part")
-        .agg(F.count("*").alias("n"), F.max_by("ends_open", "block").alias("open"))
-        .agg(F.sum("n").alias("n"), F.max(F.when(F.col("open"), F.col("part"))).alias("open"))
+        .agg(
+            F.count("*").alias("n"),
+            F.max_by("ends_open", "block").alias("open"),
+            F.max(F.when(F.col("before") <= 1, F.col("block"))).alias("head"),
+        )
+        .agg(
+            F.sum("n").alias("n"),
+            F.max(F.when(F.col("open"), F.col("part"))).alias("open"),
+            F.max("head").alias("head"),
+        )
         .first()
     )
     if seen.open:
         raise ValueError(f"{seen.open} ends inside a quoted cell")
+    parts = blocks.select("part", "records").distinct()
     if (seen.n or 0) <= _BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
-    joined = lines.join(blocks, ["part", "block"])
-    inside = F.when(F.col("opening"), F.col("in_1")).otherwise(F.col("in_0"))
-    number = F.when(F.col("opening"), F.col("n_1")).otherwise(F.col("n_0"))
-    numbered = joined.where(inside | ~F.col("blank")).select(
-        "part",
-        (F.col("before") + number - 1).alias("rec"),
-        F.struct("block", "at", "value").alias("line"),
-    )
-    text = F.array_join(
-        F.transform(F.array_sort(F.collect_list("line")), lambda x: x["value"]), "\n"
-    )
-    records = numbered.groupBy("part", "rec").agg(
-        F.regexp_replace(text, r"\r\z", "").alias("record")
+    # the stored lines are clustered by block, so this reads the first ones only
+    first_blocks = lines.where(F.col("block") <= (seen.head or 0))
+    headers = _numbered(first_blocks, blocks).where("rec = 0")
+    return CsvRecords(
+        records=_assembled(_numbered(lines, blocks)),
+        headers=_assembled(headers),
+        parts=parts,
     )
-    return records, blocks.select("part", "records").distinct()

@@ -22,17 +22,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+# folders this driver process has handed out and not cleared yet
+_handed_out: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other job uses."""
-    return f"{shared_folder(spark)}/ticketlake/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/ticketlake/{name}-{uuid.uuid4().hex}"
+    _handed_out.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this process has staged; call it when no result is needed any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _handed_out:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
-def stage(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     The stored table keeps column pruning for the passes that follow and
     outlives lost executors.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
