@@ -123,6 +123,8 @@ def test_disagreements_and_filters(spark):
     rows = ev.disagreements(f, 3).collect()
     assert [(r.focus, r.ticket_id) for r in rows] == [("topic", 0), ("topic", 1), ("topic", 2), ("urgency", 1), ("urgency", 3), ("urgency", 5)]
     assert tuple(_one(ev.disagreement_counts(f))) == (20, 10)
+    assert ev.disagreements(f, 10, cut=4).first().snippet == "a sn"
+    assert ev.disagreements(f, 10, cut=None).count() == 20
     assert ev.filtered(f, actions=["FAQ"]).count() == 0
     assert ev.filtered(f, ["FORWARD"], ["Claims"], ["high"]).count() == 10
     k = _one(ev.headline_kpis(f))
@@ -205,6 +207,7 @@ def test_profile_figures(spark):
     assert [r[1:] for r in out["topic_shares"]] == [
         ("Policy", 0, 0.0), ("Claims", 0, 0.0), ("Billing", 1, 25.0), ("Technical", 2, 50.0), ("Other", 1, 25.0)]
     assert out["unmapped_queues"] == [("Pets", 1, 0)]
+    assert out["queue_coverage"] == [(3, 2)]
     assert out["top_queues"][0] == ("IT Support", 2, 50.0, 0)
     assert out["mapping_coverage"] == [("Technical", 2, 1, 1, 50.0), ("Billing", 1, 1, 1, 25.0), ("Other", 1, 1, 0, 25.0)]
     lengths = [4, 2, 8, 6, 6]

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,47 @@ def test_json_must_be_one_document(spark):
     assert got == [one, one] + [None] * 7 + ["ARRAY<BIGINT>", "STRING", "VOID", "BIGINT", None, None]
 
 
+def _one_object(raw):
+    """Whether Python reads the text as one JSON document without repeated keys."""
+
+    def unique(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("repeated key")
+        return dict(pairs)
+
+    def refuse(_):
+        raise ValueError("not JSON")
+
+    try:
+        json.loads(raw, object_pairs_hook=unique, parse_constant=refuse)
+    except ValueError:
+        return False
+    return True
+
+
+def test_json_documents_match_python_on_damaged_texts(spark):
+    rng = random.Random(11)
+    whole = [json.dumps(_step(t, thought='say "ä" \\ {[', n=[1, 2.5, None, True, {"k": "]}"}])) for t in ("faq", "clarify")]
+    raws = set()
+    for _ in range(600):
+        raw = list(rng.choice(whole))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(raw))
+            kind = rng.randint(0, 2)
+            if kind == 0:
+                del raw[at]
+            elif kind == 1:
+                raw.insert(at, rng.choice('{}[],:" 0x'))
+            else:
+                raw[at:] = rng.choice([[], raw[at:] * 2, [*raw[at:], "}"], [*raw[at:], "]"], [*raw[at:], ","]])
+        raws.add("".join(raw))
+    raws = sorted(raws)
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, r string")
+    got = df.orderBy("i").select(st.json_document(F.col("r")).isNotNull()).collect()
+    wrong = [r for r, g in zip(raws, got) if g[0] != _one_object(r)]
+    assert wrong == [] and 50 < sum(g[0] for g in got) < len(raws)
+
+
 def test_step_rules(spark):
     got = _errors(spark, [
         _step("forward", reasoning="ok"),

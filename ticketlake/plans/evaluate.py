@@ -439,8 +439,14 @@ def disagreement_counts(frame: DataFrame) -> DataFrame:
     )
 
 
-def disagreements(frame: DataFrame, n: int = 5) -> DataFrame:
-    """First n wrong topics and first n wrong urgencies, by ticket id."""
+def disagreements(frame: DataFrame, n: int = 5, cut: int | None = 140) -> DataFrame:
+    """First n wrong topics and first n wrong urgencies, by ticket id.
+
+    Snippet and reasoning are cut at ``cut`` characters, or left whole.
+    """
+
+    def shown(col: str) -> Column:
+        return F.col(col) if cut is None else F.substring(col, 1, cut).alias(col)
 
     def examples(focus: str, hit: Column, predicted: str, mapped: str, label: str):
         return (
@@ -450,13 +456,13 @@ def disagreements(frame: DataFrame, n: int = 5) -> DataFrame:
             .select(
                 F.lit(focus).alias("focus"),
                 "ticket_id",
-                F.substring("snippet", 1, 140).alias("snippet"),
+                shown("snippet"),
                 F.col(predicted).alias("predicted"),
                 F.col(mapped).alias("mapped"),
                 F.col(label).alias("label"),
                 "action",
                 "tool_path",
-                F.substring("reasoning", 1, 140).alias("reasoning"),
+                shown("reasoning"),
             )
         )
 

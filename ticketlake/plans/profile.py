@@ -159,6 +159,15 @@ def mapping_coverage(df: DataFrame) -> DataFrame:
     )
 
 
+def queue_coverage(df: DataFrame) -> DataFrame:
+    """Distinct queues, and how many of them have a mapping of their own."""
+    queues = df.where(F.col("queue").isNotNull()).select("queue").distinct()
+    return queues.agg(
+        F.count("*").alias("n_queues"),
+        F.count_if(has_explicit_topic(F.col("queue"))).alias("n_explicit"),
+    )
+
+
 def length_histogram(df: DataFrame, bins: int = 40) -> DataFrame:
     return histogram(with_text_length(df), "text_length", bins, bounded=True)
 
@@ -217,6 +226,7 @@ REPORTS = {
     "priority_distribution": priority_distribution,
     "top_queues": top_queues,
     "mapping_coverage": mapping_coverage,
+    "queue_coverage": queue_coverage,
     "length_histogram": length_histogram,
     "length_box": length_box,
     "length_summary": length_summary,

@@ -341,7 +341,7 @@ def _key(seed: str) -> str:
 
 
 _oracle(
-    "stratified_sample_rows",
+    "stratified_sample",
     ["prepared"],
     f"""
 SELECT ticket_id, queue, text_length, {_key('42:order')} AS sample_order
@@ -354,7 +354,7 @@ WHERE place <= 300
 """,
 )
 _oracle(
-    "unstratified_sample_rows",
+    "unstratified_sample",
     ["prepared"],
     f"""
 SELECT ticket_id, queue, text_length, {_key('42:order')} AS sample_order
@@ -580,7 +580,7 @@ _oracle(
     "SELECT ticket_id, tools_used, tool, reasoning FROM folded",
 )
 _oracle(
-    "trace_counts",
+    "trace_counters",
     ["folded"],
     """
 SELECT ticket_id, CAST(len(parts) AS INT) AS n_total,
@@ -1019,6 +1019,14 @@ FROM (SELECT queue, {_queue_topic('queue')} AS mapped_topic FROM valid WHERE que
 GROUP BY mapped_topic
 """,
 )
+_oracle(
+    "queue_coverage",
+    ["valid"],
+    f"""
+SELECT count(DISTINCT queue) AS n_queues,
+       count(DISTINCT queue) FILTER (WHERE queue IN ({_explicit})) AS n_explicit FROM valid
+""",
+)
 _histogram("length_histogram", "prepared", "text_length", 40)
 _box = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 

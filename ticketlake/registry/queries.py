@@ -11,15 +11,10 @@ from ..functions import labels, text, topic
 from ..functions.scorers import text_classifier
 from ..operators import canonical as canon
 from ..operators import requests as req
+from ..operators import sampling
+from ..operators import steps as st
 from ..operators.decisions import comparison_view, fallback_decision
 from ..operators.dedup import dedup_by_version
-from ..operators.sampling import head, random_row, stratified_sample
-from ..operators.steps import (
-    completeness,
-    pick_attempts,
-    trace_counters,
-    validate_steps,
-)
 from ..plans import evaluate as ev
 from ..plans import profile as prof
 from ..schemas import FILE_VERSIONS, TOPICS
@@ -107,14 +102,14 @@ SAMPLE_SIZE = 300
 
 
 @query
-def stratified_sample_rows(spark, d):
-    picked = stratified_sample(views.prepared(spark, d), SAMPLE_SIZE, "queue", 42)
+def stratified_sample(spark, d):
+    picked = sampling.stratified_sample(views.prepared(spark, d), SAMPLE_SIZE, "queue", 42)
     return picked.select("ticket_id", "queue", "text_length", "sample_order")
 
 
 @query
-def unstratified_sample_rows(spark, d):
-    picked = stratified_sample(views.prepared(spark, d), SAMPLE_SIZE, None, 42)
+def unstratified_sample(spark, d):
+    picked = sampling.stratified_sample(views.prepared(spark, d), SAMPLE_SIZE, None, 42)
     return picked.select("ticket_id", "queue", "text_length", "sample_order")
 
 
@@ -123,12 +118,12 @@ def sample_head(spark, d):
     keyed = views.prepared(spark, d).withColumn(
         "sample_order", F.md5(F.concat(F.col("ticket_id").cast("string"), F.lit(":42:order")))
     )
-    return head(keyed, 25).select("ticket_id", "text_length")
+    return sampling.head(keyed, 25).select("ticket_id", "text_length")
 
 
 @query
 def random_ticket(spark, d):
-    return random_row(views.prepared(spark, d), 7).select("ticket_id", "text")
+    return sampling.random_row(views.prepared(spark, d), 7).select("ticket_id", "text")
 
 
 # --- sources ----------------------------------------------------------------------
@@ -316,7 +311,7 @@ def seeded_requests(spark, d):
 
 @query
 def step_validation(spark, d):
-    steps = validate_steps(views.step_log(spark, d))
+    steps = st.validate_steps(views.step_log(spark, d))
     return steps.select(
         "ticket_id",
         "turn",
@@ -333,7 +328,7 @@ def step_validation(spark, d):
 
 @query
 def retry_messages(spark, d):
-    steps = stage(validate_steps(views.step_log(spark, d)), "steps")
+    steps = stage(st.validate_steps(views.step_log(spark, d)), "steps")
     return steps.where(F.size("errors") > 0).select(
         "ticket_id", "turn", "attempt", req.retry_message(F.col("errors")).alias("retry")
     )
@@ -341,13 +336,13 @@ def retry_messages(spark, d):
 
 @query
 def attempt_pick(spark, d):
-    picks = pick_attempts(validate_steps(views.step_log(spark, d)))
+    picks = st.pick_attempts(st.validate_steps(views.step_log(spark, d)))
     return picks.select("ticket_id", "turn", "attempt", "tool", "n_attempts")
 
 
 @query
 def missing_info_default(spark, d):
-    parsed = completeness(views.helper_log(spark, d))
+    parsed = st.completeness(views.helper_log(spark, d))
     return parsed.select(
         "ticket_id",
         F.col("was_valid").cast("int").alias("was_valid"),
@@ -363,9 +358,9 @@ def agent_trace_fold(spark, d):
 
 
 @query
-def trace_counts(spark, d):
+def trace_counters(spark, d):
     folded = views.folded(spark, d)
-    return folded.select("ticket_id", *trace_counters(F.col("tools_used")))
+    return folded.select("ticket_id", *st.trace_counters(F.col("tools_used")))
 
 
 @query
@@ -565,6 +560,7 @@ _report("language_dist", prof.language_distribution, "pct", source=views.valid)
 _report("priority_order", prof.priority_distribution, source=views.valid)
 _report("top_queues", prof.top_queues, "pct", source=views.valid)
 _report("mapping_coverage", prof.mapping_coverage, "pct", source=views.valid)
+_report("queue_coverage", prof.queue_coverage, source=views.valid)
 _report("length_histogram", prof.length_histogram, "lower", "upper", source=views.prepared)
 _report("length_box", prof.length_box, source=views.prepared)
 _report("length_summary", prof.length_summary, "mean", source=views.prepared)
