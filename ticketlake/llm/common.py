@@ -39,28 +39,34 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of ``rows`` whose ``key`` is in ``ids``, without shuffling the rest.
+def likely(rows: DataFrame, ids: DataFrame, key: str, flag: str = "__likely") -> DataFrame:
+    """``rows`` with a flag: false means that ``key`` is not in ``ids``; true that it may be.
 
-    A bit table of the ids (residues modulo ``ID_BITS``, 4 MB at most) goes to
-    every task first; what passes it, and is maybe wide, is then joined. Beyond
-    ``ID_BITS`` ids more rows pass the first test, the result stays the same.
+    A bit table of the ids (hashes modulo ``ID_BITS``, 4 MB at most whatever
+    their number) goes to every task, so nothing is shuffled. Ids far beyond
+    ``ID_BITS`` only make the flag true more often.
     """
-    ids = ids.select(F.col(key).alias(key)).where(F.col(key).isNotNull())
     bit = F.pmod(F.xxhash64(key), F.lit(ID_BITS))
     bits = (
-        ids.select(bit.alias("bit"))
-        .groupBy(F.expr("bitmap_bucket_number(bit)").alias("__bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("__bits"))
+        ids.where(F.col(key).isNotNull())
+        .select(bit.alias("__bit"))
+        .groupBy(F.expr("bitmap_bucket_number(__bit)").alias("__bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(__bit))").alias("__bits"))
     )
-    byte = F.conv(F.hex(F.expr("substring(__bits, CAST(bitmap_bit_position(__bit) DIV 8 AS INT) + 1, 1)")), 16, 10)
-    hit = F.expr("shiftright(CAST(__byte AS INT), CAST(bitmap_bit_position(__bit) % 8 AS INT)) & 1") == 1
-    likely = (
+    place = "CAST(bitmap_bit_position(__bit) AS INT)"
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, {place} DIV 8 + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr(f"(shiftright(__byte, {place} % 8) & 1) = 1")
+    return (
         rows.withColumn("__bit", bit)
         .withColumn("__bucket", F.expr("bitmap_bucket_number(__bit)"))
-        .join(F.broadcast(bits), "__bucket")
+        .join(F.broadcast(bits), "__bucket", "left")
         .withColumn("__byte", byte)
-        .where(hit)
+        .withColumn(flag, F.coalesce(hit, F.lit(False)))
         .drop("__bit", "__bucket", "__bits", "__byte")
     )
-    return likely.join(ids.distinct(), key, "left_semi")
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of ``rows`` whose ``key`` is in ``ids``; the others are not shuffled."""
+    some = likely(rows, ids, key).where("__likely").drop("__likely")
+    return some.join(ids.select(key).distinct(), key, "left_semi")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, url_filter
+from . import decontaminate, mixing, substring_dedup, url_filter
 from .common import table
 
 
@@ -18,6 +18,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = substring_dedup.remove(docs, substring_dedup.spans(docs), digest=True)
+    return kept.withColumnRenamed("kept", "kept_sha256")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
@@ -26,11 +32,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op6_url_filter": op6_url_filter,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE: dict[str, str] = {
     "op3_mix_sources": mixing.SQL,
     "op6_url_filter": url_filter.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
