@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, substring_dedup, url_filter
+from . import decontaminate, mixing, ngram_join, substring_dedup, token_count, url_filter
 from .common import table
 
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # names the place of the tokenizer's files
+
+    docs = table(spark, sf_dir, "documents")
+    return token_count.count_tokens(docs, public_tokenizers.path(TOKENIZER))
+
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -34,6 +43,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op6_url_filter": op6_url_filter,
     "op7_ngram_join": op7_ngram_join,
