@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, substring_dedup, token_count, url_filter
+from . import decontaminate, mixing, ngram_join, pii, substring_dedup, token_count, url_filter
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -45,6 +49,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_mix_sources": op3_mix_sources,
+    "op4_pii_spans": op4_pii_spans,
     "op6_url_filter": op6_url_filter,
     "op7_ngram_join": op7_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
