@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, pii, substring_dedup, token_count, url_filter
+from . import decontaminate, mixing, ngram_join, pii, quality, substring_dedup, token_count, url_filter
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -27,6 +27,10 @@ def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op4_pii_spans": op4_pii_spans,
+    "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
     "op7_ngram_join": op7_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
