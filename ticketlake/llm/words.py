@@ -34,7 +34,7 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 
 
-def _letters(lower: bool) -> np.ndarray:
+def letters(lower: bool) -> np.ndarray:
     return _BYTE[_LOWER] if lower else _BYTE
 
 
@@ -120,7 +120,7 @@ def _cut(data, separators, bounds, start: int, stop: int) -> int:
 
 def split(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = False) -> Words:
     data, bounds = buffers(texts)
-    letters = _letters(lower)
+    bytes_ = letters(lower)
     starts, ends, hashes = [], [], []
     at, stop = int(bounds[0]), int(bounds[-1])
     while at < stop:
@@ -143,7 +143,7 @@ def split(texts: pa.Array, separators: np.ndarray = SPACES, lower: bool = False)
         e = np.flatnonzero(ends_here & word) + 1
         up, down = _power_tables(n + 1)
         total = np.zeros(n + 1, U64)
-        np.cumsum(letters[piece] * up[:n], out=total[1:])
+        np.cumsum(bytes_[piece] * up[:n], out=total[1:])
         h = (total[e] - total[s]) * down[s]
         hashes.append(mix(h + (e - s).astype(U64)))
         starts.append(s + at)
