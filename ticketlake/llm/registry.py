@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, ngram_join, pii, quality, substring_dedup, token_count, toxicity, url_filter
+from . import decontaminate, embedding_dedup, mixing, ngram_join, pii, quality, substring_dedup, token_count, toxicity, url_filter
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -19,6 +19,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs, public_tokenizers.path(TOKENIZER))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_pii_spans": op4_pii_spans,
     "op5_quality": op5_quality,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_embedding_dedup": embedding_dedup.SQL,
     "op3_mix_sources": mixing.SQL,
     "op6_url_filter": url_filter.SQL,
     "op7_ngram_join": ngram_join.SQL,
