@@ -46,7 +46,7 @@ def likely(rows: DataFrame, ids: DataFrame, key: str, flag: str = "__likely") ->
     their number) goes to every task, so nothing is shuffled. Ids far beyond
     ``ID_BITS`` only make the flag true more often.
     """
-    bit = F.pmod(F.xxhash64(key), F.lit(ID_BITS))
+    bit = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(ID_BITS))
     bits = (
         ids.where(F.col(key).isNotNull())
         .select(bit.alias("__bit"))
