@@ -271,7 +271,7 @@ def _map_chunks(shared):
 
 
 def _scan_chunks(shared):
-    def rows(key, part: pd.DataFrame) -> pd.DataFrame:
+    def rows(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         own = counter(shared.value)
         part = part.sort_values("chunk")
         maps = [(h, int(n), t) for h, n, t in zip(part["head"], part["n"], part["tail"])]
