@@ -9,10 +9,12 @@ within the first p + k - 1 tokens of both: the extended prefix.
    tokens that occur nowhere else has no partner: rarest first, its whole prefix
    is unique. This leaves few documents, which alone take part in what follows.
 2. Equal sets become one class, represented by its smallest document.
-3. The extended prefixes (in hash order) are indexed. Members of a token's list are
-   verified against the list's first document, and what links is joined to
-   components; pairs within a component need no further work, which settles groups of
-   any number of near copies in linear time.
+3. The extended prefixes are indexed. Tokens that occur in many sets come last in the order,
+   so they are in a prefix only where a set has little else; a bit table of fixed size
+   tells them, as any fixed order of tokens is right. Members of a token's list are
+   verified against the list's centre, the document whose tokens have the longest lists,
+   and what links is joined to components; pairs within a component need no further
+   work, which settles groups of any number of near copies in linear time.
 4. Between components, rare tokens (lists up to ``RARE``) are indexed singly and a pair
    needs k - 1 of them in common; frequent ones are indexed by combinations of two.
    Two similar sets share k tokens of their prefixes: at least two frequent ones, or at
@@ -20,6 +22,9 @@ within the first p + k - 1 tokens of both: the extended prefix.
    would have too many combinations; their tokens are indexed singly, for all.
 5. Candidates are verified on the whole sets, and the links joined to components.
 
+Before sets are moved, pairs must pass a bound: each set carries the parities of its tokens in
+1,024 bits, and two sets differ in at least as many tokens as their parities differ.
+
 So every link between different components is found; no list, group or pair is
 dropped at any size. Sets are held as 64-bit token hashes.
 
@@ -46,6 +51,13 @@ from .components import components
 RARE, WIDE = 64, 64
 #: one in SCREEN tokens, by hash, takes part in the screen
 SCREEN = 3
+#: bits of the table of frequent tokens
+FREQUENT_BITS = 1 << 25
+#: columns of 64 parity bits
+PARITIES = [f"b{i}" for i in range(16)]
+FULL = "doc_id long, n long, sig_a long, sig_b long, tokens array<long>, " + ", ".join(
+    f"{b} long" for b in PARITIES
+)
 
 
 def token_sets(found: W.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,6 +88,15 @@ def _lists(tokens: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens.view(np.int64)))
 
 
+def parities(tokens: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """For each text, in 64-bit columns, whether an odd number of its tokens falls on a bit."""
+    width = 64 * len(PARITIES)
+    at = np.repeat(np.arange(len(size)), size) * width + (tokens % np.uint64(width)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(size) * width).astype(np.uint8) & 1
+    packed = np.packbits(odd.reshape(len(size), width), axis=1).view(np.int64)
+    return [np.ascontiguousarray(packed[:, i]) for i in range(len(PARITIES))]
+
+
 def _sampled(width: int):
     """doc_id, n and the screened tokens of each text."""
 
@@ -124,13 +145,56 @@ def _full(width: int):
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
                         lists,
+                        *[pa.array(b) for b in parities(tokens, size)],
                     ],
-                    ["doc_id", "n", "sig_a", "sig_b", "tokens"],
+                    ["doc_id", "n", "sig_a", "sig_b", "tokens", *PARITIES],
                 )
 
     return rows
 
 
+def _frequent_bits(tokens: DataFrame) -> np.ndarray:
+    """A packed bit table that has a bit for each token in more than RARE sets."""
+    bucket, place = "bitmap_bucket_number(bit)", "bitmap_bit_position(bit)"
+    rows = (
+        tokens.groupBy("token")
+        .agg(F.count("*").alias("c"))
+        .where(F.col("c") > RARE)
+        .select((F.pmod("token", F.lit(FREQUENT_BITS)) + 1).alias("bit"))
+        .groupBy(F.expr(bucket).alias("bucket"))
+        .agg(F.expr(f"bitmap_construct_agg({place})").alias("bits"))
+        .toArrow()  # at most FREQUENT_BITS / 32768 rows of 4 KB
+    )
+    out = np.zeros((FREQUENT_BITS // 32768, 4096), np.uint8)
+    for bucket, bits in zip(rows.column("bucket").to_pylist(), rows.column("bits").to_pylist()):
+        out[bucket - 1] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _prefixes(shared):
+    """id, n and the first ``q`` tokens of each set, frequent ones last."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            lists = batch.column("tokens")
+            tokens = lists.flatten().to_numpy()
+            size = np.diff(lists.offsets.to_numpy())
+            of = np.repeat(np.arange(len(size)), size)
+            place = tokens & (FREQUENT_BITS - 1)
+            frequent = (bits[place >> 3] >> (place & 7)) & 1
+            order = np.argsort(of * 2 + frequent, kind="stable")
+            rank = np.arange(len(tokens)) - np.repeat(np.cumsum(size) - size, size)
+            keep = rank < np.repeat(batch.column("q").to_numpy(), size)
+            of = of[keep]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(of)), batch.column("n").take(pa.array(of)), pa.array(tokens[order][keep])],
+                ["id", "n", "token"],
+            )
+
+    return rows
+
+
 class Threshold:
     """Jaccard >= num / den, over one half."""
 
@@ -157,36 +221,59 @@ class Threshold:
         """Whether the sizes allow a link."""
         return F.least(n, m) * self.den >= F.greatest(n, m) * self.num
 
+    def possible(self, a: str, b: str) -> Column:
+        """Whether sizes and parities (columns prefixed by ``a`` and ``b``) allow a link."""
+        n, m = F.col(f"{a}n"), F.col(f"{b}n")
+        differ = sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in PARITIES), F.lit(0))
+        return self.near(n, m) & (differ * (self.den + self.num) <= (n + m) * (self.den - self.num))
+
+
+def _prefixed(rows: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return rows.select(*[F.col(c).alias(c if c in keep else prefix + c) for c in rows.columns])
+
 
 def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    some = among(sets.select(F.col("doc_id").alias("id"), "n", "tokens"), ids, "id")
-    side = lambda x: some.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-    both = F.size(F.array_intersect("t_a", "t_b"))
+    """The pairs (a_id, b_id) whose whole sets are similar."""
+    ids = lambda p: p.select(F.col("a_id").alias("id")).unionByName(p.select(F.col("b_id").alias("id")))
+    named = sets.withColumnRenamed("doc_id", "id")
+    some = among(named.select("id", "n", *PARITIES).where("size(tokens) > 0"), ids(pairs), "id")
+    likely = stage(
+        pairs.join(_prefixed(some, "a_"), "a_id")
+        .join(_prefixed(some, "b_"), "b_id")
+        .where(limit.possible("a_", "b_"))
+        .select("a_id", "b_id"),
+        "likely",
+    )
+    whole = among(named.select("id", "n", "tokens").where("size(tokens) > 0"), ids(likely), "id")
+    both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where(limit.near(F.col("n_a"), F.col("n_b")))
-        .where(both * limit.den >= (F.col("n_a") + F.col("n_b") - both) * limit.num)
-        .select("a", "b")
+        likely.join(_prefixed(whole, "a_"), "a_id")
+        .join(_prefixed(whole, "b_"), "b_id")
+        .where(both * limit.den >= (F.col("a_n") + F.col("b_n") - both) * limit.num)
+        .select("a_id", "b_id")
     )
 
 
 def _crossing(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of ids under one key whose components differ; rows: key, comp, id, n.
+    """Pairs of ids under one key whose components differ; rows: key, comp, id, n.
 
     Components are paired first, so members of one component never meet.
     """
     comps = rows.select("key", "comp").distinct()
     more = comps.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     comps = comps.join(more, "key", "left_semi")
-    pairs = comps.select("key", F.col("comp").alias("comp_a")).join(
-        comps.select("key", F.col("comp").alias("comp_b")), "key"
-    ).where("comp_a < comp_b")
-    a = rows.select("key", F.col("comp").alias("comp_a"), F.col("id").alias("a"), F.col("n").alias("n_a"))
-    b = rows.select("key", F.col("comp").alias("comp_b"), F.col("id").alias("b"), F.col("n").alias("n_b"))
-    return pairs.join(a, ["key", "comp_a"]).join(b, ["key", "comp_b"]).select("key", "a", "b", "n_a", "n_b")
+    pairs = (
+        _prefixed(comps, "a_", ("key",))
+        .join(_prefixed(comps, "b_", ("key",)), "key")
+        .where("a_comp < b_comp")
+    )
+    return pairs.join(_prefixed(rows, "a_", ("key",)), ["key", "a_comp"]).join(
+        _prefixed(rows, "b_", ("key",)), ["key", "b_comp"]
+    )
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
 
 
 def _links(sets: DataFrame, limit: Threshold) -> DataFrame:
@@ -194,68 +281,75 @@ def _links(sets: DataFrame, limit: Threshold) -> DataFrame:
     classes = sets.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("doc_id"))
     n = F.col("n")
     held = sets.where("n > 0 AND size(tokens) > 0").select(
-        F.col("doc_id").alias("id"), "n", F.slice("tokens", F.lit(1), limit.extended(n).cast("int")).alias("tokens")
+        F.col("doc_id").alias("id"), "n", limit.extended(n).cast("int").alias("q"), "tokens"
     )
-    first = held.join(classes.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    posted = stage(first.select("id", "n", F.explode("tokens").alias("token")), "prefixes")
-    lists = (
-        posted.groupBy("token")
-        .agg(F.count("*").alias("c"), F.min("id").alias("hub"))
-        .where("c > 1")
+    frequent = _frequent_bits(held.select(F.explode("tokens").alias("token")))
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)  # 4 MB
+    posted = held.mapInArrow(_prefixes(shared), "id long, n long, token long").join(
+        classes.select(F.col("doc_id").alias("id")), "id", "left_semi"
     )
+    posted = stage(posted, "prefixes")
+    lists = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     listed = stage(posted.join(lists, "token"), "lists")
 
+    central = listed.groupBy("id").agg(F.sum("c").alias("weight"))
+    centres = (
+        listed.select("token", "id")
+        .join(central, "id")
+        .groupBy("token")
+        .agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
+    )
     stars = (
-        listed.where("id <> hub")
+        listed.join(centres, "token")
+        .where("id <> hub")
         .groupBy("id", "hub")
         .agg(F.count("*").alias("m"), F.min("n").alias("n"))
         .where(F.col("m") * 2 >= limit.matches(n))
-        .select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        .select(F.col("hub").alias("a_id"), F.col("id").alias("b_id"))
     )
-    linked = stage(_verified(stage(stars, "stars"), sets, limit), "links")
+    linked = stage(_verified(stage(_in_order(stars), "stars"), sets, limit), "links")
 
-    comp = components(linked)
+    comp = components(linked.toDF("a", "b"))
     placed = listed.join(comp, "id", "left").select(
-        "token", "id", "n", "c", F.coalesce("component", "id").alias("comp")
+        F.col("token").alias("key"), "id", "n", "c", F.coalesce("component", "id").alias("comp")
     )
     open_lists = (
-        placed.groupBy("token")
+        placed.groupBy("key")
         .agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where("low < high")
-        .select("token")
+        .select("key")
     )
-    placed = stage(placed.join(open_lists, "token", "left_semi"), "open")
+    placed = stage(placed.join(open_lists, "key", "left_semi"), "open")
     frequent = placed.where(F.col("c") > RARE)
     widths = frequent.groupBy("id").agg(F.count("*").alias("f")).where(F.col("f") > WIDE).select("id")
-    wide = stage(frequent.join(widths, "id", "left_semi").select("token").distinct(), "wide")
+    wide = stage(frequent.join(widths, "id", "left_semi").select("key").distinct(), "wide")
 
-    rare = placed.where(F.col("c") <= RARE).withColumnRenamed("token", "key")
-    least = F.least("n_a", "n_b")
+    bits = among(sets.where("size(tokens) > 0").select(F.col("doc_id").alias("id"), *PARITIES), placed, "id")
+    rare = placed.where(F.col("c") <= RARE).drop("c").join(bits, "id")
+    least = F.least("a_n", "b_n")
     singly = (
-        _crossing(rare)
-        .where(limit.near(F.col("n_a"), F.col("n_b")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), least.alias("n"))
-        .groupBy("a", "b")
+        _prefixed(rare, "a_", ("key",))
+        .join(_prefixed(rare, "b_", ("key",)), "key")
+        .where((F.col("a_id") < F.col("b_id")) & (F.col("a_comp") != F.col("b_comp")))
+        .where(limit.possible("a_", "b_"))
+        .select("a_id", "b_id", least.alias("n"))
+        .groupBy("a_id", "b_id")
         .agg(F.count("*").alias("m"), F.min("n").alias("n"))
         .where(F.col("m") >= F.greatest(limit.matches(n) - 1, F.lit(1)))
-        .select("a", "b")
+        .select("a_id", "b_id")
     )
-    by_wide = frequent.join(wide, "token", "left_semi").withColumnRenamed("token", "key")
+    by_wide = frequent.join(wide, "key", "left_semi").select("key", "comp", "id", "n")
     combined = (
-        frequent.join(wide, "token", "left_anti")
+        frequent.join(wide, "key", "left_anti")
         .groupBy("id", "n", "comp")
-        .agg(F.array_sort(F.collect_list("token")).alias("t"))
+        .agg(F.array_sort(F.collect_list("key")).alias("t"))
         .withColumn("i", F.explode(F.sequence(F.lit(1), F.size("t"))))
         .withColumn("second", F.explode(F.slice("t", F.col("i") + 1, F.size("t"))))
-        .select("id", "n", "comp", F.xxhash64(F.element_at("t", F.col("i")), "second").alias("key"))
-    )
-    others = (
-        _crossing(by_wide.select("id", "n", "comp", "key").unionByName(combined))
-        .where(limit.near(F.col("n_a"), F.col("n_b")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .select(F.xxhash64(F.element_at("t", F.col("i")), "second").alias("key"), "comp", "id", "n")
     )
-    pairs = stage(singly.unionByName(others).distinct(), "pairs")
-    return linked.unionByName(_verified(pairs, sets, limit))
+    others = _crossing(by_wide.unionByName(combined)).where(limit.near(F.col("a_n"), F.col("b_n")))
+    pairs = stage(singly.unionByName(_in_order(others)).distinct(), "pairs")
+    return linked.unionByName(_verified(pairs, sets, limit)).toDF("a", "b")
 
 
 def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
@@ -280,9 +374,8 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     )
     alone = stage(alone, "alone")
     rest = texts.select("doc_id").distinct().join(alone, "doc_id", "left_anti")
-    full = "doc_id long, n long, sig_a long, sig_b long, tokens array<long>"
     rest = among(texts, stage(rest, "rest"), "doc_id").dropDuplicates(["doc_id"])
-    sets = stage(rest.select("doc_id", "text").mapInArrow(_full(width), full), "sets")
+    sets = stage(rest.select("doc_id", "text").mapInArrow(_full(width), FULL), "sets")
 
     comp = components(_links(sets, limit))
     classes = sets.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
@@ -294,7 +387,7 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
         .select("doc_id", "n", F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
     )
     known = placed.unionByName(alone.select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    without = every.where("doc_id IS NULL").mapInArrow(_full(width), full)
+    without = every.where("doc_id IS NULL").mapInArrow(_full(width), FULL)
     return (
         texts.select("doc_id")
         .join(known, "doc_id")
