@@ -31,7 +31,7 @@ def _load(spark, folder, name, rows):
 
 def test_text_column_is_the_body_of_v3(spark, tmp_path):
     (r,) = _load(spark, tmp_path, V3, [{"Subject": "Help", "text": "Account locked", "language": "en"}])
-    assert (r.subject, r.body, r.version, r.errors) == ("Help", "Account locked", "v3", [])
+    assert (r.subject, r.body, r.version, r.error) == ("Help", "Account locked", "v3", None)
 
 
 def test_header_case_and_spaces_do_not_matter(spark, tmp_path):
@@ -67,8 +67,8 @@ def test_defaults_rejects_and_language_codes(spark, tmp_path):
     ]
     got = _load(spark, tmp_path, V4, rows)
     assert [r.row_index for r in got] == list(range(9))
-    assert [r.errors for r in got] == [
-        [], [canon.EMPTY_TEXT], [], [], [], [canon.EMPTY_LANGUAGE], [canon.EMPTY_LANGUAGE], [], [],
+    assert [r.error for r in got] == [
+        None, canon.EMPTY_TEXT, None, None, None, canon.EMPTY_LANGUAGE, canon.EMPTY_LANGUAGE, None, None,
     ]
     assert [got[i].language for i in (0, 3, 4)] == ["en", "en", "un"]
     assert (got[7].queue, got[7].priority, got[7].type) == (None, None, None)
@@ -79,13 +79,16 @@ def test_quotes_line_breaks_blank_lines_and_ragged_rows(spark, tmp_path):
     path = tmp_path / V4
     path.write_text(
         'subject,body,language\n"say ""hi""","two\nlines, one cell",en\n\nshort,row\na,b,en,extra\nlast,x,de\n'
+        'only\n"a, ""b"", c","d,\ne"\na,b,en,\n"x,y",b,en,"more, cells"\n'
     )
     got = csv_files.read_ticket_file(spark, str(path), V4).orderBy("row_index").collect()
-    assert [(r.subject, r.errors) for r in got] == [
-        ('say "hi"', []), ("short", [canon.BAD_ROW]), ("a", [canon.BAD_ROW]), ("last", []),
+    assert [(r.subject, r.error) for r in got] == [
+        ('say "hi"', None), ("short", None), ("a", canon.BAD_ROW), ("last", None),
+        ("only", None), ('a, "b", c', None), ("a", canon.BAD_ROW), ("x,y", canon.BAD_ROW),
     ]
     assert got[0].body == "two\nlines, one cell"
-    assert [r.row_index for r in got] == [0, 1, 2, 3]
+    assert (got[1].body, got[1].language, got[4].body, got[5].body) == ("row", "un", "", "d,\ne")
+    assert [r.row_index for r in got] == list(range(8))
 
 
 def test_missing_columns_get_defaults(spark, tmp_path):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import (
+    MAX_CHARS,
     cap_length,
     flat_text,
     is_blank,
@@ -17,7 +18,7 @@ from ..schemas import TARGET_LANGUAGES
 
 EMPTY_TEXT = "subject and body cannot both be empty"
 EMPTY_LANGUAGE = "language: must not be empty"
-BAD_ROW = "row does not match the header"
+BAD_ROW = "row has more cells than the header"
 
 
 def _text(name: str, present: bool) -> Column:
@@ -25,10 +26,11 @@ def _text(name: str, present: bool) -> Column:
 
 
 def canonicalise(df: DataFrame, malformed: str | None = None) -> DataFrame:
-    """Normalise raw ticket columns and add ``errors``, empty for valid rows.
+    """Normalise raw ticket columns and add ``error``, null for valid rows.
 
     Columns missing from the input get the same default as empty cells.
     ``malformed`` names a boolean column marking rows the reader could not fit.
+    The rules exclude each other, so a row has one message at most.
     """
     own = {"subject", "body", "language", "queue", "priority", "type"}
     keep = [c for c in df.columns if c not in own and c != malformed]
@@ -59,26 +61,24 @@ def canonicalise(df: DataFrame, malformed: str | None = None) -> DataFrame:
         label("queue"),
         label("priority"),
         label("type"),
-        F.array_compact(F.array(error)).alias("errors"),
+        error.alias("error"),
     )
 
 
 def valid_rows(df: DataFrame) -> DataFrame:
-    return df.where(F.size("errors") == 0).drop("errors")
+    return df.where("error IS NULL").drop("error")
 
 
 def rejected_rows(df: DataFrame) -> DataFrame:
     """Audit rows: file, row_index, error."""
-    return df.where(F.size("errors") > 0).select(
-        "file", "row_index", F.array_join("errors", "; ").alias("error")
-    )
+    return df.where("error IS NOT NULL").select("file", "row_index", "error")
 
 
 def load_counts(df: DataFrame, by: str) -> DataFrame:
     """Valid and rejected rows per ``by`` value, and in total (null ``by``, is_total)."""
     counts = df.groupBy(by).agg(
-        F.count_if(F.size("errors") == 0).alias("n_valid"),
-        F.count_if(F.size("errors") > 0).alias("n_rejected"),
+        F.count_if(F.col("error").isNull()).alias("n_valid"),
+        F.count("error").alias("n_rejected"),
     )
     return counts.rollup(by).agg(
         F.grouping(by).cast("int").alias("is_total"),
@@ -91,13 +91,16 @@ def filter_languages(df: DataFrame, languages=TARGET_LANGUAGES) -> DataFrame:
     return df.where(F.col("language").isin(list(languages)))
 
 
-def clean_text(df: DataFrame) -> DataFrame:
-    """Add ``text`` (merged, squeezed, capped) and ``text_length``; drop empty texts."""
+def clean_text(df: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
+    """Add ``text`` (merged, squeezed, cut at ``limit`` characters) and ``text_length``.
+
+    Empty texts are dropped.
+    """
     subject, body = F.col("subject"), F.col("body")
     return (
         df.where(~(is_blank(subject) & is_blank(body)))
         .withColumn("text", flat_text(subject, body))
-        .withColumn("text", cap_length(F.col("text")))
+        .withColumn("text", cap_length(F.col("text"), limit))
         .withColumn("text_length", F.length("text"))
     )
 

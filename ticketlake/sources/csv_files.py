@@ -26,6 +26,8 @@ from .csv_records import csv_records
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
 BAD = "_bad_row"
+# a quoted cell with the comma before it
+_QUOTED = r'(?s)(^|,)"(?:[^"]|"")*+"'
 _BROADCAST_PARTS = 100_000
 
 
@@ -104,9 +106,12 @@ def _headers(headers: DataFrame, paths: dict[str, str]) -> dict[str, list[str]]:
 
 
 def _cells(names: list[str], wanted: list[str]) -> Column:
-    """The wanted columns of ``record`` and whether it fits the header, as a struct."""
+    """The wanted columns of ``record`` and whether it has more cells than the header."""
     columns = [*(f"c{i}" for i in range(len(names))), BAD]
     options = {"multiLine": "true", "quote": '"', "escape": '"'}
+    # what the parser marks has too few cells, which count as empty, or too many
+    bare = F.regexp_replace("record", _QUOTED, "$1")
+    too_many = F.length(bare) - F.length(F.replace(bare, F.lit(","))) >= len(names)
     ddl = ", ".join(f"{c} string" for c in columns)
     row = F.from_csv("record", ddl, {**options, "columnNameOfCorruptRecord": BAD})
 
@@ -115,7 +120,7 @@ def _cells(names: list[str], wanted: list[str]) -> Column:
         none = F.lit(None).cast("string")
         return F.struct(
             *(known.get(n, none).alias(n) for n in wanted),
-            cells[BAD].isNotNull().alias(BAD),
+            (cells[BAD].isNotNull() & too_many).alias(BAD),
         )
 
     # through a lambda, so that a record is parsed once and not once per column
@@ -164,8 +169,8 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     """All cells as strings under normalised names, with ``row_index`` and ``_bad_row``.
 
     ``row_index`` counts records from 0 through the file, or through the parts
-    of a folder in name order. Rows with more or fewer cells than the header
-    are marked bad.
+    of a folder in name order. Rows with fewer cells than the header are filled
+    up with empty ones, rows with more are marked bad.
     """
     return _read(spark, {path: path}).drop("file")
 
@@ -173,7 +178,7 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 def read_ticket_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Known files, given as name -> path, as one table of canonical rows.
 
-    Columns: file, row_index, ticket_id, the ticket's fields, errors.
+    Columns: file, row_index, ticket_id, the ticket's fields, error.
     """
     if not paths:
         raise ValueError("no known ticket file found")
@@ -186,7 +191,7 @@ def read_ticket_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         .withColumn("ticket_id", ticket_id(file, row_index))
     )
     return canonicalise(rows, malformed=BAD).select(
-        "file", "row_index", "ticket_id", *TICKET_COLUMNS, "errors"
+        "file", "row_index", "ticket_id", *TICKET_COLUMNS, "error"
     )
 
 
