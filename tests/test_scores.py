@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlake.functions import scorers, topic, urgency
-from ticketlake.plans.score import embed_anchors, score_topics, score_urgency
+from ticketlake.plans.score import embed_anchors, score, score_topics, score_urgency
 from ticketlake.schemas import TOPICS, URGENCY_WORDS
 
 
@@ -93,10 +93,10 @@ def test_rank_margin_ties_and_fallback(spark):
         None,
     ]
     rows = score_topics(_vectors(spark, vectors), _anchors(spark, eye)).orderBy("ticket_id").collect()
-    assert [r.topic for r in rows[:4]] == ["Policy", "Policy", "Other", "Other"]
+    assert [r.topic for r in rows] == ["Policy", "Policy", "Other", "Other", "Other"]
     assert rows[0].topic_margin == 1.0 and rows[1].topic_margin == pytest.approx(0.0)
     assert rows[0].topic_all_scores == {"Policy": 1.0, "Claims": 0, "Billing": 0, "Technical": 0, "Other": 0}
-    assert rows[4].topic_margin is None
+    assert rows[4].topic_margin is None and rows[4].topic_all_scores is None
 
 
 def test_display_text(spark):
@@ -117,6 +117,23 @@ def test_wrong_vector_length_is_an_error(spark):
         df.collect()
 
 
+@pytest.mark.parametrize("bad", [float("nan"), float("inf")])
+def test_non_finite_vector_is_an_error(spark, bad):
+    df = score_topics(_vectors(spark, [[1, 0, 0, bad, 0]]), _anchors(spark, np.eye(5)))
+    with pytest.raises(Exception, match="embedding holds"):
+        df.collect()
+
+
+def test_missing_and_repeated_inputs(spark):
+    tickets = spark.createDataFrame([(i, "urgent asap" if i == 3 else "calm") for i in range(1, 5)], "ticket_id long, text string")
+    eye = np.eye(5)
+    vectors = _vectors(spark, [None, eye[1], eye[2]]).unionByName(_vectors(spark, [None, None, [0, 1, 1, 0, 0]]))
+    scores = spark.createDataFrame([(1, 0.2), (1, 0.9), (2, 0.4)], "ticket_id long, zs_score double")
+    got = score(tickets, vectors, _anchors(spark, eye), scores).orderBy("ticket_id").collect()
+    assert [(r.ticket_id, r.topic, r.urgency_score, r.urgency) for r in got] == [
+        (1, "Claims", 0.45, "medium"), (2, "Billing", 0.2, "low"), (3, "Other", 1.0, "high"), (4, "Other", 0.0, "low")]
+
+
 def test_scorers_apply_the_model_per_batch(spark):
     # factories are local, so that they travel by value and not by module name
     def load_vectors():

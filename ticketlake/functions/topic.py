@@ -39,6 +39,8 @@ def cosine_scores(matrix: np.ndarray):
             n in (None, dim) for n in vectors.value_lengths().unique().to_pylist()
         ):
             raise ValueError(f"embedding length differs from the anchors' {dim}")
+        if not np.isfinite(flat).all():
+            raise ValueError("embedding holds a null, NaN or infinite component")
         block = flat.reshape(len(known), dim)
         norms = np.maximum(np.linalg.norm(block, axis=1, keepdims=True), _TINY)
         sims = pa.array(((block / norms) @ matrix.T).ravel())
@@ -86,16 +88,21 @@ def margin(ranked: Column) -> Column:
 
 
 def decided_topic(ranked: Column) -> Column:
-    """The best topic, or Other when neither its lead nor its score convinces."""
+    """The best topic, or Other when neither its lead nor its score convinces.
+
+    Without scores, because there is no vector, it is Other as well.
+    """
     unsure = (margin(ranked) < TOPIC_MARGIN_THRESHOLD) & (
         ranked[0]["score"] < TOPIC_SCORE_THRESHOLD
     )
-    return F.when(unsure, "Other").otherwise(ranked[0]["topic"])
+    return F.when(unsure | margin(ranked).isNull(), "Other").otherwise(ranked[0]["topic"])
 
 
 def all_scores(ranked: Column) -> Column:
-    return F.map_from_entries(
-        F.transform(ranked, lambda r: F.struct(r["topic"], r["score"]))
+    """topic -> score; null without scores."""
+    return F.when(
+        margin(ranked).isNotNull(),
+        F.map_from_entries(F.transform(ranked, lambda r: F.struct(r["topic"], r["score"]))),
     )
 
 
@@ -110,8 +117,9 @@ def top_scores_text(ranked: Column, k: int = 3) -> Column:
 
 
 def margin_label(value: Column) -> Column:
-    return F.when(value < TOPIC_MARGIN_THRESHOLD, "weak separation").otherwise(
-        "confident"
+    """Null without a margin."""
+    return F.when(value < TOPIC_MARGIN_THRESHOLD, "weak separation").when(
+        value.isNotNull(), "confident"
     )
 
 

@@ -80,7 +80,8 @@ def signal_score(found: Column) -> Column:
 
 
 def urgency_score(signal: Column, classifier: Column) -> Column:
-    return F.lit(0.5) * signal + F.lit(0.5) * classifier
+    """Even mix; where there is no classifier score the signal decides alone."""
+    return F.coalesce(F.lit(0.5) * signal + F.lit(0.5) * classifier, signal)
 
 
 def urgency_level(score: Column) -> Column:

@@ -140,13 +140,15 @@ def decide(scored: DataFrame, folded: DataFrame) -> DataFrame:
 def assemble_results(decided: DataFrame, runtimes: DataFrame | None = None) -> DataFrame:
     """Result records of all tickets with a decision.
 
-    ``runtimes`` is (ticket_id, runtime_seconds), from the response log.
+    ``runtimes`` is (ticket_id, runtime_seconds), from the response log; several
+    calls of a ticket are summed.
     """
     done = decided.where(F.col("decision_error").isNull())
     if runtimes is not None:
-        done = done.join(
-            runtimes.select("ticket_id", "runtime_seconds"), "ticket_id", "left"
+        spent = runtimes.groupBy("ticket_id").agg(
+            F.sum("runtime_seconds").alias("runtime_seconds")
         )
+        done = done.join(spent, "ticket_id", "left")
     else:
         done = done.withColumn("runtime_seconds", F.lit(None).cast("double"))
     return done.select(

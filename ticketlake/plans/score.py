@@ -57,6 +57,23 @@ def score_urgency(
     return with_urgency(with_signals(df, lexicon, text), classifier)
 
 
+def one_score(classifier_scores: DataFrame) -> DataFrame:
+    """(ticket_id, zs_score), the highest one of tickets that have several."""
+    return classifier_scores.groupBy("ticket_id").agg(F.max("zs_score").alias("zs_score"))
+
+
+def one_topic(topics: DataFrame) -> DataFrame:
+    """The topic columns by ticket_id, the clearest ones of tickets that have several vectors.
+
+    Equal margins go by the topic's name.
+    """
+    cells = ["topic", "topic_margin", "topic_all_scores"]
+    best = F.max_by(F.struct(*cells), F.struct("topic_margin", "topic"))
+    return topics.groupBy("ticket_id").agg(best.alias("_t")).select(
+        "ticket_id", *(F.col("_t")[c].alias(c) for c in cells)
+    )
+
+
 def score(
     tickets: DataFrame,
     vectors: DataFrame,
@@ -68,16 +85,19 @@ def score(
     """Prepared tickets with topic and urgency.
 
     ``vectors`` is (ticket_id, embedding), ``classifier_scores`` (ticket_id,
-    zs_score). Tickets without a vector count as Other. All that depends on the
-    text is computed before the joins; unless ``keep_text`` is set, only
-    text_snippet and text_length go through them. Each input is shuffled once,
-    by ticket_id, and the decide job's joins use the same partitioning.
+    zs_score). Tickets without a vector count as Other, those without a classifier
+    score go by their keywords. Several vectors or scores of a ticket are folded
+    to one, so tickets are never multiplied. All that depends on the text is
+    computed before the joins; unless ``keep_text`` is set, only text_snippet and
+    text_length go through them. Each input is shuffled once, by ticket_id, and
+    the decide job's joins use the same partitioning.
     """
     own = with_signals(tickets, lexicon)
     if not keep_text:
         own = with_text_figures(own)
-    joined = own.join(classifier_scores, "ticket_id", "left").join(
-        score_topics(vectors, anchors), "ticket_id", "left"
+    topics = score_topics(vectors.select("ticket_id", "embedding"), anchors)
+    joined = own.join(one_score(classifier_scores), "ticket_id", "left").join(
+        one_topic(topics), "ticket_id", "left"
     )
     topic = F.coalesce("topic", F.lit("Other"))
     return with_urgency(joined.withColumn("topic", topic), F.col("zs_score")).drop(
