@@ -4,11 +4,12 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_point
 from ticketlake.operators.canonical import clean_text
 from ticketlake.operators.dedup import dedup_by_version
 from ticketlake.plans import evaluate, profile
 from ticketlake.registry import views
+from ticketlake.registry.oracle import ORACLE
+from ticketlake.registry.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON = re.compile("ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroups")
@@ -43,21 +44,21 @@ def test_scans_read_only_what_a_report_needs(spark):
     assert "ReadSchema: struct<doc_id:bigint>" in plan
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_no_query_needs_a_cross_join(spark, name):
-    plan = _plan(entry_point.queries()[name](spark, SF_DIR))
+    plan = _plan(QUERIES[name](spark, SF_DIR))
     assert not re.search("CartesianProduct|NestedLoopJoin", plan)
 
 
 @pytest.mark.parametrize("report", ["bucket_quality", "length_bucket_actions"])
 def test_bucket_reports_read_the_frame_once(spark, report):
-    df = evaluate.REPORTS[report](views.frame(spark, SF_DIR))
+    df = evaluate.REPORTS[report](evaluate.fold(views.frame(spark, SF_DIR)))
     # the quartile subquery reuses the folded rows
     assert "ReusedExchange" in _final_plan(df)
 
 
 def test_counts_are_combined_before_the_shuffle(spark):
-    f = views.frame(spark, SF_DIR)
+    f = evaluate.fold(views.frame(spark, SF_DIR))
     for df in (evaluate.action_path_cube(f), evaluate.topic_confusion(f), profile.kpis(views.valid(spark, SF_DIR))):
         plan = _plan(df)
         assert "partial_count(1)" in plan

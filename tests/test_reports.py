@@ -41,7 +41,7 @@ def test_frame_maps_labels_and_flattens(spark):
 
 def test_urgency_agreement(spark):
     f = _frame(spark, _result(1, urgency="low"), _result(2, urgency="medium"), _result(3, urgency="high"), _result(4, priority="odd"))
-    r = _one(ev.urgency_agreement(f))
+    r = _one(ev.urgency_agreement(ev.fold(f)))
     assert (r.n, r.n_comparable, r.n_exact, r.n_within_1) == (4, 3, 1, 2)
     assert r.exact_pct == pytest.approx(100 / 3)
 
@@ -51,15 +51,15 @@ def test_distributions_and_fallbacks(spark):
         spark, _result(1), _result(2), _result(3, action="ESCALATE", tools=("missing_info", "__loop_break__")),
         _result(4, action="CLARIFY", tools=("missing_info", "__fallback__"), questions=("q",)),
     )
-    assert [(r.action, r.n, r.pct) for r in ev.action_distribution(f).collect()] == [
+    assert [(r.action, r.n, r.pct) for r in ev.action_distribution(ev.fold(f)).collect()] == [
         ("FORWARD", 2, 50.0), ("CLARIFY", 1, 25.0), ("ESCALATE", 1, 25.0)]
-    assert [(r.action, r.n) for r in ev.action_shares(f).collect()] == [
+    assert [(r.action, r.n) for r in ev.action_shares(ev.fold(f)).collect()] == [
         ("FORWARD", 2), ("ESCALATE", 1), ("CLARIFY", 1), ("FAQ", 0), ("CLAIM", 0)]
-    r = _one(ev.fallback_rate(f))
+    r = _one(ev.fallback_rate(ev.fold(f)))
     assert (r.n_fallback, r.n_loop_break, r.fallback_pct) == (1, 1, 25.0)
-    top = ev.top_tool_paths(f, 2).collect()
+    top = ev.top_tool_paths(ev.fold(f), 2).collect()
     assert [(t.tool_path, t.n, t.n_more) for t in top] == [("forward", 2, 1), ("missing_info -> __fallback__", 1, 1)]
-    cover = {r.action: (r.n, r.n_asking, r.mean_questions) for r in ev.question_coverage(f).collect()}
+    cover = {r.action: (r.n, r.n_asking, r.mean_questions) for r in ev.question_coverage(ev.fold(f)).collect()}
     assert cover["CLARIFY"] == (1, 1, 1.0) and cover["FORWARD"] == (2, 0, 0.0)
 
 
@@ -68,11 +68,11 @@ def test_confusion_matrix_is_dense_and_adds_up(spark):
         spark, _result(1), _result(2, topic="Claims"), _result(3, topic="Other", queue="IT Support"),
         _result(4, queue=None), _result(5, queue="Total"),
     )
-    rows = ev.topic_confusion(f).collect()
+    rows = ev.topic_confusion(ev.fold(f)).collect()
     assert [r.mapped_topic for r in rows] == ["Policy", "Claims", "Billing", "Technical", "Other", "Total"]
     assert [tuple(r)[2:] for r in rows] == [
         (0, 0, 0, 0, 0, 0), (0, 0, 0, 0, 0, 0), (0, 1, 1, 0, 0, 2), (0, 0, 0, 0, 1, 1), (0, 0, 1, 0, 0, 1), (0, 1, 2, 0, 1, 4)]
-    cells = ev.topic_confusion(f, margins=False).collect()
+    cells = ev.topic_confusion(ev.fold(f), margins=False).collect()
     assert len(cells) == 5 and sum(sum(tuple(r)[2:]) for r in cells) == 4
 
 
@@ -86,55 +86,62 @@ def test_null_labels_do_not_look_like_totals(spark):
 
 def test_empty_results(spark):
     f = ev.eval_frame(spark.createDataFrame([], RESULT))
-    for name, report in ev.REPORTS.items():
-        rows = report(f).collect()
+    made = {n: r(ev.fold(f)) for n, r in ev.REPORTS.items()} | {n: r(ev.runtimes(f)) for n, r in ev.RUNTIME_REPORTS.items()}
+    for name, report in made.items():
+        rows = report.collect()
         assert all(v in (None, 0, 0.0, "Total") or isinstance(v, (str, int)) for r in rows for v in r), name
-    assert _one(ev.topic_agreement(f)).exact_pct is None
-    assert ev.margin_histogram(f).count() == 0 and ev.length_quantiles(f).count() == 0
+    assert _one(ev.topic_agreement(ev.fold(f))).exact_pct is None
+    assert ev.margin_histogram(f).count() == 0 and ev.length_quantiles(ev.fold(f)).count() == 0
 
 
 def test_length_buckets(spark):
     f = _frame(spark, *(_result(i, length=10 * i, action="FAQ" if i > 6 else "CLAIM", margin=None if i == 1 else i / 10) for i in range(1, 9)))
-    q = _one(ev.length_quantiles(f))
+    q = _one(ev.length_quantiles(ev.fold(f)))
     assert tuple(q) == (10, 27, 45, 62, 76, 80)
-    rows = ev.bucket_quality(f).collect()
+    rows = ev.bucket_quality(ev.fold(f)).collect()
     assert [(r.bucket, r.bucket_label, r.n) for r in rows] == [
         ("short", "short (<=27)", 2), ("medium", "medium (28-62)", 4), ("long", "long (>62)", 2)]
     assert rows[0].mean_margin == pytest.approx(0.2) and rows[1].mean_margin == pytest.approx(0.45)
-    acts = {r.bucket: (r.CLAIM, r.FAQ, r.total) for r in ev.length_bucket_actions(f).collect()}
+    acts = {r.bucket: (r.CLAIM, r.FAQ, r.total) for r in ev.length_bucket_actions(ev.fold(f)).collect()}
     assert acts == {"short": (2, 0, 2), "medium": (4, 0, 4), "long": (0, 2, 2), "Total": (6, 2, 8)}
 
 
 def test_equal_lengths_leave_the_upper_buckets_empty(spark):
     f = _frame(spark, *(_result(i, length=50) for i in range(4)))
-    assert [r.n for r in ev.bucket_quality(f).collect()] == [4, 0, 0]
+    assert [r.n for r in ev.bucket_quality(ev.fold(f)).collect()] == [4, 0, 0]
 
 
 def test_runtime_reports(spark):
     f = _frame(spark, *(_result(i, runtime=None if i == 9 else float(i), tools=("faq",) if i % 2 else ("claim",)) for i in range(10)))
-    r = _one(ev.runtime_stats(f))
+    r = _one(ev.runtime_stats(ev.runtimes(f)))
     assert (r.n, r.total, r.mean, r.slowest, r.p50) == (9, 36.0, 4.0, 8.0, 4.0) and r.p95 == pytest.approx(7.6)
-    assert [(x.tool_path, x.n) for x in ev.runtime_by_path(f).collect()] == [("claim", 5), ("faq", 4)]
-    assert [(x.tool_path, x.min, x.median, x.max) for x in ev.runtime_box(f).collect()] == [("claim", 0, 4, 8), ("faq", 1, 4, 7)]
+    assert [(x.tool_path, x.n) for x in ev.runtime_by_path(ev.runtimes(f)).collect()] == [("claim", 5), ("faq", 4)]
+    assert [(x.tool_path, x.min, x.median, x.max) for x in ev.runtime_box(ev.runtimes(f)).collect()] == [("claim", 0, 4, 8), ("faq", 1, 4, 7)]
 
 
 def test_disagreements_and_filters(spark):
     f = _frame(spark, *(_result(i, topic="Claims", urgency="high" if i % 2 else "low") for i in range(20)))
     rows = ev.disagreements(f, 3).collect()
     assert [(r.focus, r.ticket_id) for r in rows] == [("topic", 0), ("topic", 1), ("topic", 2), ("urgency", 1), ("urgency", 3), ("urgency", 5)]
-    assert tuple(_one(ev.disagreement_counts(f))) == (20, 10)
+    assert tuple(_one(ev.disagreement_counts(ev.fold(f)))) == (20, 10)
     assert ev.disagreements(f, 10, cut=4).first().snippet == "a sn"
     assert ev.disagreements(f, 10, cut=None).count() == 20
     assert ev.filtered(f, actions=["FAQ"]).count() == 0
     assert ev.filtered(f, ["FORWARD"], ["Claims"], ["high"]).count() == 10
-    k = _one(ev.headline_kpis(f))
+    k = _one(ev.headline_kpis(ev.fold(f)))
     assert (k.n, k.topic_pct, k.urgency_pct, k.n_fallback) == (20, 0.0, 50.0, 0)
 
 
 def test_evaluate_gives_every_report(spark):
-    out = ev.evaluate(spark.createDataFrame([_result(1)], RESULT))
-    assert set(out) == {"frame", *ev.REPORTS} and out["frame"].is_cached
-    out["frame"].unpersist()
+    rows = spark.createDataFrame([_result(i, action="FAQ" if i % 3 else "CLAIM") for i in range(9)], RESULT)
+    out = ev.evaluate(rows, actions=["FAQ"])
+    assert set(out) == {"frame", "margin_histogram", "disagreements", *ev.REPORTS, *ev.RUNTIME_REPORTS}
+    assert _one(out["fallback_rate"]).n == 6 == out["frame"].count() == _one(out["runtime_stats"]).n
+    # one pass each: folding, folding the runtimes, the histogram; the examples take two short ones
+    single = out["margin_histogram"]._jdf.queryExecution().optimizedPlan().toString()
+    assert single.count("LogicalRDD") + single.count("LocalRelation") == 1
+    folded = [out[n]._jdf.queryExecution().optimizedPlan().toString() for n in (*ev.REPORTS, *ev.RUNTIME_REPORTS)]
+    assert not any("LogicalRDD" in p or "LocalRelation" in p for p in folded)
 
 
 # --- quantiles and histograms --------------------------------------------------------

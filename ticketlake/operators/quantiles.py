@@ -8,10 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def value_weights(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Non-null values folded to (by..., value, _n)."""
+def value_weights(
+    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """Non-null values folded to (by..., value, _n).
+
+    ``weight`` names the count column of rows that stand for several.
+    """
     known = df.where(F.col(value).isNotNull())
-    return known.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    n = F.sum(weight) if weight else F.count("*")
+    return known.groupBy(*by, value).agg(n.alias("_n"))
 
 
 def weighted_quantiles(value: str, probs: Sequence[float], weight: str = "_n") -> Column:
@@ -21,14 +27,18 @@ def weighted_quantiles(value: str, probs: Sequence[float], weight: str = "_n") -
 
 
 def bounded_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group with ``q``, the quantiles as an array of doubles.
 
     For values from a small range, such as the length of a capped text: what
     reaches the exact percentile is at most one row per distinct value.
     """
-    folded = value_weights(df, value, by)
+    folded = value_weights(df, value, by, weight)
     return folded.groupBy(*by).agg(weighted_quantiles(value, probs).alias("q"))
 
 
@@ -38,27 +48,33 @@ def exact_quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     steps: int = 10,
+    weight: str | None = None,
 ) -> DataFrame:
     """Like ``bounded_quantiles``, for values with any number of distinct ones.
 
     Approximate edges cut the distinct values into even buckets. Counts per
-    bucket then tell which bucket holds each wanted rank, and only those
-    buckets are put in order, one bucket per window. The edges decide how even
-    the buckets are, never the result.
+    bucket then tell which bucket holds each wanted rank. Only those buckets go on:
+    each is cut into equal widths, counted again, and of the pieces only those with a
+    wanted rank are put in order, one piece per window. Edges and widths decide how
+    even the work is, never the result.
     """
     by = list(by)
     values = (
         df.where(F.col(value).isNotNull())
-        .select(*by, F.col(value).cast("double").alias("_v"))
+        .select(*by, F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).alias("_w"))
         .groupBy(*by, "_v")
-        .agg(F.count("*").alias("_n"))
+        .agg(F.sum("_w").alias("_n"))
     )
     n_edges = (1 << steps) - 1
     splits = F.array(*(F.lit((i + 1) / (n_edges + 1)) for i in range(n_edges)))
     edges = values.agg(
-        F.percentile_approx("_v", splits, F.lit(4 * (n_edges + 1))).alias("e")
+        F.struct(
+            F.percentile_approx("_v", splits, F.lit(4 * (n_edges + 1))).alias("e"),
+            F.min("_v").alias("lo"),
+            F.max("_v").alias("hi"),
+        )
     ).scalar()
-    placed = values.withColumn("_edges", edges)
+    placed = values.withColumn("_span", edges).withColumn("_edges", F.col("_span.e"))
     search = F.aggregate(
         F.array(*(F.lit(1 << k) for k in range(steps - 1, -1, -1))),
         F.lit(0),
@@ -66,7 +82,13 @@ def exact_quantiles(
             F.element_at(F.col("_edges"), pos + half) <= F.col("_v"), pos + half
         ).otherwise(pos),
     )
-    placed = placed.withColumn("_b", search).drop("_edges")
+    placed = placed.withColumn("_b", search)
+    lo = F.coalesce(F.get("_edges", F.col("_b") - 1), F.col("_span.lo"))
+    hi = F.coalesce(F.get("_edges", F.col("_b")), F.col("_span.hi"))
+    piece = F.when(
+        hi > lo, F.least(F.floor((F.col("_v") - lo) / (hi - lo) * (n_edges + 1)), F.lit(n_edges))
+    ).otherwise(0)
+    placed = placed.withColumn("_p", piece).drop("_edges", "_span")
 
     totals = placed.groupBy(*by, "_b").agg(F.sum("_n").alias("_n"))
     group = Window.partitionBy(*by)
@@ -97,9 +119,29 @@ def exact_quantiles(
         .where(F.size("_ranks") > 0)
         .drop("_n")
     )
-    in_bucket = Window.partitionBy(*by, "_b").orderBy("_v")
-    wanted = _same_group(placed, targets, [*by, "_b"]).withColumn(
-        "_first", F.col("_before") + F.sum("_n").over(in_bucket) - F.col("_n")
+    wanted = _same_group(placed, targets, [*by, "_b"])
+    bucket = Window.partitionBy(*by, "_b").orderBy("_p")
+    first = F.col("_before") + F.sum("_n").over(bucket) - F.col("_n")
+    pieces = (
+        wanted.groupBy(*by, "_b", "_p")
+        .agg(
+            F.sum("_n").alias("_n"),
+            *(F.first(c).alias(c) for c in ("_before", "_total", "_ranks")),
+        )
+        .withColumn("_before", first)
+        .withColumn(
+            "_ranks",
+            F.filter(
+                "_ranks",
+                lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")),
+            ),
+        )
+        .where(F.size("_ranks") > 0)
+        .drop("_n")
+    )
+    in_piece = Window.partitionBy(*by, "_b", "_p").orderBy("_v")
+    wanted = _same_group(placed, pieces, [*by, "_b", "_p"]).withColumn(
+        "_first", F.col("_before") + F.sum("_n").over(in_piece) - F.col("_n")
     )
     hits = wanted.select(
         *by,
@@ -137,23 +179,30 @@ def _same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def histogram(
-    df: DataFrame, value: str, bins: int, bounded: bool = False
+    df: DataFrame,
+    value: str,
+    bins: int,
+    bounded: bool = False,
+    span: DataFrame | None = None,
 ) -> DataFrame:
     """Equal-width bins from minimum to maximum, the last one closed; empty ones count 0.
 
     Columns: bin (0-based), lower, upper, n. Equal values all fall in bin 0.
     ``bounded`` values are folded to (value, count) first, so that finding the
-    range and filling the bins share one pass over the rows.
+    range and filling the bins share one pass over the rows. ``span`` is a row that
+    holds the range as a struct of lo and hi, where it is known already.
     """
     known = df.where(F.col(value).isNotNull())
     if bounded:
         known = value_weights(df, value)
     n = F.sum("_n") if bounded else F.count("*")
     x = F.col(value).cast("double")
-    # n is not needed here; asking for it lets Spark reuse the folded rows' exchange
-    span = known.agg(
-        F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), n.alias("n"))
-    ).scalar()
+    if span is None:
+        # n is not needed here; asking for it lets Spark reuse the folded rows' exchange
+        span = known.agg(
+            F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), n.alias("n"))
+        )
+    span = span.scalar()
     lo, hi = F.col("_span.lo"), F.col("_span.hi")
     width = (hi - lo) / bins
     place = F.when(hi == lo, F.lit(0)).otherwise(

@@ -158,8 +158,9 @@ def stratified_sample(
 
 
 def head(df: DataFrame, n: int, id_col: str = "ticket_id") -> DataFrame:
-    """The first n tickets of a sample, in sample order."""
-    return lowest(df, n, "sample_order", id_col)
+    """The first n tickets of a sample, in sample order; only ids and keys are ranked."""
+    ids = lowest(df.select(id_col, "sample_order"), n, "sample_order", id_col)
+    return df.join(ids.select(id_col), id_col, "left_semi")
 
 
 def random_row(df: DataFrame, seed: int, id_col: str = "ticket_id") -> DataFrame:

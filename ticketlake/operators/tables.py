@@ -22,23 +22,26 @@ def _sum_where(condition: Column, col: str) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col(col))), F.lit(0))
 
 
-def value_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(col).agg(F.count("*").alias("n"))
+def value_counts(df: DataFrame, col: str, weight: str | None = None) -> DataFrame:
+    """Rows per value; ``weight`` names the count column of rows that stand for several."""
+    return df.groupBy(col).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
 
 
-def distribution(df: DataFrame, col: str) -> DataFrame:
+def distribution(df: DataFrame, col: str, weight: str | None = None) -> DataFrame:
     """Count and percentage per value, null included."""
-    counts = value_counts(df, col)
+    counts = value_counts(df, col, weight)
     total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", percent(F.col("n"), total))
 
 
-def dense_distribution(df: DataFrame, col: str, values: Sequence[str]) -> DataFrame:
+def dense_distribution(
+    df: DataFrame, col: str, values: Sequence[str], weight: str | None = None
+) -> DataFrame:
     """Count and percentage for exactly the listed values, in order, 0 where absent.
 
     Percentages are over the rows that have one of the values.
     """
-    counts = value_counts(df, col)
+    counts = value_counts(df, col, weight)
     rows = [
         F.struct(
             F.lit(i).alias("ord"),
@@ -56,12 +59,12 @@ def dense_distribution(df: DataFrame, col: str, values: Sequence[str]) -> DataFr
     )
 
 
-def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
+def top_values(df: DataFrame, col: str, k: int, weight: str | None = None) -> DataFrame:
     """The k most frequent non-null values: n, pct, and n_more values left out.
 
     Ties go by value; percentages are over the rows that have a value.
     """
-    counts = value_counts(df.where(F.col(col).isNotNull()), col)
+    counts = value_counts(df.where(F.col(col).isNotNull()), col, weight)
     all_values = counts.agg(
         F.struct(F.sum("n").alias("rows"), F.count(col).alias("values"))
     ).scalar()
@@ -73,13 +76,13 @@ def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
     )
 
 
-def pair_cube(df: DataFrame, a: str, b: str) -> DataFrame:
+def pair_cube(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
     """Counts of every pair, row totals, column totals and the grand total.
 
     Long form, for open value sets; ``<column>_total`` is 1 where the column
     has been summed over, so a null value never looks like a total.
     """
-    pairs = df.groupBy(a, b).agg(F.count("*").alias("n"))
+    pairs = df.groupBy(a, b).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     return pairs.cube(a, b).agg(
         F.grouping(a).cast("int").alias(f"{a}_total"),
         F.grouping(b).cast("int").alias(f"{b}_total"),

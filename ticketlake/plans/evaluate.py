@@ -1,6 +1,9 @@
 """Evaluate: result records against mapped labels.
 
-Every report takes the evaluation frame (``eval_frame``) and returns one table.
+Reports are read from two tables. ``fold`` turns the evaluation frame (``eval_frame``)
+into counts and sums per combination of the few values that most reports are about;
+those reports never see single tickets. The rest (exact quantiles, examples) reads the
+frame itself.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from ..schemas import (
     TOPICS,
     URGENCY_DISPLAY,
 )
+from ..storage import stage
 
 NO_PATH = "(none)"
 
@@ -86,8 +90,47 @@ def filtered(
     return frame
 
 
-# --- single figures --------------------------------------------------------
+KEYS = [
+    "action",
+    "tool_path",
+    "is_fallback",
+    "is_loop_break",
+    "predicted_topic",
+    "mapped_topic",
+    "predicted_urgency",
+    "mapped_urgency",
+    "n_clarifications",
+    "text_length",
+]
+
+
+def fold(frame: DataFrame) -> DataFrame:
+    """One row per combination of KEYS: tickets, and sums over their margins.
+
+    Combines map-side. All keys but text_length, which is capped, and tool_path,
+    which holds four tools at most, are from short lists.
+    """
+    margin = F.col("topic_margin")
+    return (
+        frame.withColumns(
+            {
+                "is_fallback": F.array_contains("tools_used", FALLBACK_MARK),
+                "is_loop_break": F.array_contains("tools_used", LOOP_BREAK_MARK),
+            }
+        )
+        .groupBy(*KEYS)
+        .agg(
+            F.count("*").alias("n"),
+            F.count(margin).alias("n_margin"),
+            F.sum(margin).alias("margin_sum"),
+            F.min(margin).alias("margin_min"),
+            F.max(margin).alias("margin_max"),
+            F.count_if(margin < TOPIC_MARGIN_THRESHOLD).alias("n_low"),
+        )
+    )
+
 
+# --- single figures --------------------------------------------------------
 
 
 def _topic_hit() -> Column:
@@ -98,8 +141,14 @@ def _urgency_hit() -> Column:
     return F.col("predicted_urgency") == F.col("mapped_urgency")
 
 
-def _marked(mark: str) -> Column:
-    return F.array_contains("tools_used", mark)
+def _tickets(condition: Column | None = None, of: str = "n") -> Column:
+    """Tickets of folded rows, those that meet the condition; 0 if there are none."""
+    n = F.col(of) if condition is None else F.when(condition, F.col(of))
+    return F.coalesce(F.sum(n), F.lit(0))
+
+
+def _known(col: str) -> Column:
+    return _tickets(F.col(col).isNotNull())
 
 
 def _with_percent(df: DataFrame, *shares: tuple[str, str, str]) -> DataFrame:
@@ -113,12 +162,12 @@ def _with_percent(df: DataFrame, *shares: tuple[str, str, str]) -> DataFrame:
     )
 
 
-def fallback_rate(frame: DataFrame) -> DataFrame:
+def fallback_rate(folded: DataFrame) -> DataFrame:
     """Tickets decided by fallback; tickets cut off by the loop guard apart."""
-    counts = frame.agg(
-        F.count("*").alias("n"),
-        F.count_if(_marked(FALLBACK_MARK)).alias("n_fallback"),
-        F.count_if(_marked(LOOP_BREAK_MARK)).alias("n_loop_break"),
+    counts = folded.agg(
+        _tickets().alias("n"),
+        _tickets(F.col("is_fallback")).alias("n_fallback"),
+        _tickets(F.col("is_loop_break")).alias("n_loop_break"),
     )
     return _with_percent(
         counts,
@@ -127,16 +176,16 @@ def fallback_rate(frame: DataFrame) -> DataFrame:
     )
 
 
-def urgency_agreement(frame: DataFrame) -> DataFrame:
+def urgency_agreement(folded: DataFrame) -> DataFrame:
     gap = F.abs(
         urgency_ordinal(F.col("predicted_urgency"))
         - urgency_ordinal(F.col("mapped_urgency"))
     )
-    counts = frame.agg(
-        F.count("*").alias("n"),
-        F.count("mapped_urgency").alias("n_comparable"),
-        F.count_if(_urgency_hit()).alias("n_exact"),
-        F.count_if(gap <= 1).alias("n_within_1"),
+    counts = folded.agg(
+        _tickets().alias("n"),
+        _known("mapped_urgency").alias("n_comparable"),
+        _tickets(_urgency_hit()).alias("n_exact"),
+        _tickets(gap <= 1).alias("n_within_1"),
     )
     return _with_percent(
         counts,
@@ -145,15 +194,15 @@ def urgency_agreement(frame: DataFrame) -> DataFrame:
     )
 
 
-def topic_agreement(frame: DataFrame) -> DataFrame:
+def topic_agreement(folded: DataFrame) -> DataFrame:
     """Over all tickets with a queue, and over those not mapped to Other."""
     specific = F.col("mapped_topic") != "Other"
-    counts = frame.agg(
-        F.count("*").alias("n"),
-        F.count("mapped_topic").alias("n_comparable"),
-        F.count_if(_topic_hit()).alias("n_exact"),
-        F.count_if(specific).alias("n_specific"),
-        F.count_if(specific & _topic_hit()).alias("n_specific_exact"),
+    counts = folded.agg(
+        _tickets().alias("n"),
+        _known("mapped_topic").alias("n_comparable"),
+        _tickets(_topic_hit()).alias("n_exact"),
+        _tickets(specific).alias("n_specific"),
+        _tickets(specific & _topic_hit()).alias("n_specific_exact"),
     )
     return _with_percent(
         counts,
@@ -162,32 +211,32 @@ def topic_agreement(frame: DataFrame) -> DataFrame:
     )
 
 
-def margin_stats(frame: DataFrame) -> DataFrame:
+def margin_stats(folded: DataFrame) -> DataFrame:
     """Margins of the tickets with a queue."""
-    margins = frame.where(F.col("mapped_topic").isNotNull())
+    margins = folded.where(F.col("mapped_topic").isNotNull())
     counts = margins.agg(
-        F.count("topic_margin").alias("n"),
-        F.avg("topic_margin").alias("mean_margin"),
-        F.min("topic_margin").alias("min_margin"),
-        F.max("topic_margin").alias("max_margin"),
-        F.count_if(F.col("topic_margin") < TOPIC_MARGIN_THRESHOLD).alias("n_low"),
+        _tickets(of="n_margin").alias("n"),
+        (F.sum("margin_sum") / F.nullif(F.sum("n_margin"), F.lit(0))).alias("mean_margin"),
+        F.min("margin_min").alias("min_margin"),
+        F.max("margin_max").alias("max_margin"),
+        _tickets(of="n_low").alias("n_low"),
     )
     return _with_percent(counts, ("low_pct", "n_low", "n"))
 
 
-def headline_kpis(frame: DataFrame) -> DataFrame:
-    """The dashboard's figures in one pass over the frame."""
+def headline_kpis(folded: DataFrame) -> DataFrame:
+    """The dashboard's figures."""
     specific = F.col("mapped_topic") != "Other"
-    counts = frame.agg(
-        F.count("*").alias("n"),
-        F.count("mapped_topic").alias("_t"),
-        F.count_if(_topic_hit()).alias("_th"),
-        F.count_if(specific).alias("_s"),
-        F.count_if(specific & _topic_hit()).alias("_sh"),
-        F.count("mapped_urgency").alias("_u"),
-        F.count_if(_urgency_hit()).alias("_uh"),
-        F.count_if(_marked(FALLBACK_MARK)).alias("n_fallback"),
-        F.count_if(_marked(LOOP_BREAK_MARK)).alias("n_loop_break"),
+    counts = folded.agg(
+        _tickets().alias("n"),
+        _known("mapped_topic").alias("_t"),
+        _tickets(_topic_hit()).alias("_th"),
+        _tickets(specific).alias("_s"),
+        _tickets(specific & _topic_hit()).alias("_sh"),
+        _known("mapped_urgency").alias("_u"),
+        _tickets(_urgency_hit()).alias("_uh"),
+        _tickets(F.col("is_fallback")).alias("n_fallback"),
+        _tickets(F.col("is_loop_break")).alias("n_loop_break"),
     )
     return counts.select(
         "n",
@@ -202,63 +251,72 @@ def headline_kpis(frame: DataFrame) -> DataFrame:
 # --- distributions and matrices --------------------------------------------
 
 
-def action_distribution(frame: DataFrame) -> DataFrame:
-    return distribution(frame, "action").orderBy(F.desc("n"), "action")
+def action_distribution(folded: DataFrame) -> DataFrame:
+    return distribution(folded, "action", weight="n").orderBy(F.desc("n"), "action")
 
 
-def action_shares(frame: DataFrame) -> DataFrame:
+def action_shares(folded: DataFrame) -> DataFrame:
     """All five actions in fixed order, 0 where none was taken."""
-    return dense_distribution(frame, "action", ACTIONS)
+    return dense_distribution(folded, "action", ACTIONS, weight="n")
 
 
-def top_tool_paths(frame: DataFrame, k: int = 10) -> DataFrame:
-    return top_values(frame, "tool_path", k)
+def top_tool_paths(folded: DataFrame, k: int = 10) -> DataFrame:
+    return top_values(folded, "tool_path", k, weight="n")
 
 
-def action_path_cube(frame: DataFrame) -> DataFrame:
-    return pair_cube(frame, "action", "tool_path")
+def action_path_cube(folded: DataFrame) -> DataFrame:
+    return pair_cube(folded, "action", "tool_path", weight="n")
 
 
-def question_coverage(frame: DataFrame) -> DataFrame:
+def question_coverage(folded: DataFrame) -> DataFrame:
     """Per action: tickets, those that ask something, questions per ticket."""
-    counts = frame.groupBy("action").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("n_clarifications") > 0).alias("n_asking"),
-        F.avg("n_clarifications").alias("mean_questions"),
+    counts = folded.groupBy("action").agg(
+        _tickets().alias("n"),
+        _tickets(F.col("n_clarifications") > 0).alias("n_asking"),
+        (F.sum(F.col("n_clarifications") * F.col("n")) / F.sum("n")).alias("mean_questions"),
     )
     return _with_percent(counts, ("asking_pct", "n_asking", "n"))
 
 
-def urgency_confusion(frame: DataFrame, margins: bool = True) -> DataFrame:
+def urgency_confusion(folded: DataFrame, margins: bool = True) -> DataFrame:
     return crosstab(
-        frame,
+        folded,
         "mapped_urgency",
         "predicted_urgency",
         URGENCY_DISPLAY,
         URGENCY_DISPLAY,
         margins,
+        weight="n",
     )
 
 
-def topic_confusion(frame: DataFrame, margins: bool = True) -> DataFrame:
+def topic_confusion(folded: DataFrame, margins: bool = True) -> DataFrame:
     return crosstab(
-        frame, "mapped_topic", "predicted_topic", TOPICS, TOPICS, margins
+        folded, "mapped_topic", "predicted_topic", TOPICS, TOPICS, margins, weight="n"
     )
 
 
-def topic_recall(frame: DataFrame) -> DataFrame:
+def topic_recall(folded: DataFrame) -> DataFrame:
     """Per mapped topic that occurs: tickets and how many were predicted right."""
     counts = (
-        frame.where(F.col("mapped_topic").isNotNull())
+        folded.where(F.col("mapped_topic").isNotNull())
         .groupBy("mapped_topic")
-        .agg(F.count("*").alias("n"), F.count_if(_topic_hit()).alias("n_correct"))
+        .agg(_tickets().alias("n"), _tickets(_topic_hit()).alias("n_correct"))
     )
     order = F.array_position(F.array(*(F.lit(t) for t in TOPICS)), F.col("mapped_topic"))
     return _with_percent(counts, ("recall_pct", "n_correct", "n")).orderBy(order)
 
 
-def margin_histogram(frame: DataFrame, bins: int = 30) -> DataFrame:
-    return histogram(frame, "topic_margin", bins)
+def margin_histogram(
+    frame: DataFrame, bins: int = 30, folded: DataFrame | None = None
+) -> DataFrame:
+    """Margins in equal-width bins; the range comes from ``folded`` where it is at hand."""
+    span = None
+    if folded is not None:
+        span = folded.agg(
+            F.struct(F.min("margin_min").alias("lo"), F.max("margin_max").alias("hi"))
+        )
+    return histogram(frame, "topic_margin", bins, span=span)
 
 
 # --- text length ------------------------------------------------------------
@@ -267,9 +325,9 @@ _LENGTH_PROBS = [0.0, 0.25, 0.5, 0.75, 0.95, 1.0]
 _LENGTH_NAMES = ["min", "p25", "median", "p75", "p95", "max"]
 
 
-def length_quantiles(frame: DataFrame) -> DataFrame:
+def length_quantiles(folded: DataFrame) -> DataFrame:
     """Whole-number quantiles, cut off like the report's."""
-    q = bounded_quantiles(frame, "text_length", _LENGTH_PROBS)
+    q = bounded_quantiles(folded, "text_length", _LENGTH_PROBS, weight="n")
     return q.where(F.col("q").isNotNull()).select(
         *(
             F.floor(F.col("q")[i]).cast("int").alias(name)
@@ -278,24 +336,26 @@ def length_quantiles(frame: DataFrame) -> DataFrame:
     )
 
 
-def length_by_action(frame: DataFrame) -> DataFrame:
-    return frame.groupBy("action").agg(
-        F.avg("text_length").alias("mean_length"), F.count("*").alias("n")
+def length_by_action(folded: DataFrame) -> DataFrame:
+    known = F.when(F.col("text_length").isNotNull(), F.col("n"))
+    return folded.groupBy("action").agg(
+        (F.sum(F.col("text_length") * F.col("n")) / F.sum(known)).alias("mean_length"),
+        _tickets().alias("n"),
     )
 
 
 LENGTH_BUCKETS = ["short", "medium", "long"]
 
 
-# Capped texts have at most 2,007 lengths. The bucket reports fold the frame to
-# one row per length first; quartiles and buckets then come from those rows.
+# Capped texts have at most 2,007 lengths. The bucket reports fold to one row per
+# length first; quartiles and buckets then come from those rows.
 
 
 def _length_cuts(folded: DataFrame) -> Column:
     """Quartiles [q25, q75] of rows folded by text_length, as a scalar.
 
     The subquery also reads the other columns, so that Spark reuses the exchange
-    of the folded rows instead of folding the frame a second time.
+    of these rows instead of making them a second time.
     """
     others = [c for c in folded.columns if c not in ("text_length", "_n")]
     return folded.agg(
@@ -312,9 +372,9 @@ def length_bucket(length: Column, cuts: Column) -> Column:
     )
 
 
-def length_bucket_actions(frame: DataFrame, margins: bool = True) -> DataFrame:
-    folded = value_weights(frame, "text_length", ["action"])
-    cut = folded.withColumn("_q", _length_cuts(folded))
+def length_bucket_actions(folded: DataFrame, margins: bool = True) -> DataFrame:
+    lengths = value_weights(folded, "text_length", ["action"], weight="n")
+    cut = lengths.withColumn("_q", _length_cuts(lengths))
     return crosstab(
         cut.withColumn("bucket", length_bucket(F.col("text_length"), F.col("_q"))),
         "bucket",
@@ -326,27 +386,27 @@ def length_bucket_actions(frame: DataFrame, margins: bool = True) -> DataFrame:
     )
 
 
-def bucket_quality(frame: DataFrame) -> DataFrame:
+def bucket_quality(folded: DataFrame) -> DataFrame:
     """Agreement per length bucket, each figure over the rows that have it.
 
     All three buckets are listed, with their cut points and display labels.
     """
     tallies = {
-        "_n": F.count("*"),
-        "n_topic": F.count("mapped_topic"),
-        "n_topic_exact": F.count_if(_topic_hit()),
-        "n_urgency": F.count("mapped_urgency"),
-        "n_urgency_exact": F.count_if(_urgency_hit()),
-        "_margins": F.count("topic_margin"),
-        "_margin_sum": F.sum("topic_margin"),
+        "_n": _tickets(),
+        "n_topic": _known("mapped_topic"),
+        "n_topic_exact": _tickets(_topic_hit()),
+        "n_urgency": _known("mapped_urgency"),
+        "n_urgency_exact": _tickets(_urgency_hit()),
+        "_margins": _tickets(of="n_margin"),
+        "_margin_sum": F.sum("margin_sum"),
     }
-    folded = (
-        frame.where(F.col("text_length").isNotNull())
+    lengths = (
+        folded.where(F.col("text_length").isNotNull())
         .groupBy("text_length")
         .agg(*(c.alias(n) for n, c in tallies.items()))
     )
     q = F.col("_q")
-    placed = folded.withColumn("_q", _length_cuts(folded)).withColumn(
+    placed = lengths.withColumn("_q", _length_cuts(lengths)).withColumn(
         "bucket", length_bucket(F.col("text_length"), q)
     )
     low, high = q[0].cast("int"), q[1].cast("int")
@@ -389,35 +449,46 @@ def bucket_quality(frame: DataFrame) -> DataFrame:
 # --- runtime ------------------------------------------------------------------
 
 
-def runtime_stats(frame: DataFrame) -> DataFrame:
+def runtimes(frame: DataFrame) -> DataFrame:
+    """tool_path, runtime_seconds and how often (_n); the runtime reports are made from it.
+
+    Stage it when several reports are made.
+    """
+    return value_weights(frame, "runtime_seconds", ["tool_path"])
+
+
+def _spent() -> Column:
+    return F.sum(F.col("runtime_seconds") * F.col("_n"))
+
+
+def runtime_stats(spent: DataFrame) -> DataFrame:
     """Sum, mean, median, 95th percentile and maximum of the recorded runtimes."""
-    q = exact_quantiles(frame, "runtime_seconds", [0.5, 0.95]).select("q").scalar()
-    return frame.agg(
-        F.count("runtime_seconds").alias("n"),
-        F.sum("runtime_seconds").alias("total"),
-        F.avg("runtime_seconds").alias("mean"),
+    q = exact_quantiles(spent, "runtime_seconds", [0.5, 0.95], weight="_n").select("q").scalar()
+    return spent.agg(
+        _tickets(of="_n").alias("n"),
+        _spent().alias("total"),
+        (_spent() / F.nullif(F.sum("_n"), F.lit(0))).alias("mean"),
         F.max("runtime_seconds").alias("slowest"),
     ).select("*", q[0].alias("p50"), q[1].alias("p95"))
 
 
-def runtime_by_path(frame: DataFrame) -> DataFrame:
+def runtime_by_path(spent: DataFrame) -> DataFrame:
     """Mean runtime and count per tool path, slowest first."""
     return (
-        frame.where(F.col("runtime_seconds").isNotNull())
-        .groupBy("tool_path")
-        .agg(F.avg("runtime_seconds").alias("mean"), F.count("*").alias("n"))
+        spent.groupBy("tool_path")
+        .agg((_spent() / F.sum("_n")).alias("mean"), F.sum("_n").alias("n"))
         .orderBy(F.desc("mean"), "tool_path")
     )
 
 
-def runtime_box(frame: DataFrame) -> DataFrame:
+def runtime_box(spent: DataFrame) -> DataFrame:
     """Box statistics per tool path, fastest mean first."""
     q = exact_quantiles(
-        frame, "runtime_seconds", [0.0, 0.25, 0.5, 0.75, 1.0], ["tool_path"]
+        spent, "runtime_seconds", [0.0, 0.25, 0.5, 0.75, 1.0], ["tool_path"], weight="_n"
     )
     names = ["min", "q1", "median", "q3", "max"]
     return (
-        runtime_by_path(frame)
+        runtime_by_path(spent)
         .join(q, "tool_path")
         .select(
             "tool_path",
@@ -432,10 +503,10 @@ def runtime_box(frame: DataFrame) -> DataFrame:
 # --- disagreements --------------------------------------------------------------
 
 
-def disagreement_counts(frame: DataFrame) -> DataFrame:
-    return frame.agg(
-        F.count_if(~_topic_hit()).alias("n_topic"),
-        F.count_if(~_urgency_hit()).alias("n_urgency"),
+def disagreement_counts(folded: DataFrame) -> DataFrame:
+    return folded.agg(
+        _tickets(~_topic_hit()).alias("n_topic"),
+        _tickets(~_urgency_hit()).alias("n_urgency"),
     )
 
 
@@ -479,6 +550,7 @@ def disagreements(frame: DataFrame, n: int = 5, cut: int | None = 140) -> DataFr
     )
 
 
+# made from the folded table alone
 REPORTS = {
     "action_distribution": action_distribution,
     "action_shares": action_shares,
@@ -492,24 +564,41 @@ REPORTS = {
     "margin_stats": margin_stats,
     "topic_confusion": topic_confusion,
     "topic_recall": topic_recall,
-    "margin_histogram": margin_histogram,
     "length_quantiles": length_quantiles,
     "length_by_action": length_by_action,
     "length_bucket_actions": length_bucket_actions,
     "bucket_quality": bucket_quality,
+    "disagreement_counts": disagreement_counts,
+    "headline_kpis": headline_kpis,
+}
+# made from the folded runtimes
+RUNTIME_REPORTS = {
     "runtime_stats": runtime_stats,
     "runtime_by_path": runtime_by_path,
     "runtime_box": runtime_box,
-    "disagreement_counts": disagreement_counts,
-    "disagreements": disagreements,
-    "headline_kpis": headline_kpis,
 }
 
 
-def evaluate(results: DataFrame) -> dict[str, DataFrame]:
-    """All reports over one persisted evaluation frame.
+def evaluate(
+    results: DataFrame,
+    actions: Sequence[str] | None = None,
+    topics: Sequence[str] | None = None,
+    urgencies: Sequence[str] | None = None,
+) -> dict[str, DataFrame]:
+    """All reports, over the results with the given values.
 
-    The frame stays persisted under the key ``frame``; unpersist it when done.
+    The results are read four times in all: to fold them, to fold the runtimes,
+    for the histogram of margins, and for the examples; columns that a pass does not
+    need are not read. The frame is returned under the key ``frame``.
     """
-    frame = eval_frame(results).persist()
-    return {"frame": frame, **{name: make(frame) for name, make in REPORTS.items()}}
+    frame = filtered(eval_frame(results), actions, topics, urgencies)
+    folded = stage(fold(frame), "evaluation")
+    spent = stage(runtimes(frame), "runtimes")
+    reports = {name: make(folded) for name, make in REPORTS.items()}
+    return {
+        "frame": frame,
+        **reports,
+        "margin_histogram": margin_histogram(frame, folded=folded),
+        **{name: make(spent) for name, make in RUNTIME_REPORTS.items()},
+        "disagreements": disagreements(frame),
+    }
