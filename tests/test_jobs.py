@@ -11,7 +11,7 @@ from ticketlake.plans.score import score_urgency
 from ticketlake.registry import views
 from ticketlake.schemas import FILE_VERSIONS, PREPARED, RESULT, TOPICS
 from ticketlake.sources import tables
-from ticketlake.storage import clear, shared_folder, stage
+from ticketlake.storage import clear, shared_folder, stage, staged_run
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -58,13 +58,12 @@ def test_prepare_job(spark, tmp_path):
 def test_score_decide_evaluate_jobs(spark, tmp_path):
     tickets = views.prepared(spark, SF_DIR)
     scored = score_urgency(tickets, F.lit(0.7)).join(views.topics(spark, SF_DIR), "ticket_id")
-    out = decide.run(scored, views.step_log(spark, SF_DIR), f"{tmp_path}/results")
+    out = decide.run(scored, views.step_log(spark, SF_DIR), f"{tmp_path}/results", f"{tmp_path}/errors")
     back = tables.read_results(spark, f"{tmp_path}/results")
     assert back.count() + out.errors.count() == scored.count()
     assert sum(r.n for r in out.actions.collect()) == back.count()
     reports = evaluate.evaluate(back)
     assert reports["topic_agreement"].first().n == back.count()
-    reports["frame"].unpersist()
     # null fields are written out, texts are not escaped
     (part, *_) = [p for p in os.listdir(tmp_path / "results") if p.endswith(".json")]
     record = json.loads((tmp_path / "results" / part).read_text().splitlines()[0])
@@ -110,7 +109,9 @@ def test_language_filter_keeps_only_targets(spark):
 def test_command_line_jobs(spark, tmp_path):
     _ticket_folder(tmp_path)
     at = lambda name: f"{tmp_path}/out/{name}"
-    jobs.main(["prepare", "--folder", str(tmp_path), "--out", at("sample"), "--rejected-out", at("rejected"), "--n", "30"])
+    jobs.main(["prepare", "--folder", str(tmp_path), "--out", at("sample"), "--rejected-out", at("rejected"),
+               "--reports-out", at("summary"), "--n", "30"])
+    assert {r.status for r in spark.read.json(at("summary/coverage")).collect()} == {"known"}
     ids = spark.read.parquet(at("sample")).select("ticket_id")
     vector = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.sin(i * (F.col("ticket_id") % 17)).cast("float"))
     ids.select("ticket_id", vector.alias("embedding")).write.parquet(at("vectors"))
@@ -122,14 +123,100 @@ def test_command_line_jobs(spark, tmp_path):
     scored = spark.read.parquet(at("scored"))
     assert scored.count() == 20 and scored.where("urgency is null or topic is null").count() == 0
     (tmp_path / "system.txt").write_text("Route tickets.")
-    jobs.main(["requests", "--scored", at("scored"), "--system", str(tmp_path / "system.txt"), "--out", at("requests")])
+    assert "text" not in scored.columns
+    jobs.main(["requests", "--scored", at("scored"), "--sample", at("sample"), "--system", str(tmp_path / "system.txt"),
+               "--out", at("requests")])
     assert spark.read.parquet(at("requests")).count() == 20
     reply = F.lit('{"thought": "t", "tool": "faq", "args": {"reasoning": "how-to"}}')
     scored.limit(12).select("ticket_id", F.lit(1).alias("turn"), F.lit(1).alias("attempt"), reply.alias("raw_json")).write.json(at("steps"))
-    jobs.main(["decide", "--scored", at("scored"), "--steps", at("steps"), "--out", at("results")])
+    jobs.main(["decide", "--scored", at("scored"), "--steps", at("steps"), "--out", at("results"), "--errors-out", at("errors")])
     results = tables.read_results(spark, at("results"))
     assert results.where("action = 'FAQ' and reasoning = 'how-to'").count() == 12 and results.count() == 20
     jobs.main(["evaluate", "--results", at("results"), "--out", at("reports")])
     assert spark.read.json(at("reports/fallback_rate")).first().n_fallback == 8
+    jobs.main(["evaluate", "--results", at("results"), "--out", at("some"), "--actions", "FAQ", "CLAIM"])
+    assert spark.read.json(at("some/fallback_rate")).first().n >= 12
     jobs.main(["profile", "--sample", at("sample"), "--out", at("stats"), "--languages", "en"])
     assert spark.read.json(at("stats/kpis")).first().n_languages == 1
+
+
+def _written(spark, path, rows, schema="ticket_id long, turn int, attempt int, raw_json string"):
+    spark.createDataFrame(rows, schema).write.mode("overwrite").json(path)
+    return path
+
+
+def test_a_conversation_goes_round(spark, tmp_path):
+    """Requests, an invalid answer, a retry, the helper, its answer, the follow-up, a decision."""
+    at = lambda name: f"{tmp_path}/{name}"
+    ids = (1, 2, 3)
+    spark.createDataFrame([(i, f"text {i}") for i in ids], "ticket_id long, text string").write.parquet(at("sample"))
+    scored = spark.createDataFrame(
+        [(i, "Other", 0.1, "low", 0.0, f"text {i}", 6, "q", "p", "t") for i in ids],
+        "ticket_id long, topic string, topic_margin double, urgency string, urgency_score double, text_snippet string, "
+        "text_length int, queue string, priority string, type string")
+    scored.withColumn("topic_all_scores", F.create_map(F.lit("Other"), F.lit(0.1))).write.parquet(at("scored"))
+    for name in ("system", "check"):
+        (tmp_path / f"{name}.txt").write_text(name)
+    texts = ["--scored", at("scored"), "--sample", at("sample")]
+    jobs.main(["requests", *texts, "--system", at("system.txt"), "--out", at("requests")])
+    helper = '{"thought": "vague", "tool": "missing_info", "args": {"z": 1.0, "a": [2, {"y": 1, "b": 2}]}}'
+    faq = '{"thought": "t", "tool": "faq", "args": {"reasoning": "r"}}'
+    log = [(1, 1, 1, '{"tool": "faq"}'), (2, 1, 1, helper), (3, 1, 1, faq)]
+    jobs.main(["retries", "--requests", at("requests"), "--steps", _written(spark, at("log1"), log), "--out", at("retries")])
+    (retry,) = spark.read.parquet(at("retries")).collect()
+    assert (retry.ticket_id, retry.attempt, len(retry.messages)) == (1, 2, 4)
+
+    log += [(1, 1, 2, helper)]
+    jobs.main(["checks", *texts, "--steps", _written(spark, at("log2"), log), "--system", at("check.txt"), "--out", at("checks")])
+    checks = spark.read.parquet(at("checks")).collect()
+    assert sorted((c.ticket_id, c.turn) for c in checks) == [(1, 1), (2, 1)]
+    answers = _written(spark, at("answers"), [(i, '{"is_actionable": false, "missing_aspects": ["order"]}') for i in (1, 2)],
+                       "ticket_id long, raw_json string")
+    jobs.main(["completeness", "--answers", answers, "--out", at("parsed")])
+    assert spark.read.parquet(at("parsed")).where("was_valid").count() == 2
+
+    spark.read.parquet(at("requests")).unionByName(spark.read.parquet(at("retries"))).write.parquet(at("sent"))
+    jobs.main(["follow-ups", "--requests", at("sent"), "--steps", at("log2"), "--answers", answers, *texts, "--out", at("next")])
+    follow = {r.ticket_id: r for r in spark.read.parquet(at("next")).collect()}
+    assert sorted(follow) == [1, 2] and {(r.turn, r.attempt) for r in follow.values()} == {(2, 1)}
+    # the step is repeated as it was received
+    assert follow[2].messages[-2].content == helper.replace(": ", ":").replace(", ", ",")
+    assert len(follow[1].messages) == 6
+
+    clarify = '{"thought": "t", "tool": "clarify", "args": {"reasoning": "r", "clarification_questions": ["Which order?"]}}'
+    log += [(1, 2, 1, clarify), (2, 2, 1, helper)]
+    _written(spark, at("log3"), log)
+    jobs.main(["follow-ups", "--requests", at("next"), "--steps", at("log3"), "--answers", answers, *texts, "--out", at("none")])
+    assert spark.read.parquet(at("none")).count() == 0
+    jobs.main(["decide", "--scored", at("scored"), "--steps", at("log3"), "--out", at("results"), "--errors-out", at("errors")])
+    got = {r.ticket_id: (r.action, r.tools_used) for r in tables.read_results(spark, at("results")).collect()}
+    assert got == {1: ("CLARIFY", ["missing_info", "clarify"]), 2: ("CLARIFY", ["missing_info", "__loop_break__"]), 3: ("FAQ", ["faq"])}
+
+
+def test_every_decision_error_is_written(spark, tmp_path):
+    at = lambda name: f"{tmp_path}/{name}"
+    bad = '{"thought": "t", "tool": "faq", "args": {"faq_topic": 7}}'
+    good = '{"thought": "t", "tool": "faq", "args": {}}'
+    rows = spark.range(120).select(
+        F.col("id").alias("ticket_id"), F.lit("Policy").alias("topic"), F.lit(0.5).alias("topic_margin"),
+        F.create_map(F.lit("Policy"), F.lit(0.5)).alias("topic_all_scores"), F.lit("low").alias("urgency"),
+        F.lit(0.0).alias("urgency_score"), F.lit("x").alias("text_snippet"), F.lit(1).alias("text_length"),
+        *(F.lit("v").alias(c) for c in ("queue", "priority", "type")))
+    rows.write.parquet(at("scored"))
+    spark.range(120).select(
+        F.col("id").alias("ticket_id"), F.lit(1).alias("turn"), F.lit(1).alias("attempt"),
+        F.when(F.col("id") < 70, bad).otherwise(good).alias("raw_json")).write.json(at("log"))
+    jobs.main(["decide", "--scored", at("scored"), "--steps", at("log"), "--out", at("results"), "--errors-out", at("errors")])
+    errors, results = spark.read.json(at("errors")), tables.read_results(spark, at("results"))
+    assert (errors.count(), results.count()) == (70, 50)
+    assert errors.where("decision_error IS NULL").count() == 0
+    assert errors.select("ticket_id").intersect(results.select("ticket_id")).count() == 0
+
+
+def test_a_run_clears_its_own_tables_only(spark):
+    outside = stage(spark.range(3), "outside")
+    with staged_run(spark):
+        inside = stage(spark.range(3), "inside").inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(inside)
+    assert not os.path.exists(inside) and outside.count() == 3
+    clear(spark)

@@ -1,14 +1,21 @@
 """Spark entry points: ``spark-submit -m``-style jobs over stored tables.
 
-    python -m ticketlake.jobs prepare  --folder F --out SAMPLE --rejected-out R --n 5000
+    python -m ticketlake.jobs prepare  --folder F --out SAMPLE --rejected-out R --reports-out S --n 5000
     python -m ticketlake.jobs score    --sample SAMPLE --vectors V --anchors A --classifier-scores C --out SCORED
-    python -m ticketlake.jobs requests --scored SCORED --system prompt.txt --out REQUESTS
-    python -m ticketlake.jobs decide   --scored SCORED --steps LOG --out RESULTS
+    python -m ticketlake.jobs requests --scored SCORED --sample SAMPLE --system prompt.txt --out REQUESTS
+    python -m ticketlake.jobs retries  --requests REQUESTS --steps LOG --out MORE
+    python -m ticketlake.jobs checks   --scored SCORED --sample SAMPLE --steps LOG --system check.txt --out CHECKS
+    python -m ticketlake.jobs follow-ups --requests REQUESTS --steps LOG --answers ANSWERS --scored SCORED --sample SAMPLE --out MORE
+    python -m ticketlake.jobs completeness --answers ANSWERS --out PARSED
+    python -m ticketlake.jobs decide   --scored SCORED --steps LOG --out RESULTS --errors-out ERRORS
     python -m ticketlake.jobs evaluate --results RESULTS --out REPORTS
     python -m ticketlake.jobs profile  --sample SAMPLE --out REPORTS
 
-Tables are Parquet, the step log and the results JSON Lines. Master, resources
-and ``spark.checkpoint.dir`` come from the cluster's configuration.
+Tables are Parquet; step log, helper answers, results and errors are JSON Lines. A
+conversation goes round: ``requests`` (or ``follow-ups``), model, ``retries`` until
+valid, then for tickets whose step called the helper ``checks``, model,
+``follow-ups``, model; at any time ``decide`` resolves what is recorded. Master,
+resources and ``spark.checkpoint.dir`` come from the cluster's configuration.
 """
 
 from __future__ import annotations
@@ -18,25 +25,31 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators.requests import first_requests
+from .operators.requests import (
+    completeness_requests,
+    first_requests,
+    follow_up_requests,
+    retry_requests,
+)
 from .operators.sampling import head
+from .operators.steps import awaiting_helper, completeness, pick_attempts, validate_steps
 from .plans import decide, evaluate, prepare, profile
 from .plans.score import score
-from .schemas import STEP_LOG
+from .schemas import HELPER_LOG, STEP_LOG
 from .sources.tables import read_prepared, read_results
-from .storage import clear
+from .storage import stage, staged_run
 
 
 def _save(reports: dict[str, DataFrame], out: str) -> None:
-    """One JSON Lines folder per report; reports are small tables."""
+    """One JSON Lines folder per report; a report goes through one task, its making does not."""
     for name, df in reports.items():
-        df.coalesce(1).write.mode("overwrite").json(f"{out}/{name}")
+        df.repartition(1).write.mode("overwrite").json(f"{out}/{name}")
 
 
 def _prepare(spark: SparkSession, a: argparse.Namespace) -> None:
     done = prepare.prepare(spark, a.folder, a.out, a.rejected_out, a.n, a.seed)
-    for table in ("coverage", "counts", "languages", "versions", "queues", "lengths"):
-        getattr(done, table).show(50, truncate=False)
+    tables = ("coverage", "counts", "languages", "versions", "queues", "lengths")
+    _save({name: getattr(done, name) for name in tables}, a.reports_out)
 
 
 def _score(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -48,33 +61,72 @@ def _score(spark: SparkSession, a: argparse.Namespace) -> None:
         spark.read.parquet(a.vectors),
         spark.read.parquet(a.anchors),
         spark.read.parquet(a.classifier_scores),
-        keep_text=True,
     ).write.mode("overwrite").parquet(a.out)
 
 
+def _with_text(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Scored tickets with what a request says about them; texts come from the sample."""
+    scored = spark.read.parquet(a.scored).select("ticket_id", "topic", "urgency")
+    return read_prepared(spark, a.sample).select("ticket_id", "text").join(scored, "ticket_id")
+
+
+def _steps(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    return stage(validate_steps(spark.read.schema(STEP_LOG).json(a.steps)), "steps")
+
+
+def _answers(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    return stage(completeness(spark.read.schema(HELPER_LOG).json(a.answers)), "answers")
+
+
 def _requests(spark: SparkSession, a: argparse.Namespace) -> None:
     system = Path(a.system).read_text(encoding="utf-8")
-    sent = first_requests(spark.read.parquet(a.scored), system)
+    sent = first_requests(_with_text(spark, a), system)
     sent.write.mode("overwrite").parquet(a.out)
 
 
+def _retries(spark: SparkSession, a: argparse.Namespace) -> None:
+    again = retry_requests(spark.read.parquet(a.requests), _steps(spark, a))
+    again.write.mode("overwrite").parquet(a.out)
+
+
+def _checks(spark: SparkSession, a: argparse.Namespace) -> None:
+    system = Path(a.system).read_text(encoding="utf-8")
+    called = awaiting_helper(pick_attempts(_steps(spark, a)))
+    asked = completeness_requests(_with_text(spark, a), system)
+    asked.join(called, "ticket_id").write.mode("overwrite").parquet(a.out)
+
+
+def _follow_ups(spark: SparkSession, a: argparse.Namespace) -> None:
+    sent = follow_up_requests(
+        spark.read.parquet(a.requests),
+        pick_attempts(_steps(spark, a)),
+        _answers(spark, a),
+        _with_text(spark, a),
+    )
+    sent.write.mode("overwrite").parquet(a.out)
+
+
+def _completeness(spark: SparkSession, a: argparse.Namespace) -> None:
+    _answers(spark, a).write.mode("overwrite").parquet(a.out)
+
+
 def _decide(spark: SparkSession, a: argparse.Namespace) -> None:
     runtimes = spark.read.parquet(a.runtimes) if a.runtimes else None
     done = decide.run(
         spark.read.parquet(a.scored),
         spark.read.schema(STEP_LOG).json(a.steps),
         a.out,
+        a.errors_out,
         runtimes,
     )
-    done.actions.show()
-    done.errors.show(50, truncate=False)
+    done.actions.show()  # one row per action
 
 
 def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    reports = evaluate.evaluate(read_results(spark, a.results, a.array))
-    frame = reports.pop("frame")
+    results = read_results(spark, a.results, a.array)
+    reports = evaluate.evaluate(results, a.actions, a.topics, a.urgencies)
+    reports.pop("frame")
     _save(reports, a.out)
-    frame.unpersist()
 
 
 def _profile(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -93,16 +145,22 @@ def _parser() -> argparse.ArgumentParser:
             sub.add_argument(f"--{option}", required=True)
         return sub
 
-    p = job("prepare", _prepare, "folder", "out", "rejected-out")
+    p = job("prepare", _prepare, "folder", "out", "rejected-out", "reports-out")
     p.add_argument("--n", type=int, required=True)
     p.add_argument("--seed", type=int, default=42)
     p = job("score", _score, "sample", "vectors", "anchors", "classifier-scores", "out")
     p.add_argument("--n", type=int)
-    job("requests", _requests, "scored", "system", "out")
-    p = job("decide", _decide, "scored", "steps", "out")
+    job("requests", _requests, "scored", "sample", "system", "out")
+    job("retries", _retries, "requests", "steps", "out")
+    job("checks", _checks, "scored", "sample", "steps", "system", "out")
+    job("follow-ups", _follow_ups, "requests", "steps", "answers", "scored", "sample", "out")
+    job("completeness", _completeness, "answers", "out")
+    p = job("decide", _decide, "scored", "steps", "out", "errors-out")
     p.add_argument("--runtimes")
     p = job("evaluate", _evaluate, "results", "out")
     p.add_argument("--array", action="store_true", help="files hold one JSON array each")
+    for values in ("actions", "topics", "urgencies"):
+        p.add_argument(f"--{values}", nargs="+", help="only results with one of these")
     p = job("profile", _profile, "sample", "out")
     p.add_argument("--languages", nargs="+")
     return parser
@@ -111,10 +169,8 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("ticketlake").getOrCreate()
-    try:
+    with staged_run(spark):
         args.run(spark, args)
-    finally:
-        clear(spark)
 
 
 if __name__ == "__main__":

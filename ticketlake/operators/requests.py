@@ -14,11 +14,11 @@ from ..schemas import (
     COMPLETENESS_FORMAT,
     FIRST_TURN_FORMAT,
     FOLLOW_UP_FORMAT,
-    HELPER_TOOLS,
     MAX_ATTEMPTS,
     MESSAGE,
     RETRY_FORMAT,
 )
+from .steps import awaiting_helper
 
 
 def first_turn(text: Column, topic: Column, urgency: Column) -> Column:
@@ -54,13 +54,10 @@ def helper_result(is_actionable: Column, missing_aspects: Column) -> Column:
 
 
 def step_json(thought: Column, tool: Column, args_json: Column) -> Column:
-    """A valid step as the JSON text it is replayed with."""
-    return F.to_json(
-        F.struct(
-            thought.alias("thought"),
-            tool.alias("tool"),
-            F.parse_json(args_json).alias("args"),
-        )
+    """A valid step as the JSON text it is replayed with, its arguments as received."""
+    head = F.to_json(F.struct(thought.alias("thought"), tool.alias("tool")))
+    return F.concat(
+        F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"args":'), args_json, F.lit("}")
     )
 
 
@@ -139,12 +136,10 @@ def follow_up_requests(
     """Next turn for tickets whose step called the helper.
 
     ``requests`` is the table that was sent for the picked attempts, ``answers``
-    the parsed completeness table. A second helper call ends the loop, so only
-    the first turn can be followed up.
+    the parsed completeness table, one row per ticket. Which turn is followed up
+    comes from the trace so far (``awaiting_helper``).
     """
-    called = picks.where(
-        (F.col("turn") == 1) & F.col("tool").isin(HELPER_TOOLS)
-    ).select(
+    called = picks.join(awaiting_helper(picks), ["ticket_id", "turn"]).select(
         "ticket_id", "turn", "attempt", "thought", "tool", "args_json"
     )
     return (

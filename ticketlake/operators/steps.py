@@ -157,7 +157,10 @@ def validate_steps(log: DataFrame) -> DataFrame:
         "errors",
         F.when(valid, F.col("tool")).alias("tool"),
         F.when(valid, _text(F.col("_thought"))).alias("thought"),
-        F.when(valid, F.coalesce(F.to_json("_args"), F.lit("{}"))).alias("args_json"),
+        # the text as received: keys in their order, numbers as written
+        F.when(
+            valid, F.coalesce(F.get_json_object("raw_json", "$.args"), F.lit("{}"))
+        ).alias("args_json"),
         F.when(valid, _text(F.col("_reason"))).alias("reasoning"),
         F.when(valid, F.transform("_asked_items", _text)).alias("questions"),
         F.when(valid, _text(F.col("_faq"))).alias("faq_topic"),
@@ -249,6 +252,33 @@ def fold_turns(picks: DataFrame) -> DataFrame:
     )
 
 
+def awaiting_helper(picks: DataFrame) -> DataFrame:
+    """ticket_id, turn: tickets whose last recorded turn called a helper that may still answer.
+
+    That is, every turn so far called a helper, none of them twice, and the next
+    turn is within the limit and has no attempt yet.
+    """
+    slots = [
+        F.first(F.when(F.col("turn") == k, F.col("tool")), ignorenulls=True).alias(f"_t{k}")
+        for k in range(1, MAX_TURNS + 1)
+    ]
+    last = F.col("turn")
+    trace = F.col("_trace")
+    return (
+        picks.where(F.col("turn").between(1, MAX_TURNS))
+        .groupBy("ticket_id")
+        .agg(F.max("turn").alias("turn"), *slots)
+        .withColumn("_trace", _trace(F.array(*(f"_t{k}" for k in range(1, MAX_TURNS + 1)))))
+        .where(
+            (last < MAX_TURNS)
+            & (F.size(trace) == last + 1)
+            & F.get(trace, last.cast("int") - 1).isin(HELPER_TOOLS)
+            & (F.element_at(trace, -1) == FALLBACK_MARK)
+        )
+        .select("ticket_id", "turn")
+    )
+
+
 def trace_counters(tools: Column) -> list[Column]:
     """Total, helper and terminal calls, and the two marks, as 0/1 flags."""
 

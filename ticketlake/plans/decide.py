@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.decisions import assemble_results, decide
 from ..operators.steps import fold_turns, pick_attempts, validate_steps
 from ..operators.tables import value_counts
-from ..sources.tables import write_results
+from ..sources.tables import read_results, write_results
 from ..storage import stage
 
 
@@ -38,10 +38,17 @@ def run(
     scored: DataFrame,
     step_log: DataFrame,
     out: str,
+    errors_out: str,
     runtimes: DataFrame | None = None,
 ) -> Decided:
-    """Write result records to ``out``; return them with errors and action counts."""
+    """Write result records and the tickets without one; return both with action counts.
+
+    Every scored ticket is in exactly one of ``out`` and ``errors_out``.
+    """
     results, errors = resolve(scored, step_log, runtimes)
     write_results(results, out)
-    actions = value_counts(results, "action").orderBy(F.desc("n"), "action")
-    return Decided(results, errors, actions)
+    write_results(errors, errors_out)
+    spark = scored.sparkSession
+    done = read_results(spark, out)
+    actions = value_counts(done, "action").orderBy(F.desc("n"), "action")
+    return Decided(done, spark.read.schema(errors.schema).json(errors_out), actions)

@@ -18,6 +18,7 @@ from ..schemas import (
     PRIORITY_DISPLAY,
     PRIORITY_URGENCY,
     QUEUE_TOPICS,
+    TOPIC_DESCRIPTIONS,
     TOPICS,
     URGENCY_DISPLAY,
     VERSION_RANKS,
@@ -145,8 +146,10 @@ FROM (SELECT vec_id AS ticket_id, map_from_entries(list((topic, s))) AS sims,
       FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, topic_ord) AS r
             FROM (SELECT e.vec_id, a.topic, a.topic_ord,
                          list_cosine_similarity(e.embedding::DOUBLE[], a.anchor::DOUBLE[]) AS s
-                  FROM embeddings e CROSS JOIN topic_anchors a))
+                  FROM embeddings e CROSS JOIN topic_anchors a WHERE e.vec_id % 31 <> 4))
       GROUP BY vec_id)
+UNION ALL
+SELECT vec_id, NULL, NULL, NULL, 'Other' FROM embeddings WHERE vec_id % 31 = 4
 """,
 )
 _cte(
@@ -155,9 +158,12 @@ _cte(
     f"""
 SELECT *, CASE WHEN urgency_score >= 0.66 THEN 'high' WHEN urgency_score >= 0.33 THEN 'medium'
                ELSE 'low' END AS urgency
-FROM (SELECT *, 0.5::DOUBLE * least(len(signals_found) * 0.5::DOUBLE, 1.0::DOUBLE) + 0.5::DOUBLE * zs_score AS urgency_score
-      FROM (SELECT p.*, z.zs_score, {_SIGNALS} AS signals_found
-            FROM prepared p JOIN zs_scores z USING (ticket_id)))
+FROM (SELECT *, CASE WHEN zs_score IS NULL THEN signal ELSE 0.5::DOUBLE * signal + 0.5::DOUBLE * zs_score END AS urgency_score
+      FROM (SELECT *, least(len(signals_found) * 0.5::DOUBLE, 1.0::DOUBLE) AS signal
+            FROM (SELECT p.*, z.zs_score, {_SIGNALS} AS signals_found
+                  FROM prepared p
+                  LEFT JOIN (SELECT ticket_id, max(zs_score) AS zs_score FROM zs_scores GROUP BY ticket_id) z
+                  USING (ticket_id))))
 """,
 )
 _cte(
@@ -238,7 +244,8 @@ _cte(
     """
 SELECT d.*, r.runtime_seconds,
        CASE WHEN length(d.text) > 200 THEN substr(d.text, 1, 200) || '...' ELSE d.text END AS text_snippet
-FROM decided d LEFT JOIN runtimes r USING (ticket_id) WHERE d.decision_error IS NULL
+FROM decided d LEFT JOIN (SELECT ticket_id, sum(runtime_seconds) AS runtime_seconds FROM runtimes GROUP BY ticket_id) r
+  USING (ticket_id) WHERE d.decision_error IS NULL
 """,
 )
 _cte(
@@ -246,7 +253,7 @@ _cte(
     ["results"],
     f"""
 SELECT ticket_id, topic AS predicted_topic, urgency AS predicted_urgency, topic_margin, action,
-       next_step, tools_used AS tool_path,
+       next_step, replace(tools_used, ' -> ', '|') AS tools_used, tools_used AS tool_path,
        CAST(len(clarification_questions) AS INT) AS n_clarifications, runtime_seconds, text_length,
        queue AS gt_queue, priority AS gt_priority, {_queue_topic('queue')} AS mapped_topic,
        {_priority_urgency('priority')} AS mapped_urgency, text_snippet AS snippet, reasoning
@@ -316,6 +323,11 @@ FROM canonical GROUP BY ROLLUP (version)
 """,
 )
 _oracle("clean_text", ["prepared"], "SELECT ticket_id, text, text_length FROM prepared")
+_oracle(
+    "text_length_default",
+    ["prepared"],
+    "SELECT ticket_id, CAST(length(text) AS INT) AS text_length FROM prepared",
+)
 _oracle(
     "merged_text",
     ["valid"],
@@ -401,6 +413,30 @@ SELECT file, row_index, ticket_id, subject, body, substr(lower(tag), 1, 2) AS la
 FROM ingested
 """,
 )
+_v4 = next(n for n, v in FILE_VERSIONS.items() if v == "v4")
+_oracle(
+    "csv_ragged_rows",
+    [],
+    f"""
+SELECT row_index, ('0x' || substr(md5('{_v4}:' || row_index), 1, 12))::BIGINT AS ticket_id, subject,
+       CASE WHEN kind = 0 THEN '' ELSE 'body' END AS body,
+       CASE WHEN kind < 2 THEN 'un' ELSE lang END AS language,
+       CASE WHEN kind >= 2 THEN 'q' END AS queue, CASE WHEN kind >= 2 THEN 't' END AS type,
+       CASE WHEN kind = 3 THEN 'row has more cells than the header' ELSE '' END AS error
+FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, doc_id % 4 AS kind, lang,
+             {_strip("translate(substr(text, 1, 40), chr(10) || chr(13), '  ') || ', x'")} AS subject
+      FROM documents)
+""",
+)
+_oracle(
+    "file_coverage",
+    ["tickets_raw"],
+    f"""
+SELECT file, CASE WHEN file = 'other.csv' THEN 'unknown' WHEN version = 'v5' OR n IS NULL THEN 'missing' ELSE 'known' END AS status
+FROM (SELECT * FROM (VALUES {', '.join(f"({_q(n)}, {_q(v)})" for n, v in FILE_VERSIONS.items())}, ('other.csv', NULL)) f(file, version))
+LEFT JOIN (SELECT version, count(*) AS n FROM tickets_raw GROUP BY version) USING (version)
+""",
+)
 _oracle(
     "rejects_roundtrip",
     ["canonical"],
@@ -454,7 +490,7 @@ FROM topics t JOIN (
     FROM (SELECT e.vec_id, a.topic, a.topic_ord,
                  list_cosine_similarity(e.embedding::DOUBLE[], a.anchor::DOUBLE[]) AS s
           FROM embeddings e CROSS JOIN topic_anchors a)) r
-  ON t.ticket_id = r.vec_id AND r.r <= 3
+  ON t.ticket_id = r.vec_id AND r.r <= 3 AND t.topic_margin IS NOT NULL
 GROUP BY t.ticket_id
 """,
 )
@@ -471,6 +507,27 @@ _oracle(
     ["urgent"],
     "SELECT ticket_id, round(urgency_score, 6) AS urgency_score, urgency FROM urgent",
 )
+def _letters(text: str) -> str:
+    return "[" + ", ".join(f"(length({text}) - length(replace({text}, '{c}', '')))::DOUBLE" for c in "eanti") + "]"
+
+
+_oracle(
+    "embedded_topics",
+    [],
+    f"""
+SELECT ticket_id, CASE WHEN s1 - s2 < 0.01 AND s1 < 0.45 THEN 'Other' ELSE best END AS topic,
+       round(s1 - s2, 6) AS topic_margin
+FROM (SELECT doc_id AS ticket_id, max(topic) FILTER (WHERE r = 1) AS best,
+             max(s) FILTER (WHERE r = 1) AS s1, max(s) FILTER (WHERE r = 2) AS s2
+      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, ord) AS r
+            FROM (SELECT d.doc_id, a.topic, a.ord, list_dot_product(d.v, a.v)
+                    / (greatest(sqrt(list_dot_product(d.v, d.v)), 1e-12) * sqrt(list_dot_product(a.v, a.v))) AS s
+                  FROM (SELECT doc_id, {_letters('text')} AS v FROM documents) d
+                  CROSS JOIN (SELECT topic, ord, {_letters('description')} AS v
+                              FROM (VALUES {', '.join(f"({i}, {_q(t)}, {_q(TOPIC_DESCRIPTIONS[t])})" for i, t in enumerate(TOPICS))}) a(ord, topic, description)) a))
+      GROUP BY doc_id)
+""",
+)
 _oracle(
     "scorer_udf",
     [],
@@ -555,25 +612,74 @@ SELECT ticket_id, turn, attempt,
 FROM steps WHERE errors <> ''
 """,
 )
-_oracle(
-    "attempt_pick",
+_cte(
+    "picks",
     ["steps"],
     """
 SELECT ticket_id, turn, min(attempt) FILTER (WHERE errors = '') AS attempt,
-       min_by(tool, attempt) FILTER (WHERE errors = '') AS tool, count(*) AS n_attempts
+       min_by(tool, attempt) FILTER (WHERE errors = '') AS tool,
+       min_by(thought, attempt) FILTER (WHERE errors = '') AS thought, count(*) AS n_attempts
 FROM steps WHERE attempt BETWEEN 1 AND 3 GROUP BY ticket_id, turn
 """,
 )
 _oracle(
-    "missing_info_default",
+    "attempt_pick",
+    ["picks"],
+    "SELECT ticket_id, turn, attempt, tool, n_attempts FROM picks",
+)
+_cte(
+    "answers",
     [],
     """
 SELECT event_id AS ticket_id, CASE WHEN event_id % 6 IN (1, 2, 3) THEN 1 ELSE 0 END AS was_valid,
        CASE event_id % 6 WHEN 1 THEN 0 WHEN 2 THEN CAST(value > 20 AS INT) WHEN 3 THEN 0 ELSE 1 END AS is_actionable,
-       CASE event_id % 6 WHEN 1 THEN event_type || '|' || props WHEN 3 THEN event_type ELSE '' END AS missing_aspects
+       CASE event_id % 6 WHEN 1 THEN [event_type, props] WHEN 3 THEN [event_type] ELSE [] END AS aspects
 FROM events
 """,
 )
+_oracle(
+    "missing_info_default",
+    ["answers"],
+    """
+SELECT ticket_id, was_valid, is_actionable, array_to_string(aspects, '|') AS missing_aspects FROM answers
+""",
+)
+_oracle(
+    "retry_requests",
+    ["steps"],
+    """
+SELECT ticket_id, turn, attempt + 1 AS attempt, 'system,user,assistant,user' AS roles,
+       'Your previous response failed validation: ' || errors || '. Fix the specific issue above and respond with valid JSON of the form {"thought": "...", "tool": "...", "args": {...}}.' AS asked
+FROM steps WHERE errors <> '' AND attempt < 3
+""",
+)
+_oracle(
+    "completeness_requests",
+    ["scored"],
+    """
+SELECT ticket_id, 'CHECK' AS system,
+       concat('Ticket: ', text, chr(10), 'Pre-classified topic: ', topic, chr(10), 'Urgency: ', urgency) AS asked
+FROM scored
+""",
+)
+# with one helper, only a ticket that has called it in its single turn so far goes on
+_oracle(
+    "follow_up_requests",
+    ["picks", "answers", "scored"],
+    """
+SELECT ticket_id, 2 AS turn, 1 AS attempt, 'system,user,assistant,user' AS roles,
+       '{"thought":' || to_json(thought)::VARCHAR || ',"tool":"missing_info","args":{}}' AS said,
+       concat('Ticket: ', text, chr(10), 'Topic: ', topic, chr(10), 'Urgency: ', urgency, chr(10),
+              'Previous tool: missing_info returned {"is_actionable":',
+              CASE WHEN is_actionable = 1 THEN 'true' ELSE 'false' END,
+              ',"missing_aspects":', to_json(aspects)::VARCHAR, '}', chr(10), 'Turn: 2') AS asked
+FROM (SELECT ticket_id, max(turn) AS last, any_value(tool) FILTER (WHERE turn = 1) AS tool,
+             any_value(thought) FILTER (WHERE turn = 1) AS thought
+      FROM picks WHERE turn BETWEEN 1 AND 4 GROUP BY ticket_id)
+JOIN answers USING (ticket_id) JOIN scored USING (ticket_id)
+WHERE last = 1 AND tool = 'missing_info'
+""",
+)
 _oracle(
     "agent_trace_fold",
     ["folded"],
@@ -632,9 +738,17 @@ FROM results
 _oracle(
     "comparison",
     ["results"],
-    """
-SELECT ticket_id, substr(text_snippet, 1, 120) AS snippet, topic, urgency, action, next_step, queue,
-       tools_used AS tools FROM results
+    f"""
+SELECT ticket_id, substr(text_snippet, 1, 120) AS snippet, topic, round(topic_margin, 6) AS topic_margin,
+       top_scores, urgency, round(urgency_score, 6) AS urgency_score, action,
+       next_step, queue, priority, type, tools_used AS tools, reasoning,
+       array_to_string(clarification_questions, '|') AS clarification_questions
+FROM results LEFT JOIN (
+  SELECT ticket_id, string_agg(printf('%s=%.2f', topic, s), ', ' ORDER BY s DESC, ord) AS top_scores
+  FROM (SELECT ticket_id, topic, ord, s, row_number() OVER (PARTITION BY ticket_id ORDER BY s DESC, ord) AS r
+        FROM (SELECT ticket_id, t.topic, t.ord, sims[t.topic] AS s FROM results CROSS JOIN {_values(TOPICS)} t(ord, topic)
+              WHERE topic_margin IS NOT NULL))
+  WHERE r <= 3 GROUP BY ticket_id) USING (ticket_id)
 """,
 )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text, topic
-from ..functions.scorers import text_classifier
+from ..functions.scorers import text_classifier, text_embedder
 from ..operators import canonical as canon
 from ..operators import requests as req
 from ..operators import sampling
@@ -17,8 +17,9 @@ from ..operators.decisions import comparison_view, fallback_decision
 from ..operators.dedup import dedup_by_version
 from ..plans import evaluate as ev
 from ..plans import profile as prof
+from ..plans.score import embed_anchors, score_topics
 from ..schemas import FILE_VERSIONS, TOPICS
-from ..sources import tables
+from ..sources import csv_files, tables
 from ..sources.csv_files import CSV_OPTIONS, read_ticket_files
 from ..storage import new_folder, stage
 from . import views
@@ -63,8 +64,8 @@ def canonical_reject_split(spark, d):
         "queue",
         "priority",
         "type",
-        (F.size("errors") == 0).cast("int").alias("is_valid"),
-        F.array_join("errors", "; ").alias("error"),
+        F.col("error").isNull().cast("int").alias("is_valid"),
+        F.coalesce("error", F.lit("")).alias("error"),
     )
 
 
@@ -78,6 +79,12 @@ def clean_text(spark, d):
     return views.prepared(spark, d).select("ticket_id", "text", "text_length")
 
 
+@query
+def text_length_default(spark, d):
+    rows = views.prepared(spark, d).drop("text_length")
+    return canon.with_text_length(rows).select("ticket_id", "text_length")
+
+
 @query
 def merged_text(spark, d):
     rows = views.valid(spark, d)
@@ -101,21 +108,27 @@ def language_filter(spark, d):
 SAMPLE_SIZE = 300
 
 
+def _stored(spark, d):
+    """What the samples are drawn from; they scan it several times."""
+    rows = views.prepared(spark, d).select("ticket_id", "queue", "text_length")
+    return stage(rows, "prepared")
+
+
 @query
 def stratified_sample(spark, d):
-    picked = sampling.stratified_sample(views.prepared(spark, d), SAMPLE_SIZE, "queue", 42)
+    picked = sampling.stratified_sample(_stored(spark, d), SAMPLE_SIZE, "queue", 42)
     return picked.select("ticket_id", "queue", "text_length", "sample_order")
 
 
 @query
 def unstratified_sample(spark, d):
-    picked = sampling.stratified_sample(views.prepared(spark, d), SAMPLE_SIZE, None, 42)
+    picked = sampling.stratified_sample(_stored(spark, d), SAMPLE_SIZE, None, 42)
     return picked.select("ticket_id", "queue", "text_length", "sample_order")
 
 
 @query
 def sample_head(spark, d):
-    keyed = views.prepared(spark, d).withColumn(
+    keyed = _stored(spark, d).withColumn(
         "sample_order", F.md5(F.concat(F.col("ticket_id").cast("string"), F.lit(":42:order")))
     )
     return sampling.head(keyed, 25).select("ticket_id", "text_length")
@@ -163,14 +176,56 @@ def csv_roundtrip(spark, d):
         "queue",
         "priority",
         "type",
-        F.array_join("errors", "; ").alias("error"),
+        F.coalesce("error", F.lit("")).alias("error"),
     )
 
 
+@query
+def csv_ragged_rows(spark, d):
+    """One known file whose rows have too few, enough or too many cells."""
+    quoted = F.concat(
+        F.lit('"'),
+        F.replace(F.translate(F.substring("text", 1, 40), "\n\r", "  "), F.lit('"'), F.lit('""')),
+        F.lit(', x"'),
+    )
+    full = F.concat_ws(",", quoted, F.lit("body"), F.col("lang"), F.lit("q"), F.lit("p"), F.lit("t"))
+    line = (
+        F.when(F.col("doc_id") % 4 == 0, quoted)
+        .when(F.col("doc_id") % 4 == 1, F.concat(quoted, F.lit(",body")))
+        .when(F.col("doc_id") % 4 == 2, full)
+        .otherwise(F.concat(full, F.lit(",more")))
+    )
+    path = new_folder(spark, "ragged")
+    raw = {"header": True, "sep": "\u0001", "quote": "\u0000", "ignoreLeadingWhiteSpace": False,
+           "ignoreTrailingWhiteSpace": False}
+    views.table(spark, d, "documents").repartitionByRange("doc_id").sortWithinPartitions(
+        "doc_id"
+    ).select(line.alias("subject,body,language,queue,priority,type")).write.options(**raw).csv(path)
+    name = next(n for n, v in FILE_VERSIONS.items() if v == "v4")
+    return read_ticket_files(spark, {name: path}).select(
+        "row_index", "ticket_id", "subject", "body", "language", "queue", "type",
+        F.coalesce("error", F.lit("")).alias("error"),
+    )
+
+
+@query
+def file_coverage(spark, d):
+    """Folders of the versions that occur, v5 left out, and a file nobody knows."""
+    root = new_folder(spark, "coverage")
+    rows = views.view(spark, d, "tickets_raw").select("version", "subject")
+    for name, version in FILE_VERSIONS.items():
+        if version != "v5":
+            rows.where(F.col("version") == version).select("subject").write.options(
+                header=True
+            ).csv(f"{root}/{name}")
+    rows.where("version = 'v5'").select("subject").write.csv(f"{root}/other.csv")
+    return csv_files.file_coverage(spark, root)
+
+
 @query
 def rejects_roundtrip(spark, d):
     rows = views.canonical(spark, d).select(
-        F.col("version").alias("file"), F.col("ticket_id").alias("row_index"), "errors"
+        F.col("version").alias("file"), F.col("ticket_id").alias("row_index"), "error"
     )
     path = new_folder(spark, "rejects")
     tables.write_rejects(canon.rejected_rows(rows), path)
@@ -238,7 +293,7 @@ def topic_fallback(spark, d):
 
 @query
 def topic_display(spark, d):
-    scores = views.topics(spark, d)
+    scores = views.topics(spark, d).where("topic_margin IS NOT NULL")
     ranked = topic.ranked_topics(F.array(*(F.col("topic_all_scores")[t] for t in TOPICS)))
     return scores.select(
         "ticket_id",
@@ -268,6 +323,26 @@ def _load_toy_model():
     return model
 
 
+def _load_letter_counts():
+    def model(texts):
+        return [[float(t.count(c)) for c in "eanti"] for t in texts]
+
+    return model
+
+
+@query
+def embedded_topics(spark, d):
+    """Texts and anchors through the same toy embedding, then ranked."""
+    embed = text_embedder("toy-letters", _load_letter_counts)
+    docs = views.table(spark, d, "documents").select(
+        F.col("doc_id").alias("ticket_id"), embed("text").alias("embedding")
+    )
+    rows = score_topics(docs, embed_anchors(spark, embed)).select(
+        "ticket_id", "topic", "topic_margin"
+    )
+    return _round(rows, "topic_margin")
+
+
 @query
 def scorer_udf(spark, d):
     score = text_classifier("toy-length", _load_toy_model)
@@ -334,6 +409,49 @@ def retry_messages(spark, d):
     )
 
 
+def _sent(log):
+    """A request per logged response, as the tables that are sent look like."""
+    asked = F.array(req.message("system", F.lit("S")), req.message("user", F.lit("Q")))
+    return log.select("ticket_id", "turn", "attempt", asked.alias("messages"))
+
+
+def _message_columns(sent):
+    return sent.select(
+        "ticket_id",
+        "turn",
+        "attempt",
+        F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
+        F.element_at("messages", -2)["content"].alias("said"),
+        F.element_at("messages", -1)["content"].alias("asked"),
+    )
+
+
+@query
+def retry_requests(spark, d):
+    steps = stage(st.validate_steps(views.step_log(spark, d)), "steps")
+    return _message_columns(req.retry_requests(_sent(steps), steps)).drop("said")
+
+
+@query
+def completeness_requests(spark, d):
+    asked = req.completeness_requests(views.scored(spark, d), "CHECK")
+    return asked.select(
+        "ticket_id",
+        F.col("messages")[0]["content"].alias("system"),
+        F.col("messages")[1]["content"].alias("asked"),
+    )
+
+
+@query
+def follow_up_requests(spark, d):
+    steps = stage(st.validate_steps(views.step_log(spark, d)), "steps")
+    answers = stage(st.completeness(views.helper_log(spark, d)), "answers")
+    sent = req.follow_up_requests(
+        _sent(steps), st.pick_attempts(steps), answers, views.scored(spark, d)
+    )
+    return _message_columns(sent)
+
+
 @query
 def attempt_pick(spark, d):
     picks = st.pick_attempts(st.validate_steps(views.step_log(spark, d)))
@@ -422,10 +540,10 @@ def assemble_results(spark, d):
 
 @query
 def comparison(spark, d):
-    rows = comparison_view(views.results(spark, d))
-    return rows.select(
-        "ticket_id", "snippet", "topic", "urgency", "action", "next_step", "queue", "tools"
+    rows = comparison_view(views.results(spark, d)).withColumn(
+        "clarification_questions", _joined("clarification_questions")
     )
+    return _round(rows, "topic_margin", "urgency_score")
 
 
 # --- label maps ----------------------------------------------------------------------
@@ -459,20 +577,28 @@ def priority_urgency_map(spark, d):
 # --- evaluate --------------------------------------------------------------------------
 
 
-def _report(name: str, make, *rounded: str, source=views.frame, drop=()) -> None:
+def _folded(spark, d):
+    return ev.fold(views.frame(spark, d))
+
+
+def _report(name: str, make, *rounded: str, source=_folded) -> None:
     def run(spark, d):
-        return _round(make(source(spark, d)).drop(*drop), *rounded)
+        return _round(make(source(spark, d)), *rounded)
 
     QUERIES[name] = run
 
 
-def _runtime_frame(spark, d):
-    return views.view(spark, d, "runtimes")
+def _runtimes(spark, d):
+    return ev.runtimes(views.view(spark, d, "runtimes"))
+
+
+def _staged_runtimes(spark, d):
+    return stage(_runtimes(spark, d), "runtimes")
 
 
 @query
 def evaluation_frame(spark, d):
-    rows = views.frame(spark, d).drop("tools_used")
+    rows = views.frame(spark, d).withColumn("tools_used", _joined("tools_used", "|"))
     return _round(rows, "topic_margin")
 
 
@@ -496,7 +622,14 @@ _report(
 _report("topic_confusion", ev.topic_confusion)
 _report("topic_confusion_cells", lambda f: ev.topic_confusion(f, margins=False))
 _report("topic_recall", ev.topic_recall, "recall_pct")
-_report("margin_histogram", ev.margin_histogram, "lower", "upper")
+
+
+@query
+def margin_histogram(spark, d):
+    frame = stage(views.frame(spark, d).select("topic_margin"), "margins")
+    return _round(ev.margin_histogram(frame), "lower", "upper")
+
+
 _report("length_quantiles", ev.length_quantiles)
 _report("length_by_action", ev.length_by_action, "mean_length")
 _report("length_bucket_action", ev.length_bucket_actions)
@@ -508,9 +641,9 @@ _report(
     "mean",
     "p50",
     "p95",
-    source=_runtime_frame,
+    source=_staged_runtimes,
 )
-_report("runtime_by_path", ev.runtime_by_path, "mean", source=_runtime_frame)
+_report("runtime_by_path", ev.runtime_by_path, "mean", source=_runtimes)
 _report(
     "runtime_box",
     ev.runtime_box,
@@ -520,24 +653,27 @@ _report(
     "median",
     "q3",
     "max",
-    source=_runtime_frame,
+    source=_staged_runtimes,
 )
 _report("disagreement_counts", ev.disagreement_counts)
-_report("disagreements", ev.disagreements)
+_report("disagreements", ev.disagreements, source=views.frame)
 _report("headline_kpis", ev.headline_kpis, "topic_pct", "topic_specific_pct", "urgency_pct")
 _report(
     "headline_kpis_filtered",
     lambda f: ev.headline_kpis(
-        ev.filtered(
-            f,
-            actions=["FORWARD", "ESCALATE", "CLARIFY"],
-            topics=["Policy", "Claims", "Other"],
-            urgencies=["medium", "high"],
+        ev.fold(
+            ev.filtered(
+                f,
+                actions=["FORWARD", "ESCALATE", "CLARIFY"],
+                topics=["Policy", "Claims", "Other"],
+                urgencies=["medium", "high"],
+            )
         )
     ),
     "topic_pct",
     "topic_specific_pct",
     "urgency_pct",
+    source=views.frame,
 )
 
 # --- profile ----------------------------------------------------------------------------

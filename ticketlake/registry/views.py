@@ -14,7 +14,7 @@ from ..operators.canonical import canonicalise, clean_text, valid_rows
 from ..operators.decisions import assemble_results, decide
 from ..operators.steps import fold_turns
 from ..plans.evaluate import eval_frame
-from ..plans.score import score, score_topics, with_signals, with_urgency
+from ..plans.score import one_score, score, score_topics, with_signals, with_urgency
 
 # Words that occur in the documents; the built-in lexicon does not.
 LEXICON = ["the", "and", "under", "der", "und", "que", "para"]
@@ -46,7 +46,9 @@ SELECT CAST(vec_id AS INT) AS topic_ord,
 FROM {embeddings} WHERE vec_id < 5
 """,
     "zs_scores": """
-SELECT doc_id AS ticket_id, ((doc_id * 37) % 101) / 1e2 AS zs_score FROM {documents}
+SELECT doc_id AS ticket_id, ((doc_id * 37) % 101) / 1e2 AS zs_score FROM {documents} WHERE doc_id % 29 <> 3
+UNION ALL
+SELECT doc_id AS ticket_id, 0.75 AS zs_score FROM {documents} WHERE doc_id % 23 = 5
 """,
     "agent_steps": """
 SELECT conv_id AS ticket_id, turn + 1 AS turn,
@@ -63,14 +65,17 @@ FROM {conversations}
 """,
     "runtimes": """
 SELECT event_id AS ticket_id, value AS runtime_seconds, event_type AS tool_path FROM {events}
+UNION ALL
+SELECT event_id AS ticket_id, value / 4 AS runtime_seconds, event_type AS tool_path FROM {events} WHERE event_id % 19 = 6
 """,
     "order_priorities": """
 SELECT o_orderkey AS ticket_id, substr(o_orderpriority, 3) AS priority FROM {orders}
 """,
-    # which response shape a conversation turn stands for; two attempts per turn
+    # which response shape a conversation turn stands for; four attempts per turn,
+    # one more than are looked at
     "log_shapes": """
-SELECT conv_id AS ticket_id, CAST(floor(turn / 2) AS INT) + 1 AS turn,
-       CAST(turn % 2 AS INT) + 1 AS attempt,
+SELECT conv_id AS ticket_id, CAST(floor(turn / 4) AS INT) + 1 AS turn,
+       CAST(turn % 4 AS INT) + 1 AS attempt,
        CAST((conv_id * 5 + turn * 3) % 14 AS INT) AS shape, role, text
 FROM {conversations}
 """,
@@ -101,8 +106,10 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One vector per ticket; some are null."""
+    present = F.when(F.col("vec_id") % 31 != 4, F.col("embedding"))
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("ticket_id"), "embedding"
+        F.col("vec_id").alias("ticket_id"), present.alias("embedding")
     )
 
 
@@ -114,7 +121,7 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared tickets with signals_found, urgency_score and urgency."""
     found = with_signals(prepared(spark, sf_dir), LEXICON)
-    joined = found.join(view(spark, sf_dir, "zs_scores"), "ticket_id")
+    joined = found.join(one_score(view(spark, sf_dir, "zs_scores")), "ticket_id", "left")
     return with_urgency(joined, F.col("zs_score")).drop("zs_score")
 
 

@@ -227,4 +227,5 @@ STEP_LOG = T.StructType(
     ]
 )
 
+HELPER_LOG = T.StructType([T.StructField("ticket_id", _L), T.StructField("raw_json", _S)])
 MESSAGE = T.StructType([T.StructField("role", _S), T.StructField("content", _S)])

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,25 +25,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-# folders this driver process has handed out and not cleared yet
-_handed_out: list[str] = []
+# folders handed out and not cleared yet: by the run at hand, or outside any run
+_handed_out: ContextVar[list[str]] = ContextVar("handed_out", default=[])
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other job uses."""
     path = f"{shared_folder(spark)}/ticketlake/{name}-{uuid.uuid4().hex}"
-    _handed_out.append(path)
+    _handed_out.get().append(path)
     return path
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete what this process has staged; call it when no result is needed any more."""
+    """Delete what was staged in this run, or outside any; call it when no result is needed any more."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _handed_out:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+    folders = _handed_out.get()
+    while folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
         path.getFileSystem(hadoop).delete(path, True)
 
 
+@contextmanager
+def staged_run(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside belongs to this run and is deleted at its end, nothing else."""
+    token = _handed_out.set([])
+    try:
+        yield
+    finally:
+        clear(spark)
+        _handed_out.reset(token)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
