@@ -172,14 +172,17 @@ def test_exact_quantiles_per_group_with_a_null_group(spark):
         assert np.allclose(got[g], np.quantile([v for k, v in rows if k == g], [0.1, 0.5, 0.9]))
 
 
-@pytest.mark.parametrize("bounded", [False, True])
-def test_histogram_bins(spark, bounded):
+@pytest.mark.parametrize("folded", [False, True])
+def test_histogram_bins(spark, folded):
+    def histogram(df):
+        return qt.histogram(qt.value_weights(df, "v"), "v", 5, weight="_n") if folded else qt.histogram(df, "v", 5)
+
     df = spark.createDataFrame([(v,) for v in [0, 1, 2, 3, 10, 10, None]], "v int")
-    rows = qt.histogram(df, "v", 5, bounded).collect()
+    rows = histogram(df).collect()
     assert [(r.bin, r.lower, r.upper, r.n) for r in rows] == [(0, 0, 2, 2), (1, 2, 4, 2), (2, 4, 6, 0), (3, 6, 8, 0), (4, 8, 10, 2)]
     same = spark.createDataFrame([(3,), (3,)], "v int")
-    assert [(r.bin, r.lower, r.upper, r.n) for r in qt.histogram(same, "v", 5, bounded).collect()] == [(0, 3, 3, 2)]
-    assert qt.histogram(same.limit(0), "v", 5, bounded).count() == 0
+    assert [(r.bin, r.lower, r.upper, r.n) for r in histogram(same).collect()] == [(0, 3, 3, 2)]
+    assert histogram(same.limit(0)).count() == 0
 
 
 # --- profile --------------------------------------------------------------------------
@@ -227,6 +230,13 @@ def test_profile_figures(spark):
     assert out["sample_browser"][0] == (1, "1 - abcd")
 
 
+def test_profile_reports_take_rows_or_folded_rows(spark):
+    df = _sample(spark)
+    for name, make in pf.REPORTS.items():
+        if name != "sample_browser":
+            assert make(df).collect() == make(pf.fold(df)).collect(), name
+
+
 def test_profile_of_some_languages(spark):
     assert _one(pf.profile(_sample(spark), ["de"])["kpis"]).n == 2
 

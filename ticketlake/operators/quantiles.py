@@ -182,20 +182,19 @@ def histogram(
     df: DataFrame,
     value: str,
     bins: int,
-    bounded: bool = False,
+    weight: str | None = None,
     span: DataFrame | None = None,
 ) -> DataFrame:
     """Equal-width bins from minimum to maximum, the last one closed; empty ones count 0.
 
     Columns: bin (0-based), lower, upper, n. Equal values all fall in bin 0.
-    ``bounded`` values are folded to (value, count) first, so that finding the
-    range and filling the bins share one pass over the rows. ``span`` is a row that
+    ``weight`` names the count column of rows that stand for several; values from a
+    small range are best folded first, so that finding the range and filling the bins
+    share one pass over the rows. ``span`` is a row that
     holds the range as a struct of lo and hi, where it is known already.
     """
     known = df.where(F.col(value).isNotNull())
-    if bounded:
-        known = value_weights(df, value)
-    n = F.sum("_n") if bounded else F.count("*")
+    n = F.sum(weight) if weight else F.count("*")
     x = F.col(value).cast("double")
     if span is None:
         # n is not needed here; asking for it lets Spark reuse the folded rows' exchange

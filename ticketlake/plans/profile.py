@@ -1,4 +1,8 @@
-"""Profile: statistics of a prepared sample and coverage of the label mappings."""
+"""Profile: statistics of a prepared sample and coverage of the label mappings.
+
+Every report takes prepared tickets, or the same folded by ``fold``; the job folds
+once and makes all reports but the ticket list from that.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +28,7 @@ from ..operators.tables import (
     value_counts,
 )
 from ..schemas import PRIORITY_DISPLAY, TOPICS, URGENCY_DISPLAY
+from ..storage import stage
 
 
 def _position(values: Sequence[str], col: str):
@@ -31,12 +36,36 @@ def _position(values: Sequence[str], col: str):
     return F.array_position(F.array(*(F.lit(v) for v in values)), F.col(col))
 
 
+KEYS = ["language", "version", "queue", "priority", "type", "text_length"]
+
+
+def fold(df: DataFrame) -> DataFrame:
+    """One row per combination of KEYS with ``_n``, the tickets it stands for.
+
+    All keys are from short lists but queue, and lengths are capped.
+    """
+    return with_text_length(df).groupBy(*KEYS).agg(F.count("*").alias("_n"))
+
+
+def _weight(df: DataFrame) -> str | None:
+    return "_n" if "_n" in df.columns else None
+
+
+def _counts(df: DataFrame, col: str) -> DataFrame:
+    return value_counts(df, col, _weight(df))
+
+
+def _kept(df: DataFrame, *cols) -> DataFrame:
+    """Some columns, and the weight where there is one."""
+    return df.select(*cols, *([_weight(df)] if _weight(df) else []))
+
+
 # --- label inspection --------------------------------------------------------
 
 
 def priority_inspection(df: DataFrame) -> DataFrame:
     """Every priority value, null included: tickets and what it maps to."""
-    counts = value_counts(df, "priority")
+    counts = _counts(df, "priority")
     mapped = F.when(F.col("priority").isNull(), "(missing)").otherwise(
         F.coalesce(priority_urgency(F.col("priority")), F.lit("UNMAPPED"))
     )
@@ -45,12 +74,12 @@ def priority_inspection(df: DataFrame) -> DataFrame:
 
 def urgency_shares(df: DataFrame) -> DataFrame:
     """Tickets per mapped urgency, over mapped priorities only."""
-    counted = df.select(priority_urgency(F.col("priority")).alias("urgency"))
-    return dense_distribution(counted, "urgency", URGENCY_DISPLAY)
+    counted = _kept(df, priority_urgency(F.col("priority")).alias("urgency"))
+    return dense_distribution(counted, "urgency", URGENCY_DISPLAY, _weight(df))
 
 
 def unmapped_priorities(df: DataFrame) -> DataFrame:
-    counts = value_counts(df.where(F.col("priority").isNotNull()), "priority")
+    counts = _counts(df.where(F.col("priority").isNotNull()), "priority")
     return counts.where(priority_urgency(F.col("priority")).isNull()).orderBy(
         F.desc("n"), "priority"
     )
@@ -63,7 +92,7 @@ def queue_inspection(df: DataFrame) -> DataFrame:
     is_default marks queues that only fall through to Other.
     """
     queues = (
-        value_counts(df.where(F.col("queue").isNotNull()), "queue")
+        _counts(df.where(F.col("queue").isNotNull()), "queue")
         .withColumn("mapped_topic", queue_topic(F.col("queue")))
         .withColumn(
             "is_default", (~has_explicit_topic(F.col("queue"))).cast("int")
@@ -88,8 +117,8 @@ def queue_inspection(df: DataFrame) -> DataFrame:
 
 def topic_shares(df: DataFrame) -> DataFrame:
     """Tickets per mapped topic in fixed order, 0 where none."""
-    counted = df.select(queue_topic(F.col("queue")).alias("mapped_topic"))
-    return dense_distribution(counted, "mapped_topic", TOPICS)
+    counted = _kept(df, queue_topic(F.col("queue")).alias("mapped_topic"))
+    return dense_distribution(counted, "mapped_topic", TOPICS, _weight(df))
 
 
 def unmapped_queues(df: DataFrame, k: int = 10) -> DataFrame:
@@ -97,7 +126,7 @@ def unmapped_queues(df: DataFrame, k: int = 10) -> DataFrame:
     unmapped = df.where(
         F.col("queue").isNotNull() & ~has_explicit_topic(F.col("queue"))
     )
-    return top_values(unmapped, "queue", k).drop("pct")
+    return top_values(unmapped, "queue", k, _weight(df)).drop("pct")
 
 
 # --- dataset statistics ------------------------------------------------------
@@ -109,9 +138,8 @@ def kpis(df: DataFrame) -> DataFrame:
     Rows fold to label combinations first, so the distinct counts do not
     multiply the table.
     """
-    combos = df.groupBy("language", "queue", "priority", "type").agg(
-        F.count("*").alias("n")
-    )
+    n = F.sum("_n") if _weight(df) else F.count("*")
+    combos = df.groupBy("language", "queue", "priority", "type").agg(n.alias("n"))
     return combos.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
         F.count_distinct("language").alias("n_languages"),
@@ -127,12 +155,12 @@ def languages(df: DataFrame) -> DataFrame:
 
 def language_distribution(df: DataFrame) -> DataFrame:
     known = df.where(F.col("language").isNotNull())
-    return distribution(known, "language").orderBy(F.desc("n"), "language")
+    return distribution(known, "language", _weight(df)).orderBy(F.desc("n"), "language")
 
 
 def priority_distribution(df: DataFrame) -> DataFrame:
     """Known levels in their order, then other values by count; ``ord`` numbers them."""
-    counts = value_counts(df.where(F.col("priority").isNotNull()), "priority")
+    counts = _counts(df.where(F.col("priority").isNotNull()), "priority")
     place = F.nullif(_position(PRIORITY_DISPLAY, "priority"), F.lit(0))
     return counts.withColumn("known_ord", place.cast("int")).orderBy(
         F.asc_nulls_last("known_ord"), F.desc("n"), "priority"
@@ -140,12 +168,12 @@ def priority_distribution(df: DataFrame) -> DataFrame:
 
 
 def top_queues(df: DataFrame, k: int = 20) -> DataFrame:
-    return top_values(df, "queue", k)
+    return top_values(df, "queue", k, _weight(df))
 
 
 def mapping_coverage(df: DataFrame) -> DataFrame:
     """Tickets per mapped topic with the number of queues and of explicit ones."""
-    queues = value_counts(df.where(F.col("queue").isNotNull()), "queue").withColumn(
+    queues = _counts(df.where(F.col("queue").isNotNull()), "queue").withColumn(
         "mapped_topic", queue_topic(F.col("queue"))
     )
     topics = queues.groupBy("mapped_topic").agg(
@@ -169,13 +197,18 @@ def queue_coverage(df: DataFrame) -> DataFrame:
 
 
 def length_histogram(df: DataFrame, bins: int = 40) -> DataFrame:
-    return histogram(with_text_length(df), "text_length", bins, bounded=True)
+    folded = value_weights(with_text_length(df), "text_length", weight=_weight(df))
+    return histogram(folded, "text_length", bins, weight="_n")
 
 
 def length_box(df: DataFrame) -> DataFrame:
     """Box statistics of the text length per language."""
     q = bounded_quantiles(
-        with_text_length(df), "text_length", [0.0, 0.25, 0.5, 0.75, 1.0], ["language"]
+        with_text_length(df),
+        "text_length",
+        [0.0, 0.25, 0.5, 0.75, 1.0],
+        ["language"],
+        _weight(df),
     )
     names = ["min", "q1", "median", "q3", "max"]
     return q.select("language", *(F.col("q")[i].alias(n) for i, n in enumerate(names)))
@@ -183,7 +216,7 @@ def length_box(df: DataFrame) -> DataFrame:
 
 def length_summary(df: DataFrame) -> DataFrame:
     """Rows, mean and quantiles of the text length."""
-    folded = value_weights(with_text_length(df), "text_length")
+    folded = value_weights(with_text_length(df), "text_length", weight=_weight(df))
     probs = {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "max": 1.0}
     n, total = F.sum("_n"), F.sum(F.col("text_length") * F.col("_n"))
     return folded.agg(
@@ -195,11 +228,11 @@ def length_summary(df: DataFrame) -> DataFrame:
 
 def type_distribution(df: DataFrame) -> DataFrame:
     known = df.where(F.col("type").isNotNull())
-    return distribution(known, "type").orderBy(F.desc("n"), "type")
+    return distribution(known, "type", _weight(df)).orderBy(F.desc("n"), "type")
 
 
 def version_distribution(df: DataFrame) -> DataFrame:
-    return distribution(df, "version").orderBy(F.desc("n"), "version")
+    return distribution(df, "version", _weight(df)).orderBy(F.desc("n"), "version")
 
 
 def sample_browser(df: DataFrame, n: int = 50) -> DataFrame:
@@ -239,7 +272,12 @@ REPORTS = {
 def profile(
     df: DataFrame, only_languages: Sequence[str] | None = None
 ) -> dict[str, DataFrame]:
-    """All statistics of a prepared sample, or of its tickets in some languages."""
+    """All statistics of a prepared sample, or of its tickets in some languages.
+
+    The sample is read twice: to fold it, and for the list of tickets.
+    """
     if only_languages is not None:
         df = df.where(F.col("language").isin(list(only_languages)))
-    return {name: make(df) for name, make in REPORTS.items()}
+    folded = stage(fold(df), "profile")
+    made = {name: make(folded) for name, make in REPORTS.items() if name != "sample_browser"}
+    return {**made, "sample_browser": sample_browser(df)}
