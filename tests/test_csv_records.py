@@ -3,12 +3,13 @@
 import csv
 import io
 import random
+import re
 
 import pandas as pd
 import pytest
 
 from ticketlake.sources.csv_files import read_rows
-from ticketlake.sources.csv_records import csv_records
+from ticketlake.sources.csv_records import _described_lines, csv_records
 
 CELLS = ["", "a", "plain text", 'say "hi"', "two\nlines", "\n\n", "a,b", '"', '""', "x\r\ny", " pad ", "ä😀", '",\n"', "\t"]
 
@@ -98,3 +99,16 @@ def test_a_long_line_needs_no_recursion(spark, tmp_path):
     cell = '""' * 30000 + "," * 30000
     (tmp_path / "t.csv").write_text(f'a,b\n1,"{cell}"\n2,{"x" * 50000}\n' + "," * 40000 + '"open\nclosed"\n')
     assert csv_records(spark, [str(tmp_path / "t.csv")]).records.count() == 4
+
+
+def test_lines_are_described_without_a_shuffle(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text(_random_csv(3, 40))
+    plan = _described_lines(spark, [str(path)])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    records = csv_records(spark, [str(path)]).records
+    records.collect()
+    plan = records._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    # one exchange, of the lines that lie in records with line breaks; blocks are broadcast
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert re.search(r"Exchange hashpartitioning(?s:.)*(?:THEN in_1#\d+L? ELSE in_0#\d+L? END OR)", plan)

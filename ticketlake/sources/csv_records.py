@@ -3,17 +3,21 @@
 Spark's own reader gives a whole file to one task once cells may hold line
 breaks. Here files are read as splittable text. Whether a line starts inside a
 quoted cell depends on all lines before it, so each line is first described by
-what it does to that state: keep it, flip it, or set it. Within a block of the
-file (one input split) a window composes these effects for both possible
-opening states; composing the few block summaries then settles which opening
-state each block really has, and how many records come before it.
+what it does to that state: keep it, flip it, or set it. The lines of a block of the
+file (one input split) come to one task in order, which composes these effects for
+both possible opening states as they pass; composing the few block summaries then
+settles which opening state each block really has, and how many records come before
+it. Records of one line are complete at this point and never shuffled; only the lines
+of records with line breaks are brought together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,10 +75,65 @@ def _with_effect(df: DataFrame, window) -> DataFrame:
     )
 
 
+LINES = (
+    "part string, block long, at long, value string, "
+    "in_0 boolean, in_1 boolean, end_0 boolean, end_1 boolean, n_0 long, n_1 long"
+)
+
+
+class _Opening:
+    """State and record count of a block while its lines pass, for one opening state."""
+
+    def __init__(self, inside: bool):
+        self.inside, self.records = inside, 0
+
+    def pass_lines(self, after_out: np.ndarray, after_in: np.ndarray, blank: np.ndarray):
+        """Inside before and after each line, and records begun up to and with it."""
+        place = np.arange(len(blank))
+        flip = after_out & ~after_in
+        flips = np.cumsum(flip)
+        # the last line so far that fixes the state, whatever it was
+        fixed = np.maximum.accumulate(np.where(after_out == after_in, place, -1))
+        base = np.where(fixed >= 0, after_out[fixed], self.inside)
+        since = flips - np.where(fixed >= 0, flips[fixed], 0)
+        end = base ^ (since % 2 == 1)
+        before = np.append(self.inside, end[:-1])
+        n = self.records + np.cumsum(~before & ~blank)
+        self.inside, self.records = bool(end[-1]), int(n[-1])
+        return before, end, n
+
+
+def _numbered_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, openings = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        flags = [
+            batch.column(c).to_numpy(zero_copy_only=False) for c in ("after_out", "after_in", "blank")
+        ]
+        blocks = batch.column("block").to_numpy()
+        parts = batch.column("part").dictionary_encode()
+        part = parts.indices.to_numpy()
+        names = parts.dictionary.to_pylist()
+        edges = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(part) != 0)) + 1
+        done = []
+        for lo, hi in zip([0, *edges], [*edges, len(blocks)]):
+            key = (names[part[lo]], blocks[lo])
+            if key != now:
+                now, openings = key, [_Opening(False), _Opening(True)]
+            cut = [f[lo:hi] for f in flags]
+            (in_0, end_0, n_0), (in_1, end_1, n_1) = (o.pass_lines(*cut) for o in openings)
+            done.append((in_0, in_1, end_0, end_1, n_0, n_1))
+        added = [pa.array(np.concatenate(x)) for x in zip(*done)]
+        kept = [batch.column(c) for c in ("part", "block", "at", "value")]
+        yield pa.RecordBatch.from_arrays(kept + added, [c.split()[0] for c in LINES.split(", ")])
+
+
 def _described_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Every line with its state and record count under both opening states."""
-    in_block = Window.partitionBy("part", "block").orderBy("at")
-    so_far = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    """Every line with its state and record count under both opening states.
+
+    Nothing is shuffled: a block is read by one task from its first line to its last.
+    """
     outside, inside = _inside_after(F.col("value"))
     # paths come percent-encoded, a plus sign standing for itself
     encoded = F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))
@@ -91,25 +150,7 @@ def _described_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             (F.btrim("value", F.lit(" \t\r")) == "").alias("blank"),
         )
     )
-    states = _with_effect(lines, in_block).withColumns(
-        {"in_0": _composed(in_block, False), "in_1": _composed(in_block, True)}
-    )
-
-    def ends(state: str) -> Column:
-        return F.when(F.col(state), F.col("after_in")).otherwise(F.col("after_out"))
-
-    def starts(state: str) -> Column:
-        return (~F.col(state) & ~F.col("blank")).cast("long")
-
-    counted = states.withColumns(
-        {
-            "n_0": F.sum(starts("in_0")).over(so_far),
-            "n_1": F.sum(starts("in_1")).over(so_far),
-            "end_0": ends("in_0"),
-            "end_1": ends("in_1"),
-        }
-    )
-    return counted.drop("set", "flip", "after_out", "after_in")
+    return lines.mapInArrow(_numbered_lines, LINES)
 
 
 def _block_offsets(lines: DataFrame) -> DataFrame:
@@ -147,28 +188,33 @@ def _block_offsets(lines: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """part, rec, line: the lines of every record, blank lines between records left out."""
-    inside = F.when(F.col("opening"), F.col("in_1")).otherwise(F.col("in_0"))
-    number = F.when(F.col("opening"), F.col("n_1")).otherwise(F.col("n_0"))
-    return (
-        lines.join(blocks, ["part", "block"])
-        .where(inside | ~F.col("blank"))
-        .select(
-            "part",
-            (F.col("before") + number - 1).alias("rec"),
-            F.struct("block", "at", "value").alias("line"),
-        )
+def _records(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """part, rec, record; blank lines between records are left out."""
+    opening = F.col("opening")
+    inside = F.when(opening, F.col("in_1")).otherwise(F.col("in_0"))
+    ends = F.when(opening, F.col("end_1")).otherwise(F.col("end_0"))
+    number = F.when(opening, F.col("n_1")).otherwise(F.col("n_0"))
+    placed = lines.join(blocks, ["part", "block"]).select(
+        "part",
+        (F.col("before") + number - 1).alias("rec"),
+        "block",
+        "at",
+        "value",
+        inside.alias("inside"),
+        ends.alias("ends"),
+        (F.btrim("value", F.lit(" \t\r")) == "").alias("blank"),
     )
-
-
-def _assembled(numbered: DataFrame) -> DataFrame:
-    """part, rec, record"""
+    whole = placed.where("NOT inside AND NOT ends AND NOT blank").select(
+        "part", "rec", F.col("value").alias("text")
+    )
+    line = F.struct("block", "at", "value")
     text = F.array_join(
-        F.transform(F.array_sort(F.collect_list("line")), lambda x: x["value"]), "\n"
+        F.transform(F.array_sort(F.collect_list(line)), lambda x: x["value"]), "\n"
     )
-    return numbered.groupBy("part", "rec").agg(
-        F.regexp_replace(text, r"\r\z", "").alias("record")
+    # inside a record, or opening one that goes on
+    joined = placed.where("inside OR ends").groupBy("part", "rec").agg(text.alias("text"))
+    return whole.unionByName(joined).select(
+        "part", "rec", F.regexp_replace("text", r"\r\z", "").alias("record")
     )
 
 
@@ -215,9 +261,8 @@ def csv_records(spark: SparkSession, paths: Sequence[str]) -> CsvRecords:
         blocks = F.broadcast(blocks)
     # the stored lines are clustered by block, so this reads the first ones only
     first_blocks = lines.where(F.col("block") <= (seen.head or 0))
-    headers = _numbered(first_blocks, blocks).where("rec = 0")
     return CsvRecords(
-        records=_assembled(_numbered(lines, blocks)),
-        headers=_assembled(headers),
+        records=_records(lines, blocks),
+        headers=_records(first_blocks, blocks).where("rec = 0"),
         parts=parts,
     )
