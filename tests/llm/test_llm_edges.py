@@ -130,11 +130,19 @@ def test_embeddings_in_large_buckets(spark, monkeypatch):
     x = np.concatenate([centre + 0.28 * rng.normal(size=(900, 32)), rng.normal(size=(600, 32))]).astype(np.float32)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     monkeypatch.setattr(embedding_dedup, "CELL", 100)
-    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.dedup(frame).collect()}
     unit = embedding_dedup.unit(x)
     want = (unit @ unit.T >= 0.9).sum(1) - 1
-    assert sum(got.values()) >= 0.995 * want.sum()
-    assert all(got[i] <= want[i] for i in got)
+    shapes = embedding_dedup.SHAPES
+    for own in shapes[:2]:  # as for few and for many vectors
+        monkeypatch.setattr(embedding_dedup, "SHAPES", (own,))
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.dedup(frame).collect()}
+        assert sum(got.values()) >= 0.995 * want.sum()
+        assert all(got[i] <= want[i] for i in got)
+
+
+def test_hashes_follow_the_number_of_vectors():
+    hashes = [embedding_dedup.shape(n, 64).hashes for n in (0, 1000, 10**6, 10**7, 10**9, 10**12)]
+    assert hashes == [2, 2, 2, 3, 4, 4]
 
 
 def test_mixing(odd, none):
@@ -217,6 +225,7 @@ def test_classifiers(spark, odd, none, operator, label):
     assert {r["predicted"] for r in operator.judge(odd, one).collect()} == {1}
     assert operator.judge(odd, labels.limit(0)).count() == odd.count()
     assert operator.judge(none, labels).count() == 0
+    assert operator.judge(odd.where("doc_id = 6"), labels.where("doc_id <> 6")).count() == 1
 
 
 def test_urls(spark):

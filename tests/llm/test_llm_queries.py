@@ -16,6 +16,7 @@ import __spark_entry__ as entry_point
 import corpus_pipeline
 from ticketlake.llm import mixing, pii, quality
 from ticketlake.llm.registry import ORACLE, QUERIES, TOKENIZER
+from ticketlake.storage import staged_run
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -41,7 +42,8 @@ def test_all_are_registered():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, con, name):
-    assert spark_rows(QUERIES[name](spark, SF_DIR)) == sql_rows(con, ORACLE[name])
+    with staged_run(spark):
+        assert spark_rows(QUERIES[name](spark, SF_DIR)) == sql_rows(con, ORACLE[name])
 
 
 def test_token_counts_are_those_of_the_library(spark):

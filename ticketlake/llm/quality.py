@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .training import prior_shift, remainder, sample, sigmoid
+from .training import in_one_task, log_odds, prior_shift, remainder, sample, sigmoid
 
 BUCKETS, DIMS, GRAMS = 1 << 18, 16, (3, 4)
 PER_CLASS, EPOCHS, RATE = 2500, 6, 4.0
@@ -113,11 +113,17 @@ def train(texts: list[str], labels: np.ndarray, shift: float, seed: int = 7) ->
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     learn = remainder(F.col("doc_id"), 5) != 0
-    texts, marks, counts = sample(docs, labels, label, learn, PER_CLASS)
-    if len(np.unique(marks)) < 2:
-        share = (counts[1] + 1e-9) / (counts.sum() + 2e-9)
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(share + 1e-9) - np.log(1 - share + 1e-9)))
-    return train(texts, marks, prior_shift(counts, marks))
+    rows, counts = sample(docs, labels, label, learn, PER_CLASS)
+    constant = Model(np.zeros(BUCKETS, np.float32), log_odds(counts))
+    if not counts.all():
+        return constant
+
+    def work(texts: list[str], marks: np.ndarray) -> Model:
+        if len(np.unique(marks)) < 2:
+            return constant
+        return train(texts, marks, prior_shift(counts, marks))
+
+    return in_one_task(rows, work)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .training import prior_shift, remainder, sample, sigmoid
+from .training import in_one_task, log_odds, prior_shift, remainder, sample, sigmoid
 
 PER_CLASS = 2500
 #: lengths of the word beginnings, in bytes
@@ -122,8 +122,9 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 10) -> Label
     model = LabelModel(float(p.mean()), _rates(votes, p), np.ones(votes.shape[1]))
     for _ in range(rounds):
         model.rates = _rates(votes, p)
-        repeated = _correlation(votes, p, model.rates) ** 2
-        model.weights = 1 / (1 + repeated.sum(1))
+        repeated = _correlation(votes, p, model.rates)[:-1, :-1] ** 2
+        # silence excludes all other votes, so it repeats none of them
+        model.weights = np.append(1 / (1 + repeated.sum(1)), 1.0)
         p = model.posterior(votes)
     return model
 
@@ -188,6 +189,19 @@ def _covering(fires: np.ndarray, precise: np.ndarray) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
+def _scaled(z: np.ndarray, target: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """a (1 to 8) and c for which sigmoid(a z + c) fits the target best, by Newton steps."""
+    a, c = 1.0, 0.0
+    for _ in range(rounds):
+        p = sigmoid(a * z + c)
+        v = p * (1 - p)
+        g = np.array([((p - target) * z).sum(), (p - target).sum()])
+        h = np.array([[(v * z * z).sum(), (v * z).sum()], [(v * z).sum(), v.sum()]]) + np.eye(2) * 1e-3
+        da, dc = np.linalg.solve(h, g)
+        a, c = float(np.clip(a - da, 1.0, 8.0)), float(np.clip(c - dc, -20.0, 20.0))
+    return a, c
+
+
 def train(texts: list[str], labels: np.ndarray, shift: float) -> Model:
     n_docs = len(texts)
     parts = []
@@ -233,16 +247,25 @@ def train(texts: list[str], labels: np.ndarray, shift: float) -> Model:
     w, b = _logistic(
         rows[mine], place[cols[mine]], np.log1p(n[mine].astype(float)), n_docs, len(top), target
     )
-    return Model(distinct[top], w, b + shift)
+    # regularised weights are too timid; the scale that fits the posteriors best is kept
+    z = np.bincount(rows[mine], np.log1p(n[mine].astype(float)) * w[place[cols[mine]]], minlength=n_docs)
+    scale, offset = _scaled(z + b, target)
+    return Model(distinct[top], w * scale, b * scale + offset + shift)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     learn = remainder(F.col("doc_id"), 4) != 2
-    texts, marks, counts = sample(docs, labels, label, learn, PER_CLASS)
-    if len(np.unique(marks)) < 2:
-        share = (counts[1] + 1e-9) / (counts.sum() + 2e-9)
-        return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share + 1e-9) - np.log(1 - share + 1e-9)))
-    return train(texts, marks, prior_shift(counts, marks))
+    rows, counts = sample(docs, labels, label, learn, PER_CLASS)
+    constant = Model(np.zeros(0, np.uint64), np.zeros(0), log_odds(counts))
+    if not counts.all():
+        return constant
+
+    def work(texts: list[str], marks: np.ndarray) -> Model:
+        if len(np.unique(marks)) < 2:
+            return constant
+        return train(texts, marks, prior_shift(counts, marks))
+
+    return in_one_task(rows, work)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

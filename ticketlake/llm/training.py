@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,8 +17,8 @@ def remainder(doc_id: Column, divisor: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int,
-           id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels (0/1) and the class counts behind them.
+           id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
+    """doc_id, text, label (0/1) to learn from, and the class counts behind them.
 
     At most ``per_class`` documents of each class, those with the smallest hashed ids;
     ``learn`` says, over ``doc_id``, which ids labels may be learnt from. A document with
@@ -41,11 +44,32 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
         .join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows at most
         .dropDuplicates(["doc_id"])
         .select("doc_id", "text", "label")
-        .toArrow()
     )
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    rows = rows.take(pa.array(order))
-    return rows.column("text").to_pylist(), rows.column("label").to_numpy().astype(np.int64), counts
+    return rows, counts
+
+
+def in_one_task(rows: DataFrame, learn: Callable[[list[str], np.ndarray], object]):
+    """What ``learn`` makes of the texts and labels of a bounded sample, in id order.
+
+    It runs in a task of its own, so a lost executor repeats it and the driver only gets
+    the model.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        texts: list[str] = []
+        labels = np.zeros(0, np.int64)
+        if parts:
+            table = pa.Table.from_batches(parts).sort_by("doc_id")
+            texts = table.column("text").to_pylist()
+            labels = table.column("label").to_numpy().astype(np.int64)
+            del table
+        del parts
+        model = pickle.dumps(learn(texts, labels))
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    made = rows.repartition(1).mapInArrow(work, "model binary").first()
+    return pickle.loads(made["model"]) if made else learn([], np.zeros(0, np.int64))
 
 
 def prior_shift(counts: np.ndarray, labels: np.ndarray) -> float:
@@ -56,3 +80,8 @@ def prior_shift(counts: np.ndarray, labels: np.ndarray) -> float:
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def log_odds(counts: np.ndarray) -> float:
+    """Of label 1, from counts by label; 0 without any."""
+    return float(np.log(counts[1] + 1e-9) - np.log(counts[0] + 1e-9))
