@@ -2,10 +2,11 @@
 
 A hash rotates the vector (three rounds of random signs and a fast Hadamard transform) and takes
 the nearest corner of the cross-polytope: the largest coordinate and its sign. A table's
-code is ``HASHES`` such corners. A vector stands in its own bucket of each of ``TABLES``
-tables and also asks the ``PROBES`` buckets that it missed most narrowly. At a cosine of
-0.9 and 64 dimensions a pair meets in one table with probability 0.65, in one of eight with
-0.9998 (measured). Everything that meets is verified in double precision.
+code is several such corners. A vector stands in its own bucket of each table and also
+asks the buckets that it missed most narrowly. The number of corners follows the number of
+vectors (``shape``), so that buckets of unlike vectors stay small; tables and probes go with
+it so that a pair at a cosine of 0.9 meets with a probability of 0.9996 or more (measured
+at 64 dimensions). Everything that meets is verified in double precision.
 
 Equal vectors are one class, compared once and counted with their number. A bucket is
 worked on in cells of about ``CELL`` by ``CELL`` vectors, so a bucket that holds a third of all
@@ -23,6 +24,7 @@ and vector columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,28 @@ from ..storage import stage
 from . import words as W
 from .components import components
 
-TABLES, HASHES, PROBES, CELL, RANKS = 8, 2, 4, 1024, 4
+#: vectors on each side of a cell; coordinates looked at for probes; vectors in a bucket
+CELL, RANKS, CROWD = 1024, 4, 64
 THRESHOLD = 0.9
 
 
+@dataclass(frozen=True)
+class Shape:
+    hashes: int
+    tables: int
+    probes: int
+
+
+# one table meets with probability 0.66, 0.50 and 0.39 at a cosine of 0.9
+SHAPES = (Shape(2, 8, 4), Shape(3, 12, 8), Shape(4, 16, 16))
+
+
+def shape(vectors: int, dim: int) -> Shape:
+    """The first of SHAPES whose buckets hold at most CROWD unlike vectors on average, or the last."""
+    corners = 2 << max(1, (dim - 1).bit_length())
+    return next((s for s in SHAPES if vectors <= CROWD * corners**s.hashes), SHAPES[-1])
+
+
 def _hadamard(x: np.ndarray) -> np.ndarray:
     h = 1
     while h < x.shape[1]:
@@ -52,19 +72,20 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
+def codes(x: np.ndarray, own: Shape = SHAPES[0]) -> np.ndarray:
     """Unit vectors to codes, n x tables x (1 + probes); the first is a vector's own bucket."""
+    tables, probes, hashes = own.tables, own.probes, own.hashes
     n, dim = x.shape
     size = 1 << max(1, (dim - 1).bit_length())
     padded = np.zeros((n, size))
     padded[:, :dim] = x
     signs = np.random.default_rng(dim)
     ranks = min(RANKS, size)
-    combos = np.stack(np.meshgrid(*[range(ranks)] * HASHES, indexing="ij"), -1).reshape(-1, HASHES)
+    combos = np.stack(np.meshgrid(*[range(ranks)] * hashes, indexing="ij"), -1).reshape(-1, hashes)
     out = np.zeros((n, tables, 1 + probes), np.int32)
     for t in range(tables):
         cost, code = np.zeros((n, len(combos))), np.zeros((n, len(combos)), np.int64)
-        for h in range(HASHES):
+        for h in range(hashes):
             y = padded
             for _ in range(3):
                 y = _hadamard(y * signs.choice([-1.0, 1.0], size))
@@ -75,7 +96,7 @@ def codes(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarr
             cost += ((value[:, :1] - value) ** 2)[:, combos[:, h]]
             code = code * (2 * size) + corner[:, combos[:, h]]
         order = np.argsort(cost, axis=1, kind="stable")[:, : 1 + probes]
-        found = np.take_along_axis(code, order, 1)
+        found = np.take_along_axis(code, order, 1) % (2**31 - 1)
         out[:, t, : found.shape[1]] = found
         out[:, t, found.shape[1] :] = found[:, :1]
     return out
@@ -96,50 +117,62 @@ def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 def _buckets(code: np.ndarray, size: int) -> np.ndarray:
     """Bucket keys of n x tables x probes codes."""
     table = np.arange(code.shape[1], dtype=np.uint64)[None, :, None]
-    key = (np.uint64(size) << np.uint64(48)) + (table << np.uint64(36)) + code.astype(np.uint64)
+    key = (np.uint64(size) << np.uint64(40)) + (table << np.uint64(32)) + code.astype(np.uint64)
     return W.mix(key).view(np.int64)
 
 
-def _own_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for size, _, x in _by_length(batch.column("embedding")):
-            key = _buckets(codes(unit(x), probes=PROBES), size)
-            flat = key.reshape(-1)
-            base = np.tile(np.arange(1 + PROBES) == 0, len(x) * TABLES)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(base)], ["bucket", "base"])
+def _own_buckets(own: Shape):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, _, x in _by_length(batch.column("embedding")):
+                for lo in range(0, len(x), 500):
+                    key = _buckets(codes(unit(x[lo : lo + 500]), own), size)
+                    base = np.zeros(key.shape, bool)
+                    base[:, :, 0] = True
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.reshape(-1)), pa.array(base.reshape(-1))], ["bucket", "base"]
+                    )
+
+    return rows
 
 
 MEMBERS = "bucket long, place int, base boolean, id long, copies long, codes binary, vector binary"
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, copies = batch.column("id").to_numpy(), batch.column("copies").to_numpy()
-        for size, at, x in _by_length(batch.column("embedding")):
-            x = np.ascontiguousarray(x)
-            for lo in range(0, len(at), 500):
-                part = slice(lo, lo + 500)
-                code = codes(unit(x[part]))
-                n, each = len(code), TABLES * (1 + PROBES)
-                width = x.dtype.itemsize * size
-                raw = np.frombuffer(x[part].tobytes(), np.uint8).reshape(n, width)
-                packed = np.frombuffer(code.tobytes(), np.uint8).reshape(n, each * 4)
-                binary = lambda rows, w: pa.Array.from_buffers(
-                    pa.binary(), n * each,
-                    [None, pa.py_buffer((np.arange(n * each + 1) * w).astype(np.int32)), pa.py_buffer(np.repeat(rows, each, 0).tobytes())],
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(_buckets(code, size).reshape(-1)),
-                        pa.array(np.tile(np.arange(each, dtype=np.int32), n)),
-                        pa.array(np.tile(np.arange(each) % (1 + PROBES) == 0, n)),
-                        pa.array(np.repeat(ids[at[part]], each)),
-                        pa.array(np.repeat(copies[at[part]], each)),
-                        binary(packed, each * 4),
-                        binary(raw, width),
-                    ],
-                    [c.split()[0] for c in MEMBERS.split(", ")],
-                )
+def _members(own: Shape):
+    each = own.tables * (1 + own.probes)
+
+    def binary(rows: np.ndarray) -> pa.Array:
+        """Each row of bytes, ``each`` times."""
+        n, width = rows.shape
+        ends = pa.py_buffer((np.arange(n * each + 1) * width).astype(np.int32))
+        return pa.Array.from_buffers(
+            pa.binary(), n * each, [None, ends, pa.py_buffer(np.repeat(rows, each, 0).tobytes())]
+        )
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, copies = batch.column("id").to_numpy(), batch.column("copies").to_numpy()
+            for size, at, x in _by_length(batch.column("embedding")):
+                x = np.ascontiguousarray(x)
+                for lo in range(0, len(at), 200):
+                    part = slice(lo, lo + 200)
+                    code = codes(unit(x[part]), own)
+                    n = len(code)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(_buckets(code, size).reshape(-1)),
+                            pa.array(np.tile(np.arange(each, dtype=np.int32), n)),
+                            pa.array(np.tile(np.arange(each) % (1 + own.probes) == 0, n)),
+                            pa.array(np.repeat(ids[at[part]], each)),
+                            pa.array(np.repeat(copies[at[part]], each)),
+                            binary(np.ascontiguousarray(code).view(np.uint8).reshape(n, -1)),
+                            binary(np.ascontiguousarray(x[part]).view(np.uint8).reshape(n, -1)),
+                        ],
+                        [c.split()[0] for c in MEMBERS.split(", ")],
+                    )
+
+    return rows
 
 
 def _first_meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,7 +199,7 @@ def _groups(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def _cell(rows: pa.Table, dtype: np.dtype, threshold: float):
+def _cell(rows: pa.Table, dtype: np.dtype, threshold: float, own: Shape):
     """id, links, other of the vectors of one cell that have links."""
     role = rows.column("role").to_numpy()
     query, target = np.flatnonzero(role != 1), np.flatnonzero(role != 2)
@@ -178,8 +211,8 @@ def _cell(rows: pa.Table, dtype: np.dtype, threshold: float):
     x = unit(vectors)
     copies = rows.column("copies").to_numpy()
     code = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.int32)
-    code = code.reshape(len(ids), TABLES, 1 + PROBES).astype(np.int64)
-    table = int(rows.column("place")[0].as_py()) // (1 + PROBES)
+    code = code.reshape(len(ids), own.tables, 1 + own.probes).astype(np.int64)
+    table = int(rows.column("place")[0].as_py()) // (1 + own.probes)
     links = np.zeros(len(ids), np.int64)
     ends_q, ends_t = [], []
     for lo in range(0, len(query), 512):
@@ -210,7 +243,7 @@ def _cell(rows: pa.Table, dtype: np.dtype, threshold: float):
     return ids[some], links[some], firsts[group[same[some]]]
 
 
-def _linked(dtype: np.dtype, threshold: float):
+def _linked(dtype: np.dtype, threshold: float, own: Shape):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -220,7 +253,7 @@ def _linked(dtype: np.dtype, threshold: float):
             edges = np.flatnonzero(np.diff(cell)) + 1
             bounds = [0, *edges.tolist(), *([len(cell)] if last else [])]
             out = [
-                _cell(table.slice(a, b - a), dtype, threshold)
+                _cell(table.slice(a, b - a), dtype, threshold, own)
                 for a, b in zip(bounds[:-1], bounds[1:])
                 if b - a > 1
             ]
@@ -266,15 +299,17 @@ def dedup(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id",
         .select("id", "copies", "embedding")
     )
     reps = stage(reps, "representatives")
+    found = reps.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    own = shape(found["n"], found["dim"] or 1)
     sizes = (
         reps.select("embedding")
-        .mapInArrow(_own_buckets, "bucket long, base boolean")
+        .mapInArrow(_own_buckets(own), "bucket long, base boolean")
         .groupBy("bucket")
         .agg(F.count("*").alias("all"), F.count_if("base").alias("own"))
         .where(F.col("all") > CELL)
         .select("bucket", F.ceil(F.col("own") / CELL).alias("nt"), F.ceil(F.col("all") / CELL).alias("nq"))
     )
-    members = reps.mapInArrow(_members, MEMBERS).join(stage(sizes, "large"), "bucket", "left")
+    members = reps.mapInArrow(_members(own), MEMBERS).join(stage(sizes, "large"), "bucket", "left")
     spread = F.xxhash64("id", F.lit(2))
     t, q = F.pmod(spread, F.greatest("nt", F.lit(1))), F.pmod(spread, "nq")
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1).cast("long")) - 1)
@@ -294,7 +329,7 @@ def dedup(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id",
         .repartition("cell")
         .sortWithinPartitions("cell")
     )
-    found = stage(dealt.mapInArrow(_linked(dtype, threshold), "id long, links long, other long"), "links")
+    found = stage(dealt.mapInArrow(_linked(dtype, threshold, own), "id long, links long, other long"), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     known = (
