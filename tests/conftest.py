@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -24,8 +23,6 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
     )
     session = builder.getOrCreate()
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ticketlake-"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -11,6 +11,10 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
+# the folder of local sessions that name none
+_local: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -20,8 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="ticketlake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="ticketlake-"))
+        folder = _local[0]
     return folder.rstrip("/")
 
 
