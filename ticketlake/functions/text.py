@@ -13,6 +13,7 @@ SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 MAX_CHARS = 2000
 TAIL_CHARS = 200
+SNIPPET_CHARS = 200
 CUT_MARK = "\n[...]\n"
 
 
@@ -65,8 +66,8 @@ def shorten(col: Column, n: int, mark: str = "...") -> Column:
     ).otherwise(col)
 
 
-def snippet(col: Column) -> Column:
-    return shorten(col, 200)
+def snippet(col: Column, n: int = SNIPPET_CHARS) -> Column:
+    return shorten(col, n)
 
 
 def language_code(col: Column) -> Column:

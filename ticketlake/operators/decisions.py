@@ -16,6 +16,7 @@ from ..schemas import (
     TOPICS,
 )
 
+NO_QUESTION = "a clarify step that asks nothing"
 MAX_REASONING = 200
 MAX_QUESTIONS = 2
 
@@ -51,21 +52,28 @@ def fallback_decision(topic: Column, urgency: Column) -> Column:
     )
 
 
-def kept_questions(questions: Column) -> Column:
-    """Blank questions dropped, then the first two."""
+def kept_questions(questions: Column, n: int = MAX_QUESTIONS) -> Column:
+    """Blank questions dropped, then the first ``n``."""
     none = F.array().cast("array<string>")
     return F.slice(
         F.filter(F.coalesce(questions, none), lambda q: strip(q) != ""),
         1,
-        MAX_QUESTIONS,
+        n,
     )
 
 
 def step_decision(
-    tool: Column, reasoning: Column, questions: Column, faq_topic: Column
+    tool: Column,
+    reasoning: Column,
+    questions: Column,
+    faq_topic: Column,
+    max_reasoning: int = MAX_REASONING,
 ) -> Column:
-    """STRUCT(action, reasoning, questions, faq_topic) of a terminal step."""
-    reason = none_if_empty(F.substring(reasoning, 1, MAX_REASONING))
+    """STRUCT(action, reasoning, questions, faq_topic) of a terminal step.
+
+    Reasons are cut at ``max_reasoning`` characters.
+    """
+    reason = none_if_empty(F.substring(reasoning, 1, max_reasoning))
     return F.struct(
         F.upper(tool).alias("action"),
         F.coalesce(reason, F.lit(NO_REASONING)).alias("reasoning"),
@@ -108,7 +116,7 @@ def decide(scored: DataFrame, folded: DataFrame) -> DataFrame:
             F.col("args_error"),
             F.when(
                 (F.col("tool") == "clarify") & (F.size(asked) == 0),
-                "CLARIFY requires at least one clarification_question",
+                NO_QUESTION,
             ),
         ),
     )
@@ -171,8 +179,8 @@ def assemble_results(decided: DataFrame, runtimes: DataFrame | None = None) -> D
     )
 
 
-def comparison_view(results: DataFrame) -> DataFrame:
-    """Prediction next to the labels, one row per ticket."""
+def comparison_view(results: DataFrame, cut: int = 120) -> DataFrame:
+    """Prediction next to the labels, one row per ticket; snippets cut at ``cut`` characters."""
     declared = F.array(*(F.lit(t) for t in TOPICS))
     ranked = F.array_sort(
         F.transform(
@@ -193,7 +201,7 @@ def comparison_view(results: DataFrame) -> DataFrame:
     )
     return results.select(
         "ticket_id",
-        F.substring("text_snippet", 1, 120).alias("snippet"),
+        F.substring("text_snippet", 1, cut).alias("snippet"),
         "topic",
         "topic_margin",
         top.alias("top_scores"),

@@ -179,13 +179,13 @@ STEP_FIELDS = [
 ]
 
 
-def pick_attempts(steps: DataFrame) -> DataFrame:
-    """One row per (ticket, turn): its first valid attempt out of three.
+def pick_attempts(steps: DataFrame, limit: int = MAX_ATTEMPTS) -> DataFrame:
+    """One row per (ticket, turn): its first valid attempt out of ``limit``.
 
     Columns: attempt and the step fields, all null when no attempt was valid;
     n_attempts counts the attempts looked at.
     """
-    looked_at = steps.where(F.col("attempt").between(1, MAX_ATTEMPTS))
+    looked_at = steps.where(F.col("attempt").between(1, limit))
     valid = F.size("errors") == 0
     step = F.when(valid, F.struct("attempt", *STEP_FIELDS))
     return (
@@ -222,24 +222,24 @@ def _trace(tools: Column) -> Column:
     )
 
 
-def fold_turns(picks: DataFrame) -> DataFrame:
+def fold_turns(picks: DataFrame, limit: int = MAX_TURNS) -> DataFrame:
     """One row per ticket: tools_used and the step that ended it, if a tool did.
 
     ``picks`` has (ticket_id, turn, tool) and any of the other step fields; a
-    turn without a row counts as failed. Only the first four turns are looked
-    at, one slot each, so a ticket never gathers more than four steps.
+    turn without a row counts as failed. Only the first ``limit`` turns are looked
+    at, one slot each, so a ticket never gathers more steps.
     """
     carried = [c for c in picks.columns if c not in ("ticket_id", "turn", "tool")]
     step = F.struct("tool", *carried)
     slots = [
         F.first(F.when(F.col("turn") == k, step), ignorenulls=True).alias(f"_t{k}")
-        for k in range(1, MAX_TURNS + 1)
+        for k in range(1, limit + 1)
     ]
     folded = (
-        picks.where(F.col("turn").between(1, MAX_TURNS))
+        picks.where(F.col("turn").between(1, limit))
         .groupBy("ticket_id")
         .agg(*slots)
-        .withColumn("_steps", F.array(*(f"_t{k}" for k in range(1, MAX_TURNS + 1))))
+        .withColumn("_steps", F.array(*(f"_t{k}" for k in range(1, limit + 1))))
         .withColumn("tools_used", _trace(F.transform("_steps", lambda s: s["tool"])))
     )
     ended = F.element_at("tools_used", -1).isin(TERMINAL_TOOLS)
