@@ -3,7 +3,7 @@
 Let n be a set's size and t the threshold. A partner shares at least ceil(t n) of the
 tokens, so it misses fewer than p = n - ceil(t n) + 1 of them. With any order of
 tokens that all sets share, the first k shared tokens of two similar sets then lie
-within the first p + k - 1 tokens of both: the extended prefix.
+within the first p + k - 1 tokens of both: the extended prefix. Here k is 2.
 
 1. Screen. Tokens of a third of the hash range are counted over all documents. A set with p
    tokens that occur nowhere else has no partner: rarest first, its whole prefix
@@ -15,11 +15,10 @@ within the first p + k - 1 tokens of both: the extended prefix.
    verified against the list's centre, the document whose tokens have the longest lists,
    and what links is joined to components; pairs within a component need no further
    work, which settles groups of any number of near copies in linear time.
-4. Between components, rare tokens (lists up to ``RARE``) are indexed singly and a pair
-   needs k - 1 of them in common; frequent ones are indexed by combinations of two.
-   Two similar sets share k tokens of their prefixes: at least two frequent ones, or at
-   least k - 1 rare ones. Documents with more than ``WIDE`` open frequent tokens
-   would have too many combinations; their tokens are indexed singly, for all.
+4. Between components, rare tokens (lists up to ``RARE``) are indexed singly and frequent ones
+   by combinations of two: two similar sets share two tokens of their prefixes, so a rare
+   one or two frequent ones. Documents with more than ``WIDE`` open frequent tokens would have
+   too many combinations; their tokens are indexed singly, for all.
 5. Candidates are verified on the whole sets, and the links joined to components.
 
 Before sets are moved, pairs must pass a bound: each set carries the parities of its tokens in
@@ -176,7 +175,7 @@ def _prefixes(shared):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             lists = batch.column("tokens")
             tokens = lists.flatten().to_numpy()
             size = np.diff(lists.offsets.to_numpy())
@@ -210,12 +209,9 @@ class Threshold:
     def prefix(self, n: Column) -> Column:
         return n - self.shared(n) + 1
 
-    def matches(self, n: Column) -> Column:
-        """k: how many shared tokens the extended prefix is made to hold."""
-        return F.least(F.floor(self.prefix(n) / 8) + 2, self.shared(n))
-
     def extended(self, n: Column) -> Column:
-        return self.prefix(n) + self.matches(n) - 1
+        """Length of the prefix that holds the first two shared tokens."""
+        return F.least(self.prefix(n) + 1, n)
 
     def near(self, n: Column, m: Column) -> Column:
         """Whether the sizes allow a link."""
@@ -232,44 +228,51 @@ def _prefixed(rows: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataF
     return rows.select(*[F.col(c).alias(c if c in keep else prefix + c) for c in rows.columns])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """The pairs (a_id, b_id) whose whole sets are similar."""
-    ids = lambda p: p.select(F.col("a_id").alias("id")).unionByName(p.select(F.col("b_id").alias("id")))
-    named = sets.withColumnRenamed("doc_id", "id")
-    some = among(named.select("id", "n", *PARITIES).where("size(tokens) > 0"), ids(pairs), "id")
-    likely = stage(
+def _likely(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs (a_id, b_id) that sizes and parities allow."""
+    some = sets.where("size(tokens) > 0").select(F.col("doc_id").alias("id"), "n", *PARITIES)
+    return (
         pairs.join(_prefixed(some, "a_"), "a_id")
         .join(_prefixed(some, "b_"), "b_id")
         .where(limit.possible("a_", "b_"))
-        .select("a_id", "b_id"),
-        "likely",
+        .select("a_id", "b_id")
     )
-    whole = among(named.select("id", "n", "tokens").where("size(tokens) > 0"), ids(likely), "id")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """The pairs (a_id, b_id) whose whole sets are similar; few pairs, so few sets are moved."""
+    ids = pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id")))
+    held = sets.where("size(tokens) > 0").select(F.col("doc_id").alias("id"), "n", "tokens")
+    whole = stage(among(held, ids, "id"), "whole")
     both = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return (
-        likely.join(_prefixed(whole, "a_"), "a_id")
+        pairs.join(_prefixed(whole, "a_"), "a_id")
         .join(_prefixed(whole, "b_"), "b_id")
         .where(both * limit.den >= (F.col("a_n") + F.col("b_n") - both) * limit.num)
         .select("a_id", "b_id")
     )
 
 
-def _crossing(rows: DataFrame) -> DataFrame:
-    """Pairs of ids under one key whose components differ; rows: key, comp, id, n.
+def _crossing(rows: DataFrame, limit: Threshold) -> DataFrame:
+    """Pairs under one key that sizes and parities allow; rows: key, comp, alone, id, n, parities.
 
-    Components are paired first, so members of one component never meet.
+    Documents that have no link yet (``alone``) meet all others, each pair once. The
+    rest are paired by component first, so members of one component never meet,
+    however many.
     """
-    comps = rows.select("key", "comp").distinct()
-    more = comps.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    comps = comps.join(more, "key", "left_semi")
-    pairs = (
-        _prefixed(comps, "a_", ("key",))
-        .join(_prefixed(comps, "b_", ("key",)), "key")
-        .where("a_comp < b_comp")
-    )
-    return pairs.join(_prefixed(rows, "a_", ("key",)), ["key", "a_comp"]).join(
-        _prefixed(rows, "b_", ("key",)), ["key", "b_comp"]
+    both = lambda a, b: _prefixed(a, "a_", ("key",)).join(_prefixed(b, "b_", ("key",)), "key")
+    possible = limit.possible("a_", "b_")
+    once = ~F.col("b_alone") | (F.col("a_id") < F.col("b_id"))
+    meet = both(rows.where("alone"), rows).where(once & possible)
+    grouped = rows.where("NOT alone")
+    comps = grouped.select("key", "comp").distinct()
+    pairs = both(comps, comps).where("a_comp < b_comp")
+    apart = (
+        pairs.join(_prefixed(grouped, "a_", ("key",)), ["key", "a_comp"])
+        .join(_prefixed(grouped, "b_", ("key",)), ["key", "b_comp"])
+        .where(possible)
     )
+    return meet.select("a_id", "b_id").unionByName(apart.select("a_id", "b_id"))
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
@@ -304,14 +307,20 @@ def _links(sets: DataFrame, limit: Threshold) -> DataFrame:
         .where("id <> hub")
         .groupBy("id", "hub")
         .agg(F.count("*").alias("m"), F.min("n").alias("n"))
-        .where(F.col("m") * 2 >= limit.matches(n))
+        .where(F.col("m") * 16 >= limit.prefix(n))  # centres of chance lists are left to step 4
         .select(F.col("hub").alias("a_id"), F.col("id").alias("b_id"))
     )
-    linked = stage(_verified(stage(_in_order(stars), "stars"), sets, limit), "links")
+    likely = stage(_likely(_in_order(stars), sets, limit), "likely")
+    linked = stage(_similar(likely, sets, limit), "links")
 
     comp = components(linked.toDF("a", "b"))
     placed = listed.join(comp, "id", "left").select(
-        F.col("token").alias("key"), "id", "n", "c", F.coalesce("component", "id").alias("comp")
+        F.col("token").alias("key"),
+        "id",
+        "n",
+        "c",
+        F.coalesce("component", "id").alias("comp"),
+        F.col("component").isNull().alias("alone"),
     )
     open_lists = (
         placed.groupBy("key")
@@ -324,32 +333,21 @@ def _links(sets: DataFrame, limit: Threshold) -> DataFrame:
     widths = frequent.groupBy("id").agg(F.count("*").alias("f")).where(F.col("f") > WIDE).select("id")
     wide = stage(frequent.join(widths, "id", "left_semi").select("key").distinct(), "wide")
 
-    bits = among(sets.where("size(tokens) > 0").select(F.col("doc_id").alias("id"), *PARITIES), placed, "id")
-    rare = placed.where(F.col("c") <= RARE).drop("c").join(bits, "id")
-    least = F.least("a_n", "b_n")
-    singly = (
-        _prefixed(rare, "a_", ("key",))
-        .join(_prefixed(rare, "b_", ("key",)), "key")
-        .where((F.col("a_id") < F.col("b_id")) & (F.col("a_comp") != F.col("b_comp")))
-        .where(limit.possible("a_", "b_"))
-        .select("a_id", "b_id", least.alias("n"))
-        .groupBy("a_id", "b_id")
-        .agg(F.count("*").alias("m"), F.min("n").alias("n"))
-        .where(F.col("m") >= F.greatest(limit.matches(n) - 1, F.lit(1)))
-        .select("a_id", "b_id")
-    )
-    by_wide = frequent.join(wide, "key", "left_semi").select("key", "comp", "id", "n")
+    own = ["id", "n", "comp", "alone"]
     combined = (
         frequent.join(wide, "key", "left_anti")
-        .groupBy("id", "n", "comp")
+        .groupBy(*own)
         .agg(F.array_sort(F.collect_list("key")).alias("t"))
         .withColumn("i", F.explode(F.sequence(F.lit(1), F.size("t"))))
         .withColumn("second", F.explode(F.slice("t", F.col("i") + 1, F.size("t"))))
-        .select(F.xxhash64(F.element_at("t", F.col("i")), "second").alias("key"), "comp", "id", "n")
+        .select(F.xxhash64(F.element_at("t", F.col("i")), "second").alias("key"), *own)
     )
-    others = _crossing(by_wide.unionByName(combined)).where(limit.near(F.col("a_n"), F.col("b_n")))
-    pairs = stage(singly.unionByName(_in_order(others)).distinct(), "pairs")
-    return linked.unionByName(_verified(pairs, sets, limit)).toDF("a", "b")
+    single = placed.where(F.col("c") <= RARE).select("key", *own)
+    single = single.unionByName(frequent.join(wide, "key", "left_semi").select("key", *own))
+    bits = sets.where("size(tokens) > 0").select(F.col("doc_id").alias("id"), *PARITIES)
+    keyed = stage(single.unionByName(combined).join(bits, "id"), "keyed")
+    pairs = stage(_in_order(_crossing(keyed, limit)), "pairs")
+    return linked.unionByName(_similar(pairs, sets, limit)).toDF("a", "b")
 
 
 def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 21
+SLICE = 1 << 20
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -197,7 +197,7 @@ def spans(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(out + mix((end - start).astype(U64)))
 
 
-def batches(rows: pa.RecordBatch, column: str, limit: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def batches(rows: pa.RecordBatch, column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """``rows`` in pieces whose texts hold about ``limit`` bytes (one row at least)."""
     _, bounds = buffers(rows.column(column))
     at, n = 0, rows.num_rows
