@@ -266,8 +266,10 @@ def test_ngram_join(odd, none):
     assert ngram_join.join(none).count() == 0
 
 
-@pytest.mark.parametrize("rare, wide", [(64, 64), (2, 64), (2, 2)])
-def test_ngram_join_of_near_copies(spark, monkeypatch, rare, wide):
+@pytest.mark.parametrize(
+    "rare, wide, width, num", [(64, 64, 3, 90), (64, 64, 5, 80), (2, 64, 3, 90), (2, 2, 2, 60)]
+)
+def test_ngram_join_of_near_copies(spark, monkeypatch, rare, wide, width, num):
     """Chains and groups around the threshold, with shared passages, against all pairs."""
     from test_llm_queries import brute_groups
 
@@ -286,10 +288,9 @@ def test_ngram_join_of_near_copies(spark, monkeypatch, rare, wide):
             texts[len(texts) * 3 % 301] = " ".join(words)
     monkeypatch.setattr(ngram_join, "RARE", rare)
     monkeypatch.setattr(ngram_join, "WIDE", wide)
-    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for width, num in ((3, 90), (5, 80), (2, 60)):
-        got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(frame, width, num, 100).collect()}
-        assert got == brute_groups(texts, width, num, 100)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(frame, width, num, 100).collect()}
+    assert got == brute_groups(texts, width, num, 100)
 
 
 def test_components(spark):

@@ -203,7 +203,7 @@ def _merged(start: np.ndarray, end: np.ndarray) -> list[dict]:
     return out
 
 
-def _marker(shared, text_col: str, schema: pa.Schema):
+def _marker(shared, text_col: str):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         finder = Finder(block.distinct)
@@ -257,7 +257,7 @@ def mark(docs: DataFrame, items: DataFrame, text_col="text", id_col="item_id",
         own = Block(known.where(F.col("block") == number).toArrow(), width)  # about `block` rows
         own.index(shingle_counts(docs, own, text_col))
         shared = docs.sparkSession.sparkContext.broadcast(own)
-        out = out.mapInArrow(_marker(shared, text_col, None), out.schema)
+        out = out.mapInArrow(_marker(shared, text_col), out.schema)
     return out
 
 
