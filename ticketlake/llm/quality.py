@@ -30,7 +30,7 @@ from . import words as W
 from .training import in_one_task, log_odds, prior_shift, remainder, sample, sigmoid
 
 BUCKETS, DIMS, GRAMS = 1 << 18, 16, (3, 4)
-PER_CLASS, EPOCHS, RATE = 2500, 6, 4.0
+PER_CLASS, EPOCHS, RATE = 1500, 6, 4.0
 #: a document is kept (predicted 1) from this score on
 CUT = 0.3
 
@@ -134,7 +134,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in W.batches(batch, text_col, 1 << 22):
+            for part in W.batches(batch, text_col, 1 << 20):
                 value = sigmoid(own.logits(part.column(names.index(text_col))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], [*names, "__score"])
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .training import in_one_task, log_odds, prior_shift, remainder, sample, sigmoid
 
-PER_CLASS = 2500
+PER_CLASS = 2000
 #: lengths of the word beginnings, in bytes
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: voters, features of the classifier, documents a feature must occur in
@@ -276,7 +276,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for part in W.batches(batch, text_col):
+            for part in W.batches(batch, text_col, 1 << 21):
                 value = sigmoid(own.logits(part.column(names.index(text_col))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], [*names, "__score"])
 
