@@ -50,11 +50,13 @@ from .components import components
 RARE, WIDE = 64, 64
 #: one in SCREEN tokens, by hash, takes part in the screen
 SCREEN = 3
+#: bytes of text worked on at once
+PIECE = 1 << 21
 #: bits of the table of frequent tokens
 FREQUENT_BITS = 1 << 25
 #: columns of 64 parity bits
 PARITIES = [f"b{i}" for i in range(16)]
-FULL = "doc_id long, n long, sig_a long, sig_b long, tokens array<long>, " + ", ".join(
+FULL = "doc_id long, n long, near long, sig_a long, sig_b long, tokens array<long>, " + ", ".join(
     f"{b} long" for b in PARITIES
 )
 
@@ -101,7 +103,7 @@ def _sampled(width: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.batches(batch, "text"):
+            for part in W.batches(batch, "text", PIECE):
                 tokens, first, size = token_sets(W.split(part.column("text"), W.SPACES, True), width)
                 of = np.repeat(np.arange(len(size)), size)
                 keep = tokens % np.uint64(SCREEN) == 0
@@ -119,11 +121,14 @@ def _sampled(width: int):
 
 
 def _full(width: int):
-    """doc_id, n, signature and tokens; of equal sets in a batch only the smallest document has tokens."""
+    """doc_id, n, near, signature, tokens and parities.
+
+    ``near`` is the smallest document of the batch with an equal set; only that one has tokens.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.batches(batch, "text"):
+            for part in W.batches(batch, "text", PIECE):
                 tokens, first, size = token_sets(W.split(part.column("text"), W.SPACES, True), width)
                 one = W.spans(tokens, first, first + size)
                 two = W.spans(W.mix(tokens + np.uint64(7)), first, first + size)
@@ -132,6 +137,7 @@ def _full(width: int):
                 for i, key in enumerate(zip(one.tolist(), two.tolist())):
                     if ids[i] is not None and (key not in best or ids[i] < ids[best[key]]):
                         best[key] = i
+                near = [None if d is None else ids[best[key]] for d, key in zip(ids, zip(one.tolist(), two.tolist()))]
                 held = np.zeros(len(ids), bool)
                 held[list(best.values())] = True
                 keep = np.repeat(held, size)
@@ -141,12 +147,13 @@ def _full(width: int):
                     [
                         part.column("doc_id"),
                         pa.array(size, pa.int64()),
+                        pa.array(near, pa.int64()),
                         pa.array(one.view(np.int64)),
                         pa.array(two.view(np.int64)),
                         lists,
                         *[pa.array(b) for b in parities(tokens, size)],
                     ],
-                    ["doc_id", "n", "sig_a", "sig_b", "tokens", *PARITIES],
+                    ["doc_id", "n", "near", "sig_a", "sig_b", "tokens", *PARITIES],
                 )
 
     return rows
@@ -279,9 +286,15 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
 
 
-def _links(sets: DataFrame, limit: Threshold) -> DataFrame:
+def _classes(sets: DataFrame) -> DataFrame:
+    """near, rep: the smallest document of all with an equal set, for each batch's smallest."""
+    firsts = sets.where("doc_id = near").select("near", "sig_a", "sig_b")
+    smallest = firsts.groupBy("sig_a", "sig_b").agg(F.min("near").alias("rep"))
+    return firsts.join(smallest, ["sig_a", "sig_b"]).select("near", "rep")
+
+
+def _links(sets: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
     """Links (a, b) between representatives, enough to connect what is connected."""
-    classes = sets.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("doc_id"))
     n = F.col("n")
     held = sets.where("n > 0 AND size(tokens) > 0").select(
         F.col("doc_id").alias("id"), "n", limit.extended(n).cast("int").alias("q"), "tokens"
@@ -289,7 +302,7 @@ def _links(sets: DataFrame, limit: Threshold) -> DataFrame:
     frequent = _frequent_bits(held.select(F.explode("tokens").alias("token")))
     shared = sets.sparkSession.sparkContext.broadcast(frequent)  # 4 MB
     posted = held.mapInArrow(_prefixes(shared), "id long, n long, token long").join(
-        classes.select(F.col("doc_id").alias("id")), "id", "left_semi"
+        classes.where("near = rep").select(F.col("rep").alias("id")), "id", "left_semi"
     )
     posted = stage(posted, "prefixes")
     lists = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
@@ -375,12 +388,12 @@ def join(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100,
     rest = among(texts, stage(rest, "rest"), "doc_id").dropDuplicates(["doc_id"])
     sets = stage(rest.select("doc_id", "text").mapInArrow(_full(width), FULL), "sets")
 
-    comp = components(_links(sets, limit))
-    classes = sets.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep"))
+    classes = stage(_classes(sets), "classes")
+    comp = components(_links(sets, classes, limit))
     empty = F.col("n") == 0
     placed = (
-        sets.select("doc_id", "n", "sig_a", "sig_b")
-        .join(classes, ["sig_a", "sig_b"])
+        sets.select("doc_id", "n", "near")
+        .join(classes, "near")
         .join(comp.withColumnRenamed("id", "rep"), "rep", "left")
         .select("doc_id", "n", F.when(empty, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
     )
