@@ -81,22 +81,30 @@ class Model:
 def train(texts: list[str], labels: np.ndarray, shift: float, seed: int = 7) -> Model:
     """Vectors and outputs by gradient descent, one document at a time."""
     rng = np.random.default_rng(seed)
-    counted = []
+    # a few large arrays, which are given back as a whole, and not one per document
+    parts, sizes = [], []
     for at in range(0, len(texts), 100):
         part = pa.array(texts[at : at + 100], pa.string())
         buckets, starts = features(part)
+        found = []
         for i in range(len(part)):
             own = np.concatenate([b[s[i] : s[i + 1]] for b, s in zip(buckets, starts)]).astype(np.int32)
             which, n = np.unique(own, return_counts=True)
-            counted.append((which, (n / max(1, len(own))).astype(np.float32)))
+            found.append((which, (n / max(1, len(own))).astype(np.float32)))
+            sizes.append(len(which))
+        parts.append(tuple(np.concatenate(x) for x in zip(*found)))
+    every_which, every_share = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    ends = np.cumsum([0, *sizes])
     vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
     outputs, bias = np.zeros((2, DIMS), np.float32), np.zeros(2, np.float32)
-    steps, done = EPOCHS * len(counted), 0
+    steps, done = EPOCHS * len(texts), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(counted)):
+        for i in rng.permutation(len(texts)):
             rate = RATE * (1 - done / steps)
             done += 1
-            which, share = counted[i]
+            own = slice(ends[i], ends[i + 1])
+            which, share = every_which[own], every_share[own]
             hidden = share @ vectors[which]
             scores = outputs @ hidden + bias
             p = np.exp(scores - scores.max())
