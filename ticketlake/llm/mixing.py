@@ -31,8 +31,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: words in a block
 BLOCK = 128
-#: buckets of a source's line for the prefix sums, cells of the unit interval, slots in a chunk
-BUCKETS, CELLS, CHUNK = 4096, 1024, 65536
+#: buckets of a source's line for the prefix sums, cells of the unit interval
+BUCKETS, CELLS = 4096, 1024
 PHI = 0.6180339887498949
 
 
@@ -86,6 +86,8 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """slot, src, block: which block of which source each slot takes."""
     spark = sources.sparkSession
     n_slots = int(sources.agg(F.ceil(F.max("all") / block)).first()[0] or 0)
+    # as many slots in a chunk as chunks, so that neither level of the ranks is long
+    chunk = max(1024, int(n_slots**0.5))
     slots = spark.range(n_slots).select(
         F.col("id").alias("slot"), point_of(F.col("id")).alias("point")
     ).withColumn("cell", F.floor(F.col("point") * CELLS))
@@ -94,7 +96,7 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     taken = (
         slots.join(parts, "cell")
         .where("point >= lo AND point < hi")
-        .select("slot", "src", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+        .select("slot", "src", F.floor(F.col("slot") / chunk).alias("chunk"))
     )
     starts = taken.groupBy("src", "chunk").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
