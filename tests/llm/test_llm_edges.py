@@ -208,6 +208,32 @@ def test_pii_leaves_prose_alone(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("call +1 555 one two three 4567 now", "phone", "+1 555 one two three 4567"),
+        ("host 10.zero.zero.one is up", "ip", "10.zero.zero.one"),
+        ("host 10 . 0 . 0 . 1 is up", "ip", "10 . 0 . 0 . 1"),
+        ("card 4111 1111 1111 1 one one one", "card", "4111 1111 1111 1 one one one"),
+        ("call plus one 4155552671", "phone", "plus one 4155552671"),
+        ("mail joe@example . com, please", "email", "joe@example . com"),
+        ("mail JOE@EXAMPLE . COM, please", "email", "JOE@EXAMPLE . COM"),
+        ("mail Joe@Example . Com, please", "email", "Joe@Example . Com"),
+        ("mail joe at example . com", "email", "joe at example . com"),
+        ("mail joe@example . com . The rest", "email", "joe@example . com"),
+    ],
+)
+def test_pii_disguises_in_otherwise_plain_texts(text, kind, found):
+    _, spans = pii.find(text)
+    assert [(k, text[a:b]) for k, a, b in spans] == [(kind, found)]
+
+
+def test_pii_spaced_dots_end_sentences():
+    assert pii.find("we arrived at noon . Then we left") == ([], [])
+    base, spans = pii.find("write to joe@example.com . The rest is known")
+    assert spans == base == [("email", 9, 24)]
+
+
 def test_pii_is_linear_on_long_runs():
     for piece in ("1", " ", "a", ".", "1.", "+1", "@", " [", "one "):
         pii.find(piece * 200_000)

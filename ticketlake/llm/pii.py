@@ -13,7 +13,9 @@ source characters it stands for:
 The same patterns then run on the rewritten text, and matches that hold something
 rewritten are mapped back to source spans. Such a span is added unless it touches one found
 plainly. To leave ordinary prose alone, an "at" without brackets counts only in an
-address whose dots are disguised too, and a disguised address must end in letters.
+address whose dots are disguised too, and a disguised address must end in letters. A spaced
+dot before a capitalised word ends a sentence where the address is whole without it, and
+always after such an "at". No test is made beforehand: what can be rewritten is, in every text.
 
 Texts are scanned whole, row by row, with nothing shuffled. Null texts count as empty;
 texts without findings give zero counts and empty span lists; repeated rows are scanned
@@ -133,7 +135,7 @@ def _plain(c: str) -> str | None:
 class Rewritten:
     """A text and, per character, the source span it stands for and whether it was rewritten.
 
-    ``how``: 0 as it was, 1 rewritten, 2 an "at" without brackets.
+    ``how``: 0 as it was, 1 rewritten, 2 an "at" without brackets, 3 a dot without them.
     """
 
     def __init__(self, text: str):
@@ -170,6 +172,7 @@ _NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 #: an opening bracket, the word or sign, the closing one; with the spaces around
 _BRACKETED = re.compile(r" {0,4}[\[({<] {0,4}(at|@|dot|\.) {0,4}[\])}>] {0,4}", re.I)
 _BARE = re.compile(r"(?<=[A-Za-z0-9]) +(at|@|dot|\.) +(?=[A-Za-z0-9])", re.I)
+_BEGINS = re.compile(r"\.[A-Z][a-z]")
 
 
 def _ascii_lower(text: str) -> str:
@@ -180,6 +183,8 @@ def _ascii_lower(text: str) -> str:
 def _number_words(text: str) -> list[tuple[int, int, str]]:
     low = _ascii_lower(text)
     out = []
+    if not any(w in low for w in DIGITS):
+        return out
     for m in _SPELLED.finditer(low):
         a = m.start()
         if a == 0 or not low[a - 1].isalpha():
@@ -187,24 +192,9 @@ def _number_words(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _disguised(text: str) -> bool:
-    """Cheap test: whether any rewriting could matter."""
-    if not text.isascii() and any(_plain(c) is not None for c in set(_NOT_ASCII.findall(text))):
-        return True
-    low = text.lower()
-    if " dot " in low or " @ " in low or _BRACKETED.search(low):
-        return True
-    # the shortest identifier with spelled digits has four of them, or digits beside them
-    numbers = 0
-    for w in DIGITS:
-        numbers += low.count(w)
-        if numbers > 3:
-            return len(_number_words(text)) > 3
-    return False
-
-
-def rewrite(text: str) -> Rewritten:
-    out = Rewritten(text)
+def rewrite(text: str) -> Rewritten | None:
+    """The text rewritten; null where there is nothing to rewrite."""
+    out = None
     if not text.isascii():
         edits = []
         for m in _NOT_ASCII.finditer(text):
@@ -212,9 +202,11 @@ def rewrite(text: str) -> Rewritten:
             if new is not None:
                 edits.append((m.start(), m.end(), new, 1))
         if edits:
+            out = Rewritten(text)
             out.replace(edits)
-    numbers = _number_words(out.text)
+    numbers = _number_words(out.text if out else text)
     if numbers:
+        out = out or Rewritten(text)
         edits, last = [], None
         for a, b, digit in numbers:
             gap = out.text[last:a] if last is not None else None
@@ -225,16 +217,27 @@ def rewrite(text: str) -> Rewritten:
             edits.append((a, b, digit, 1))
             last = b
         out.replace(edits)
-    for pattern, bare in ((_BRACKETED, 1), (_BARE, 2)):
+    for pattern, weak in ((_BRACKETED, {}), (_BARE, {"at": 2, ".": 3})):
         edits = []
-        for m in pattern.finditer(out.text):
-            sign = "@" if m.group(1).lower() in ("at", "@") else "."
-            edits.append((m.start(), m.end(), sign, bare if m.group(1).lower() == "at" else 1))
+        for m in pattern.finditer(out.text if out else text):
+            found = m.group(1).lower()
+            edits.append((m.start(), m.end(), "@" if found in ("at", "@") else ".", weak.get(found, 1)))
         if edits:
+            out = out or Rewritten(text)
             out.replace(edits)
     return out
 
 
+def _end(out: Rewritten, a: int, b: int) -> int:
+    """Where an address ends that a sentence may follow."""
+    at = out.text.index("@", a)
+    for i in range(at, b):
+        if out.how[i] == 3 and _BEGINS.match(out.text, i):
+            if out.how[at] == 2 or EMAIL.fullmatch(out.text, a, i):
+                return i
+    return b
+
+
 def _trusted(kind: str, out: Rewritten, a: int, b: int) -> bool:
     how = out.how[a:b]
     if not any(how):
@@ -252,12 +255,14 @@ def _trusted(kind: str, out: Rewritten, a: int, b: int) -> bool:
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Disguised findings that touch no plain one."""
-    if not _disguised(text):
-        return []
     out = rewrite(text)
+    if out is None:
+        return []
     taken = sorted((a, b) for _, a, b in base)
     found = []
     for kind, a, b in base_spans(out.text):
+        if kind == "email":
+            b = _end(out, a, b)
         if _trusted(kind, out, a, b):
             span = (kind, out.start[a], out.end[b - 1])
             if not any(x < span[2] and span[1] < y for x, y in taken):
