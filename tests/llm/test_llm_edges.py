@@ -221,6 +221,7 @@ def test_pii_leaves_prose_alone(text):
         ("mail Joe@Example . Com, please", "email", "Joe@Example . Com"),
         ("mail joe at example . com", "email", "joe at example . com"),
         ("mail joe@example . com . The rest", "email", "joe@example . com"),
+        ("reach me at joe.smith@example dot com", "email", "joe.smith@example dot com"),
     ],
 )
 def test_pii_disguises_in_otherwise_plain_texts(text, kind, found):
@@ -228,6 +229,31 @@ def test_pii_disguises_in_otherwise_plain_texts(text, kind, found):
     assert [(k, text[a:b]) for k, a, b in spans] == [(kind, found)]
 
 
+@pytest.mark.parametrize(
+    "text, kind, found, plain",
+    [
+        ("see jоhn.smith@example.com now", "email", "jоhn.smith@example.com", "hn.smith@example.com"),
+        ("reach me at jоhn.smith@example.com now", "email", "jоhn.smith@example.com", "hn.smith@example.com"),
+        ("see john@example.cоm now", "email", "john@example.cоm", "john@example.c"),
+        ("host 192.168.1.2５ is up", "ip", "192.168.1.2５", "192.168.1.2"),
+        ("host one92.168.1.1 is up", "ip", "one92.168.1.1", "92.168.1.1"),
+        ("see joe@mail.example dot com now", "email", "joe@mail.example dot com", "joe@mail.example"),
+        ("call +1 555 123 456 seven now", "phone", "+1 555 123 456 seven", "+1 555 123 456"),
+    ],
+)
+def test_pii_disguises_around_plain_findings(text, kind, found, plain):
+    base, spans = pii.find(text)
+    assert [(k, text[a:b]) for k, a, b in base] == [(kind, plain)]
+    assert {(k, text[a:b]) for k, a, b in spans} == {(kind, plain), (kind, found)}
+    assert len(spans) == 2 and pii.masked(text) == text.replace(found, f"[{kind}]")
+
+
+def test_pii_rewritten_text_beside_a_plain_finding_adds_nothing():
+    for text in ("see joe@site.com and оne", "nine hosts: 10.0.0.1 and 10.0.0.2 at noon"):
+        base, spans = pii.find(text)
+        assert base and spans == base
+
+
 def test_pii_spaced_dots_end_sentences():
     assert pii.find("we arrived at noon . Then we left") == ([], [])
     base, spans = pii.find("write to joe@example.com . The rest is known")

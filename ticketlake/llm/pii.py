@@ -11,8 +11,8 @@ source characters it stands for:
 * "at" and "dot", bracketed or as words, with the spaces around them, become "@" and ".".
 
 The same patterns then run on the rewritten text, and matches that hold something
-rewritten are mapped back to source spans. Such a span is added unless it touches one found
-plainly. To leave ordinary prose alone, an "at" without brackets counts only in an
+rewritten are mapped back to source spans. Such a span is added unless it is equal to or inside
+a plain one of its kind; one that only holds or overlaps plain ones stands beside them. To leave ordinary prose alone, an "at" without brackets counts only in an
 address whose dots are disguised too, and a disguised address must end in letters. A spaced
 dot before a capitalised word ends a sentence where the address is whole without it, and
 always after such an "at". No test is made beforehand: what can be rewritten is, in every text.
@@ -29,7 +29,8 @@ import hashlib
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -74,24 +75,24 @@ def _valid(kind: str, found: str) -> bool:
     return 9 <= len(digits) <= 15
 
 
-def _emails(text: str) -> list[tuple[int, int]]:
-    """What EMAIL.finditer gives; looks only where an @ stands."""
+def _emails(text: str, passed: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """What EMAIL.finditer gives; looks only where an @ stands. Those ``passed`` over take up nothing."""
     out, end, at = [], 0, text.find("@")
     while at >= 0:
         start = at
         while start > end and text[start - 1] in _LOCAL:
             start -= 1
         m = EMAIL.match(text, start) if start < at else None
-        if m:
+        if m and not (passed and passed(*m.span())):
             out.append(m.span())
             end = m.end()
         at = text.find("@", max(end, at + 1))
     return out
 
 
-def base_spans(text: str) -> list[Span]:
+def base_spans(text: str, passed: Callable[[int, int], bool] | None = None) -> list[Span]:
     """Plain findings, by kind and place."""
-    out: list[Span] = [("email", a, b) for a, b in _emails(text)]
+    out: list[Span] = [("email", a, b) for a, b in _emails(text, passed)]
     if not _DIGIT.search(text):
         return out
     for kind, pattern in (("ip", IP), ("card", CARD), ("phone", PHONE)):
@@ -254,20 +255,29 @@ def _trusted(kind: str, out: Rewritten, a: int, b: int) -> bool:
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Disguised findings that touch no plain one."""
+    """Disguised findings that are not inside a plain one of their kind.
+
+    Those of one kind never overlap, as their places in the rewritten text do not.
+    """
     out = rewrite(text)
     if out is None:
         return []
-    taken = sorted((a, b) for _, a, b in base)
+
+    def passed(a: int, b: int) -> bool:
+        """An "at" that does not count leaves what follows to the next sign."""
+        return out.how[out.text.index("@", a)] == 2 and not _trusted("email", out, a, _end(out, a, b))
+
+    # of each kind, plain findings come by place and do not overlap
+    plain = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
     found = []
-    for kind, a, b in base_spans(out.text):
+    for kind, a, b in base_spans(out.text, passed):
         if kind == "email":
             b = _end(out, a, b)
         if _trusted(kind, out, a, b):
-            span = (kind, out.start[a], out.end[b - 1])
-            if not any(x < span[2] and span[1] < y for x, y in taken):
-                found.append(span)
-                taken.append(span[1:])
+            a, b = out.start[a], out.end[b - 1]
+            near = bisect_right(plain[kind], a, key=lambda s: s[0]) - 1
+            if near < 0 or plain[kind][near][1] < b:
+                found.append((kind, a, b))
     return found
 
 
