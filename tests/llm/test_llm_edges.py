@@ -22,6 +22,7 @@ from ticketlake.llm import (
     url_filter,
 )
 from ticketlake.llm.components import components
+from ticketlake.llm.training import sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -280,6 +281,14 @@ def test_classifiers(spark, odd, none, operator, label):
     assert operator.judge(odd.where("doc_id = 6"), labels.where("doc_id <> 6")).count() == 1
 
 
+@pytest.mark.parametrize("operator, label", [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_learn_from_2500_documents_a_class(spark, operator, label):
+    rows = spark.range(5200).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), (F.col("id") % 2).alias(label))
+    chosen, counts = sample(rows, rows, label, F.lit(True), operator.PER_CLASS)
+    assert counts.tolist() == [2600, 2600]
+    assert {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()} == {0: 2500, 1: 2500}
+
+
 def test_urls(spark):
     urls = {
         1: "http://A.ORG/x", 2: None, 3: "", 4: "no scheme", 5: "https://example.org/es/1?q#f", 6: "x://example.org/en/12",

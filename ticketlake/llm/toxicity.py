@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import words as W
 from .training import in_one_task, log_odds, prior_shift, remainder, sample, sigmoid
 
-PER_CLASS = 2000
+PER_CLASS = 2500
 #: lengths of the word beginnings, in bytes
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: voters, features of the classifier, documents a feature must occur in
