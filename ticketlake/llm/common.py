@@ -70,3 +70,8 @@ def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of ``rows`` whose ``key`` is in ``ids``; the others are not shuffled."""
     some = likely(rows, ids, key).where("__likely").drop("__likely")
     return some.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def as_small(rows: DataFrame, limit: int = 100_000) -> DataFrame:
+    """``rows``, broadcast in a join if counted to be at most ``limit``; else joined by shuffle."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows

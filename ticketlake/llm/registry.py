@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, mixing, ngram_join, pii, quality, substring_dedup, token_count, toxicity, url_filter
+from . import (
+    decontaminate,
+    embedding_dedup,
+    mixing,
+    ngram_join,
+    pii,
+    quality,
+    substring_dedup,
+    token_count,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -58,6 +70,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -69,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
@@ -78,4 +95,5 @@ ORACLE: dict[str, str] = {
     "op7_ngram_join": ngram_join.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
