@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     conversation_repair,
+    credentials,
     decontaminate,
     embedding_dedup,
     mixing,
@@ -71,6 +72,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.mark(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op11_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.report(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_credentials": op11_credentials,
     "op12_vector_codes": op12_vector_codes,
     "op13_conversation_repair": op13_conversation_repair,
 }
@@ -102,6 +108,7 @@ ORACLE: dict[str, str] = {
     "op7_ngram_join": ngram_join.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_credentials": credentials.SQL,
     "op12_vector_codes": vector_codes.SQL,
     "op13_conversation_repair": conversation_repair.SQL,
 }
