@@ -6,7 +6,7 @@ an interval with a role (identifier, secret or endpoint); plain findings have ro
 scope, that is, between empty lines, an interval widened by ``REACH`` characters on both sides
 is joined with the intervals of the complementary roles, and a weak candidate is
 reported only where the join finds one: an identifier needs a secret, a secret an identifier
-or endpoint (a bare token an identifier), an endpoint a secret.
+or endpoint, an endpoint a secret. A bare token needs an identifier and is no secret to an endpoint.
 
 The join asks for the nearest interval of a role on either side, which a running maximum of ends and
 a running minimum of starts over the scope in order give: linear in the intervals, no pairs.
@@ -162,10 +162,9 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def _nearest(role: str) -> tuple[Column, Column]:
-    """Intervals (start, end) of ``role`` before and after a part in its scope that are nearest to it, within REACH."""
+def _nearest(own: Column) -> tuple[Column, Column]:
+    """Intervals (start, end) that are ``own`` before and after a part in its scope, nearest to it, within REACH."""
     line = Window.partitionBy(*KEY, "scope").orderBy("start", "source")
-    own = F.col("role") == role
     before = F.max(F.when(own, F.struct(F.col("end").alias("at"), "start", "end"))).over(line.rowsBetween(Window.unboundedPreceding, -1))
     after = F.min(F.when(own, F.struct(F.col("start").alias("at"), "start", "end"))).over(line.rowsBetween(1, Window.unboundedFollowing))
     near_before = F.when(F.col("start") - before["end"] <= REACH, before)
@@ -178,14 +177,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     out = parts(docs, id_col, text_col)
     near = {}
     for role in ("ident", "secret", "endpoint"):
-        near[f"{role}_before"], near[f"{role}_after"] = _nearest(role)
+        near[f"{role}_before"], near[f"{role}_after"] = _nearest(F.col("role") == role)
+    near["named_before"], near["named_after"] = _nearest((F.col("role") == "secret") & (F.col("kind") != "bare"))
     out = out.withColumns(near)
     has = lambda role: F.col(f"{role}_before").isNotNull() | F.col(f"{role}_after").isNotNull()
     weak = (
         F.when(F.col("role") == "ident", has("secret"))
-        .when(F.col("role") == "endpoint", has("secret"))
-        .when(F.col("kind") == "bare", has("ident"))
-        .when(F.col("role") == "secret", has("ident") | has("endpoint"))
+        .when(F.col("role") == "endpoint", has("named"))
+        .when(F.col("role") == "secret", has("ident") | ((F.col("kind") != "bare") & has("endpoint")))
     )
     return out.withColumn("reported", F.col("plain") | F.coalesce(weak, F.lit(False)))
 
@@ -245,8 +244,8 @@ def _sql() -> str:
   FROM (SELECT n, regexp_extract_all(text, '{q(p)}', 0) AS found, string_split_regex(text, '{q(p)}') AS gaps FROM docs)"""
         for i, p in enumerate((ASSIGN, ACCESS, HEX, PARTS, BARE, BREAK))
     )
-    exists = lambda role: (
-        f"EXISTS (FROM parts o WHERE o.n = p.n AND o.scope = p.scope AND o.role = '{role}' AND o.m <> p.m "
+    exists = lambda role, more="": (
+        f"EXISTS (FROM parts o WHERE o.n = p.n AND o.scope = p.scope AND o.role = '{role}' AND o.m <> p.m {more}"
         f"AND o.start - p.stop <= {REACH} AND p.start - o.stop <= {REACH})"
     )
     joined = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place, stop)"
@@ -276,7 +275,8 @@ reported AS (
   SELECT p.n, p.start, p.stop, p.plain, CASE kind WHEN 'bare' THEN 'secret' ELSE kind END AS kind,
          list_position(['{"', '".join(KINDS)}'], CASE kind WHEN 'bare' THEN 'secret' ELSE kind END) AS place
   FROM parts p
-  WHERE p.plain OR (p.role IN ('ident', 'endpoint') AND {exists('secret')})
+  WHERE p.plain OR (p.role = 'ident' AND {exists('secret')})
+     OR (p.role = 'endpoint' AND {exists('secret', "AND o.kind <> 'bare' ")})
      OR (p.role = 'secret' AND ({exists('ident')} OR (p.kind <> 'bare' AND {exists('endpoint')}))))
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
        count(*) FILTER (kind = 'hex') AS n_hex,

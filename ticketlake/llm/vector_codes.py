@@ -235,8 +235,9 @@ def codebooks(numbers: list[list[list[int]]], width: int) -> Codebooks:
     books = []
     for part in numbers:
         exact = np.array(part, dtype=object).reshape(len(part), width)
-        floats = exact.astype(np.float64)
-        books.append(floats if _small(floats, width) else exact)
+        within = all(abs(v) < EXACT for row in part for v in row)  # larger ones may not fit a double at all
+        floats = exact.astype(np.float64) if within else None
+        books.append(floats if within and _small(floats, width) else exact)
     return Codebooks(width, books)
 
 
