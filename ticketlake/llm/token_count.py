@@ -14,8 +14,10 @@ boundary does not depend on what came before. This gives chunks of a text small
 maps: the text before the first boundary (still a function of the entry state), the
 count between the boundaries, and the text after the last one (the exit state). State
 maps compose associatively, so the chunks of a text are combined by a prefix scan in
-any grouping. Very long texts are spread as chunks over tasks, the others are scanned
-where they are.
+any grouping; a chunk without a boundary is its own map, as text, and is read once when all are joined.
+Texts of more than LONG bytes are spread as chunks over tasks, the others are scanned
+where they are. What a prefix counts need not grow with it (a torn word may take more pieces than the
+whole one), so the count of a text is that of the last prefix.
 
 Null texts count as empty: no bytes, no tokens. Repeated rows are counted one by one,
 an empty table gives an empty result, and only the id and text columns are read.
@@ -216,16 +218,18 @@ class Counter:
         text = self.prefix + text.replace(SPACE, " ")
         return [self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
 
-    def count(self, text: str) -> int:
-        maps = self.pieces_of(text)
-        if not maps:
-            return 0
-        while len(maps) > 1:  # only the last sum is wanted
+    def join(self, maps: list[tuple]) -> tuple:
+        """The last sum of the scan alone; neighbours are composed first, so no text is copied more than log n times."""
+        while len(maps) > 1:
             maps = [
                 self.compose(maps[i], maps[i + 1]) if i + 1 < len(maps) else maps[i]
                 for i in range(0, len(maps), 2)
             ]
-        return self.total(maps[0])
+        return maps[0]
+
+    def count(self, text: str) -> int:
+        maps = self.pieces_of(text)
+        return self.total(self.join(maps)) if maps else 0
 
 
 _counters: dict[bytes, Counter] = {}
@@ -270,22 +274,27 @@ def _map_chunks(shared):
     return rows
 
 
-def _scan_chunks(shared):
+def _join_chunks(shared):
+    """One row per text: the maps of its chunks composed in order, and only the whole one totalled."""
+
     def rows(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         own = counter(shared.value)
         part = part.sort_values("chunk")
-        maps = [(h, int(n), t) for h, n, t in zip(part["head"], part["n"], part["tail"])]
-        upto = [own.total(m) for m in own.scan(maps)]
-        return pd.DataFrame({"doc_id": part["doc_id"], "chunk": part["chunk"], "n_bytes": part["n_bytes"], "copies": part["copies"], "upto": upto})
+        whole = own.join([(h, int(n), t) for h, n, t in zip(part["head"], part["n"], part["tail"])])
+        first = part.iloc[0]
+        return pd.DataFrame(
+            {"doc_id": part["doc_id"][:1], "n_bytes": [first["n_bytes"]], "copies": [first["copies"]], "n_tokens": [own.total(whole)]}
+        )
 
     return rows
 
 
-def chunk_counts(docs: DataFrame, model: bytes, size: int = LONG) -> DataFrame:
-    """doc_id, chunk, upto (tokens up to the chunk's end), n_bytes and copies (equal rows).
+def chunk_counts(docs: DataFrame, model: bytes, size: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, copies (equal rows) and n_tokens of each text, cut into chunks of ``size`` (LONG) characters.
 
     The chunks of a text are spread over tasks; only their state maps meet again.
     """
+    size = size or LONG
     shared = docs.sparkSession.sparkContext.broadcast(model)
     starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size))
     cut = (
@@ -301,7 +310,7 @@ def chunk_counts(docs: DataFrame, model: bytes, size: int = LONG) -> DataFrame:
         "doc_id long, hash long, n_bytes long, copies long, chunk long, head string, n long, tail string",
     )
     return maps.groupBy("doc_id", "hash").applyInPandas(
-        _scan_chunks(shared), "doc_id long, chunk long, n_bytes long, copies long, upto long"
+        _join_chunks(shared), "doc_id long, n_bytes long, copies long, n_tokens long"
     )
 
 
@@ -322,8 +331,6 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096,
     )
     long = (
         chunk_counts(rows.where(F.col("n_bytes") > LONG), model)
-        .groupBy("doc_id", "n_bytes", "copies")
-        .agg(F.max("upto").alias("n_tokens"))
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
         .select("doc_id", "n_bytes", "n_tokens")
     )
