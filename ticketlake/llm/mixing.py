@@ -5,7 +5,9 @@ of the id, and the line is cut into blocks of equal word counts. Slots 0, 1, 2,
 take golden-ratio points, frac(j * phi); the cumulative target weights map a point to
 a source, and the r-th slot of a source takes the r-th block of its line, which
 starts over after its end. Any run of the schedule holds the sources in nearly
-the target proportions, and each source ends within a few blocks of its target.
+the target proportions. Where the points leave a source short of its target's blocks, as they leave one
+whose target is less than a block, slots at the schedule's end make up for them, so each source gets
+its target to the word.
 
 Targets: ``share`` times all words split by weight, none above ``cap`` times its
 source's words; what is cut off goes to the others by weight until none is above.
@@ -83,7 +85,11 @@ def targets(sized: DataFrame, weights=WEIGHTS, share=1.5, cap=2) -> DataFrame:
 
 
 def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """slot, src, block: which block of which source each slot takes."""
+    """slot, src, block: which block of which source each slot takes.
+
+    Slots from the number of points on make up for blocks the points did not reach; those of several sources
+    may share a number.
+    """
     spark = sources.sparkSession
     n_slots = int(sources.agg(F.ceil(F.max("all") / block)).first()[0] or 0)
     # as many slots in a chunk as chunks, so that neither level of the ranks is long
@@ -102,11 +108,22 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     earlier = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("src", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     own = Window.partitionBy("src", "chunk").orderBy("slot")
-    return (
+    drawn = (
         taken.withColumn("rank", F.row_number().over(own) - 1)
         .join(starts, ["src", "chunk"])
         .select("slot", "src", (F.col("first") + F.col("rank")).alias("block"))
     )
+    # what the points leave a source short of: the rest of its blocks, after the last slot
+    counts = taken.groupBy("src").agg(F.count("*").alias("n"))
+    wanted = F.ceil(F.col("target") / block)
+    short = (
+        sources.select("src", "target")
+        .join(counts, "src", "left")
+        .withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+        .where(wanted > F.col("n"))
+        .select("src", F.explode(F.sequence(F.col("n"), wanted - 1)).alias("block"))
+    )
+    return drawn.unionByName(short.select((F.lit(n_slots) + F.col("block")).alias("slot"), "src", "block"))
 
 
 def point_of(slot: Column) -> Column:
@@ -205,7 +222,8 @@ slots AS (
   SELECT slot, slot * {PHI}::DOUBLE - floor(slot * {PHI}::DOUBLE) AS point
   FROM (SELECT unnest(range(ceil(max(upto) / {BLOCK})::BIGINT)) AS slot FROM upto)),
 counts AS (
-  SELECT src, count(point) AS n FROM bounds LEFT JOIN slots ON point >= lo AND point < hi GROUP BY src),
+  SELECT src, greatest(count(point), ceil(any_value(target) / {BLOCK})::BIGINT) AS n
+  FROM bounds LEFT JOIN slots ON point >= lo AND point < hi GROUP BY src),
 line AS (
   SELECT s.n, s.doc_id, s.size, b.src, b.source_size, b.target, s.source,
          sum(s.size) OVER (PARTITION BY b.src
