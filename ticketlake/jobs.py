@@ -1,6 +1,7 @@
 """Spark entry points: ``spark-submit -m``-style jobs over stored tables.
 
     python -m ticketlake.jobs prepare  --folder F --out SAMPLE --rejected-out R --reports-out S --n 5000
+    python -m ticketlake.jobs score-texts --sample SAMPLE --model package.module:factory --store STORE --out C [--vectors]
     python -m ticketlake.jobs score    --sample SAMPLE --vectors V --anchors A --classifier-scores C --out SCORED
     python -m ticketlake.jobs requests --scored SCORED --sample SAMPLE --system prompt.txt --out REQUESTS
     python -m ticketlake.jobs retries  --requests REQUESTS --steps LOG --out MORE
@@ -21,9 +22,13 @@ resources and ``spark.checkpoint.dir`` come from the cluster's configuration.
 from __future__ import annotations
 
 import argparse
+from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from .functions.scorers import text_classifier, text_embedder
 
 from .operators.requests import (
     completeness_requests,
@@ -31,6 +36,7 @@ from .operators.requests import (
     follow_up_requests,
     retry_requests,
 )
+from .operators.reuse import ScoreStore, score_texts
 from .operators.sampling import head
 from .operators.steps import awaiting_helper, completeness, pick_attempts, validate_steps
 from .plans import decide, evaluate, prepare, profile
@@ -64,6 +70,25 @@ def _score(spark: SparkSession, a: argparse.Namespace) -> None:
     ).write.mode("overwrite").parquet(a.out)
 
 
+def _score_texts(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Model scores (or vectors) of a sample; texts the store knows do not meet the model."""
+    module, _, factory = a.model.partition(":")
+
+    def load():
+        return getattr(import_module(module), factory)()
+
+    vectors = a.vectors
+    kind = T.ArrayType(T.FloatType()) if vectors else T.DoubleType()
+    model = (text_embedder if vectors else text_classifier)(a.model, load)
+    score_texts(
+        read_prepared(spark, a.sample),
+        model,
+        kind,
+        ScoreStore(spark, a.store, a.model.replace(":", "."), kind),
+        score_col="embedding" if vectors else "zs_score",
+    ).write.mode("overwrite").parquet(a.out)
+
+
 def _with_text(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Scored tickets with what a request says about them; texts come from the sample."""
     scored = spark.read.parquet(a.scored).select("ticket_id", "topic", "urgency")
@@ -150,6 +175,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", type=int, default=42)
     p = job("score", _score, "sample", "vectors", "anchors", "classifier-scores", "out")
     p.add_argument("--n", type=int)
+    p = job("score-texts", _score_texts, "sample", "model", "store", "out")
+    p.add_argument("--vectors", action="store_true", help="the model gives vectors, not scores")
     job("requests", _requests, "scored", "sample", "system", "out")
     job("retries", _retries, "requests", "steps", "out")
     job("checks", _checks, "scored", "sample", "steps", "system", "out")

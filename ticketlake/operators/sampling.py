@@ -77,84 +77,101 @@ def _flag_lowest(df: DataFrame, cuts: DataFrame, key: str, tie: str) -> DataFram
     return plain.unionByName(edge).drop("_s", "_b", "_cut", "_need")
 
 
-def stratified_ids(
+def _unstratified_ids(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
+    rows = df.select(id_col, sample_key(F.col(id_col), seed).alias("_key"))
+    return lowest(rows, n, "_key", id_col).select(id_col)
+
+
+def _bucket_counts(rows: DataFrame) -> DataFrame:
+    """Rows per stratum and bucket of the key, and (with no stratum) per bucket of the fill key, in one pass."""
+    own = F.struct(F.col("_stratum").alias("_s"), _bucket(F.col("_key")).alias("_b"))
+    fill = F.struct(F.lit(None).cast(rows.schema["_stratum"].dataType).alias("_s"), _bucket(F.col("_fill")).alias("_b"))
+    both = F.when(F.col("_stratum").isNotNull(), F.array(own, fill)).otherwise(F.array(fill))
+    return rows.select(F.explode(both).alias("c")).groupBy("c._s", "c._b").agg(F.count("*").alias("_n"))
+
+
+def _cuts(counts: DataFrame, need: int) -> DataFrame:
+    """Per stratum: the bucket in which its ``need``-th row lies, and how many rows of that bucket it takes."""
+    upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_b"))
+    return (
+        counts.withColumn("_upto", upto)
+        .where(F.col("_upto") >= need)
+        .groupBy("_s")
+        .agg(F.min(F.struct("_b", "_n", "_upto")).alias("c"))
+        .select("_s", F.col("c._b").alias("_cut"), (need - (F.col("c._upto") - F.col("c._n"))).alias("_need"))
+    )
+
+
+def stratified_sample(
     df: DataFrame,
     n: int,
     stratum: str | None = "queue",
     seed: int = 42,
     id_col: str = "ticket_id",
 ) -> DataFrame:
-    """Ids of a sample of min(n, rows) tickets, even over ``stratum``.
+    """A sample of min(n, rows) tickets, even over ``stratum``, with ``sample_order``, a seeded shuffle of it.
 
     Each stratum gives ``n // strata`` rows, small ones all they have; what is
     then missing is drawn from all other rows, those without a stratum
     included. Without any stratum value the whole draw is unstratified.
-    """
-
-    def unstratified() -> DataFrame:
-        rows = df.select(id_col, sample_key(F.col(id_col), seed).alias("_key"))
-        return lowest(rows, n, "_key", id_col).select(id_col)
 
+    ``df`` is scanned twice. The first scan counts, per stratum, the rows in each bucket of their key
+    and, over all rows, those in each bucket of the key that settles the fill. Both are sums
+    that combine map-side, and they bound the sample from above: a stratum's quota ends in a known bucket,
+    and as at most ``n`` rows are taken before the fill, the fill is among the ``n`` rows with
+    the lowest fill keys. The second scan keeps the rows within these bounds, about 2 n with
+    all their columns, and everything after that works on them.
+    """
     if stratum is None or stratum not in df.columns:
-        return unstratified()
-    rows = df.select(
-        id_col,
-        F.col(stratum).alias("_stratum"),
-        sample_key(F.col(id_col), seed).alias("_key"),
-    )
-    counts = stage(
-        rows.where(F.col("_stratum").isNotNull())
-        .groupBy(F.col("_stratum").alias("_s"), _bucket(F.col("_key")).alias("_b"))
-        .agg(F.count("*").alias("_n")),
-        "strata-counts",
+        return _ordered(df, _unstratified_ids(df, n, seed, id_col), seed, id_col)
+    keyed = df.withColumns(
+        {
+            "_stratum": F.col(stratum),
+            "_key": sample_key(F.col(id_col), seed),
+            "_fill": sample_key(F.col(id_col), f"{seed}:fill"),
+        }
     )
-    sizes = counts.groupBy("_s").agg(F.sum("_n").alias("size"))
-    strata = sizes.count()
+    counts = stage(_bucket_counts(keyed.select("_stratum", "_key", "_fill")), "strata-counts")
+    strata = counts.agg(F.count_distinct("_s")).first()[0]
     if strata == 0:
-        return unstratified()
+        return _ordered(df, _unstratified_ids(df, n, seed, id_col), seed, id_col)
     quota = n // strata
-    upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_b"))
-    cuts = stage(
-        counts.withColumn("_upto", upto)
-        .where(F.col("_upto") >= quota)
-        .groupBy("_s")
-        .agg(F.min(F.struct("_b", "_n", "_upto")).alias("c"))
-        .select(
-            "_s",
-            F.col("c._b").alias("_cut"),
-            (quota - (F.col("c._upto") - F.col("c._n"))).alias("_need"),
-        ),
-        "strata-cuts",
-    )
-    flagged = _flag_lowest(rows, cuts, "_key", id_col)
-    gap = n - sizes.agg(F.sum(F.least("size", F.lit(quota)))).first()[0]
-    if gap == 0:
-        return flagged.where("_picked").select(id_col)
-    flagged = stage(flagged.select(id_col, "_picked"), "strata-picks")
-    rest = flagged.where("not _picked").select(
-        id_col, sample_key(F.col(id_col), f"{seed}:fill").alias("_key")
-    )
-    fill = lowest(rest, gap, "_key", id_col).select(id_col)
-    return flagged.where("_picked").select(id_col).unionByName(fill)
+    own = counts.where("_s IS NOT NULL")
+    cuts = stage(_cuts(own, quota), "strata-cuts")
+    fill_cut = _cuts(counts.where("_s IS NULL"), n).select("_cut").first()  # null: fewer than n rows
+    bounds = _as_small(cuts, _BROADCAST_ROWS)
+    low = F.col("_cut").isNull() | (_bucket(F.col("_key")) <= F.col("_cut"))
+    within = F.col("_stratum").isNotNull() & low
+    if fill_cut:
+        within = within | (_bucket(F.col("_fill")) <= fill_cut["_cut"])
+    near = keyed.join(bounds.select("_s", "_cut"), F.col("_stratum") == F.col("_s"), "left").where(within if fill_cut else F.lit(True))
+    near = stage(near.drop("_s", "_cut"), "sample-candidates")
+    flagged = _flag_lowest(near.select(id_col, "_stratum", "_key", "_fill"), cuts, "_key", id_col)
+    flagged = stage(flagged.select(id_col, "_fill", "_picked"), "sample-picks")
+    picked = flagged.where("_picked").select(id_col)
+    gap = n - picked.count()
+    if gap:
+        rest = flagged.where("NOT _picked").select(id_col, F.col("_fill").alias("_key"))
+        picked = picked.unionByName(lowest(rest, gap, "_key", id_col).select(id_col))
+    return _ordered(near.drop("_stratum", "_key", "_fill"), picked, seed, id_col)
 
 
-def stratified_sample(
+def stratified_ids(
     df: DataFrame,
     n: int,
     stratum: str | None = "queue",
     seed: int = 42,
     id_col: str = "ticket_id",
 ) -> DataFrame:
-    """The sampled rows with ``sample_order``, a seeded shuffle of the sample.
+    """Ids of the sample alone; no other column is read."""
+    columns = [c for c in dict.fromkeys((id_col, stratum)) if c in df.columns]
+    return stratified_sample(df.select(*columns), n, stratum, seed, id_col).select(id_col)
 
-    Selection runs over id and stratum only; wide columns are read once, for
-    the sampled rows. Pass a stored table, as it is scanned several times.
-    """
-    ids = stage(stratified_ids(df, n, stratum, seed, id_col), "sample-ids")
-    picked = df.join(_as_small(ids, _BROADCAST_ROWS), id_col, "left_semi")
-    return picked.withColumn(
-        "sample_order", sample_key(F.col(id_col), f"{seed}:order")
-    )
+
+def _ordered(rows: DataFrame, ids: DataFrame, seed: int, id_col: str) -> DataFrame:
+    ids = stage(ids, "sample-ids")
+    picked = rows.join(_as_small(ids, _BROADCAST_ROWS), id_col, "left_semi")
+    return picked.withColumn("sample_order", sample_key(F.col(id_col), f"{seed}:order"))
 
 
 def head(df: DataFrame, n: int, id_col: str = "ticket_id") -> DataFrame:

@@ -534,6 +534,20 @@ _oracle(
     "SELECT doc_id AS ticket_id, (length(text) % 101) / 1e2 AS score FROM documents",
 )
 
+_said = """SELECT 'd' || doc_id AS ticket_id, text FROM documents
+  UNION ALL SELECT 'c-' || conv_id || '-' || turn, text FROM conversations"""
+_oracle("scores_per_text", [], f"SELECT ticket_id, (length(text) % 101) / 1e2 AS score FROM ({_said})")
+_oracle(
+    "scores_from_store",
+    [],
+    f"""
+SELECT count(*) AS n, round(sum((length(text) % 101) / 1e2), 6) AS total,
+       (SELECT count(DISTINCT text) FROM documents) AS n_first_run,
+       count(DISTINCT text) - (SELECT count(DISTINCT text) FROM documents) AS n_second_run
+FROM ({_said})
+""",
+)
+
 # --- decide --------------------------------------------------------------------------
 
 _oracle(

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import labels, text, topic
 from ..functions.scorers import text_classifier, text_embedder
 from ..operators import canonical as canon
 from ..operators import requests as req
-from ..operators import sampling
+from ..operators import reuse, sampling
 from ..operators import steps as st
 from ..operators.decisions import comparison_view, fallback_decision
 from ..operators.dedup import dedup_by_version
@@ -350,6 +351,41 @@ def scorer_udf(spark, d):
     return docs.select(F.col("doc_id").alias("ticket_id"), score("text").alias("score"))
 
 
+def _said(spark, d):
+    """Texts of documents and of conversation turns, many of them repeated."""
+    docs = views.table(spark, d, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id")).alias("ticket_id"), "text"
+    )
+    turns = views.table(spark, d, "conversations").select(
+        F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("ticket_id"), "text"
+    )
+    return docs, docs.unionByName(turns)
+
+
+@query
+def scores_per_text(spark, d):
+    """Each distinct text scored once."""
+    model = text_classifier("toy-length", _load_toy_model)
+    return reuse.score_texts(_said(spark, d)[1], model, DoubleType())
+
+
+@query
+def scores_from_store(spark, d):
+    """Documents scored into a store, then documents and turns with it: only new texts meet the model."""
+    model = text_classifier("toy-length", _load_toy_model)
+    store = reuse.ScoreStore(spark, new_folder(spark, "scores"), "toy-length", DoubleType())
+    docs, every = _said(spark, d)
+    reuse.score_texts(docs, model, DoubleType(), store)
+    known = store.read().count()
+    out = reuse.score_texts(every, model, DoubleType(), store)
+    return out.agg(
+        F.count("*").alias("n"),
+        F.round(F.sum("score"), 6).alias("total"),
+        F.lit(known).alias("n_first_run"),
+        F.lit(store.read().count() - known).alias("n_second_run"),
+    )
+
+
 # --- decide -------------------------------------------------------------------------
 
 
