@@ -10,6 +10,7 @@
     python -m ticketlake.jobs completeness --answers ANSWERS --out PARSED
     python -m ticketlake.jobs decide   --scored SCORED --steps LOG --out RESULTS --errors-out ERRORS
     python -m ticketlake.jobs evaluate --results RESULTS --out REPORTS
+    python -m ticketlake.jobs report   --folds FOLDS --out REPORTS [--runs .. --actions .. --topics .. --urgencies ..]
     python -m ticketlake.jobs profile  --sample SAMPLE --out REPORTS
 
 Tables are Parquet; step log, helper answers, results and errors are JSON Lines. A
@@ -149,11 +150,17 @@ def _decide(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     results = read_results(spark, a.results, a.array)
+    if a.folds:
+        evaluate.store_folds(results, a.folds, a.run_name)
     reports = evaluate.evaluate(results, a.actions, a.topics, a.urgencies)
     reports.pop("frame")
     _save(reports, a.out)
 
 
+def _report(spark: SparkSession, a: argparse.Namespace) -> None:
+    _save(evaluate.reports_of_folds(spark, a.folds, a.runs, a.actions, a.topics, a.urgencies), a.out)
+
+
 def _profile(spark: SparkSession, a: argparse.Namespace) -> None:
     sample = read_prepared(spark, a.sample)
     _save(profile.profile(sample, a.languages), a.out)
@@ -186,8 +193,13 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--runtimes")
     p = job("evaluate", _evaluate, "results", "out")
     p.add_argument("--array", action="store_true", help="files hold one JSON array each")
+    p.add_argument("--folds", help="also keep the run's folds here, for the report job")
+    p.add_argument("--run-name", default="1", help="name of the run there")
+    report = job("report", _report, "folds", "out")
+    report.add_argument("--runs", nargs="+", help="names of the runs; all by default")
     for values in ("actions", "topics", "urgencies"):
-        p.add_argument(f"--{values}", nargs="+", help="only results with one of these")
+        for sub in (p, report):
+            sub.add_argument(f"--{values}", nargs="+", help="only results with one of these")
     p = job("profile", _profile, "sample", "out")
     p.add_argument("--languages", nargs="+")
     return parser

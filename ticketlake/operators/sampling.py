@@ -53,8 +53,8 @@ def lowest(df: DataFrame, n: int, key: str, tie: str) -> DataFrame:
 
 
 def _as_small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark a stored table for broadcast if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """Mark a table known to have at most ``rows`` rows for broadcast, unless that is too many."""
+    return F.broadcast(df) if rows <= _BROADCAST_ROWS else df
 
 
 def _flag_lowest(df: DataFrame, cuts: DataFrame, key: str, tie: str) -> DataFrame:
@@ -63,9 +63,9 @@ def _flag_lowest(df: DataFrame, cuts: DataFrame, key: str, tie: str) -> DataFram
     ``cuts`` names, per stratum, the bucket its quota ends in and how many rows
     of that bucket it still needs; strata without a cut are taken whole.
     """
-    placed = df.join(
-        _as_small(cuts, _BROADCAST_ROWS), F.col("_stratum") == F.col("_s"), "left"
-    ).withColumn("_b", _bucket(F.col(key)))
+    placed = df.join(cuts, F.col("_stratum") == F.col("_s"), "left").withColumn(
+        "_b", _bucket(F.col(key))
+    )
     # the boundary bucket of each stratum is the only part that is ranked
     at_cut = F.coalesce(F.col("_b") == F.col("_cut"), F.lit(False))
     rank = F.row_number().over(Window.partitionBy("_s").orderBy(key, tie))
@@ -90,8 +90,12 @@ def _bucket_counts(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(both).alias("c")).groupBy("c._s", "c._b").agg(F.count("*").alias("_n"))
 
 
-def _cuts(counts: DataFrame, need: int) -> DataFrame:
-    """Per stratum: the bucket in which its ``need``-th row lies, and how many rows of that bucket it takes."""
+def _cuts(counts: DataFrame, quota: int, n: int) -> DataFrame:
+    """Per stratum: the bucket in which its last row lies, and how many rows of that bucket it takes.
+
+    A stratum takes ``quota`` rows, the line of fill keys (null stratum) ``n``.
+    """
+    need = F.when(F.col("_s").isNull(), F.lit(n)).otherwise(F.lit(quota))
     upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_b"))
     return (
         counts.withColumn("_upto", upto)
@@ -123,7 +127,7 @@ def stratified_sample(
     all their columns, and everything after that works on them.
     """
     if stratum is None or stratum not in df.columns:
-        return _ordered(df, _unstratified_ids(df, n, seed, id_col), seed, id_col)
+        return _ordered(df, _unstratified_ids(df, n, seed, id_col), n, seed, id_col)
     keyed = df.withColumns(
         {
             "_stratum": F.col(stratum),
@@ -132,28 +136,25 @@ def stratified_sample(
         }
     )
     counts = stage(_bucket_counts(keyed.select("_stratum", "_key", "_fill")), "strata-counts")
-    strata = counts.agg(F.count_distinct("_s")).first()[0]
-    if strata == 0:
-        return _ordered(df, _unstratified_ids(df, n, seed, id_col), seed, id_col)
-    quota = n // strata
-    own = counts.where("_s IS NOT NULL")
-    cuts = stage(_cuts(own, quota), "strata-cuts")
-    fill_cut = _cuts(counts.where("_s IS NULL"), n).select("_cut").first()  # null: fewer than n rows
-    bounds = _as_small(cuts, _BROADCAST_ROWS)
-    low = F.col("_cut").isNull() | (_bucket(F.col("_key")) <= F.col("_cut"))
-    within = F.col("_stratum").isNotNull() & low
-    if fill_cut:
-        within = within | (_bucket(F.col("_fill")) <= fill_cut["_cut"])
-    near = keyed.join(bounds.select("_s", "_cut"), F.col("_stratum") == F.col("_s"), "left").where(within if fill_cut else F.lit(True))
+    sizes = counts.where("_s IS NOT NULL").groupBy("_s").agg(F.sum("_n").alias("size"))
+    strata = F.count("*").over(Window.partitionBy())
+    share = F.least("size", F.floor(F.lit(n) / F.col("strata")))
+    found = sizes.withColumn("strata", strata).agg(F.max("strata").alias("strata"), F.sum(share).alias("own")).first()
+    if not found["strata"]:
+        return _ordered(df, _unstratified_ids(df, n, seed, id_col), n, seed, id_col)
+    cuts = stage(_cuts(counts, n // found["strata"], n), "strata-cuts")
+    own = _as_small(cuts.where("_s IS NOT NULL"), found["strata"])
+    last_fill = cuts.where("_s IS NULL").agg(F.max("_cut").alias("c")).scalar()  # null: fewer than n rows
+    low = F.col("_stratum").isNotNull() & (F.col("_cut").isNull() | (_bucket(F.col("_key")) <= F.col("_cut")))
+    filling = F.coalesce(_bucket(F.col("_fill")) <= last_fill, F.lit(True))
+    near = keyed.join(own.select("_s", "_cut"), F.col("_stratum") == F.col("_s"), "left").where(low | filling)
     near = stage(near.drop("_s", "_cut"), "sample-candidates")
-    flagged = _flag_lowest(near.select(id_col, "_stratum", "_key", "_fill"), cuts, "_key", id_col)
-    flagged = stage(flagged.select(id_col, "_fill", "_picked"), "sample-picks")
+    flagged = _flag_lowest(near.select(id_col, "_stratum", "_key", "_fill"), own, "_key", id_col)
     picked = flagged.where("_picked").select(id_col)
-    gap = n - picked.count()
-    if gap:
+    if n > found["own"]:
         rest = flagged.where("NOT _picked").select(id_col, F.col("_fill").alias("_key"))
-        picked = picked.unionByName(lowest(rest, gap, "_key", id_col).select(id_col))
-    return _ordered(near.drop("_stratum", "_key", "_fill"), picked, seed, id_col)
+        picked = picked.unionByName(lowest(rest, n - found["own"], "_key", id_col).select(id_col))
+    return _ordered(near.drop("_stratum", "_key", "_fill"), picked, n, seed, id_col)
 
 
 def stratified_ids(
@@ -168,9 +169,9 @@ def stratified_ids(
     return stratified_sample(df.select(*columns), n, stratum, seed, id_col).select(id_col)
 
 
-def _ordered(rows: DataFrame, ids: DataFrame, seed: int, id_col: str) -> DataFrame:
-    ids = stage(ids, "sample-ids")
-    picked = rows.join(_as_small(ids, _BROADCAST_ROWS), id_col, "left_semi")
+def _ordered(rows: DataFrame, ids: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
+    """The rows of at most ``n`` ids, with their place in the sample."""
+    picked = rows.join(_as_small(ids, n), id_col, "left_semi")
     return picked.withColumn("sample_order", sample_key(F.col(id_col), f"{seed}:order"))
 
 

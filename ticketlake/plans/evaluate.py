@@ -8,9 +8,9 @@ frame itself.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import priority_urgency, queue_topic, urgency_ordinal
@@ -104,32 +104,39 @@ KEYS = [
 ]
 
 
-def fold(frame: DataFrame) -> DataFrame:
-    """One row per combination of KEYS: tickets, and sums over their margins.
+def fold(frame: DataFrame, keys: Sequence[str] = KEYS, margins: bool = True) -> DataFrame:
+    """One row per combination of ``keys``: tickets, and sums over their margins unless left out.
 
     Combines map-side. All keys but text_length, which is capped, and tool_path,
-    which holds four tools at most, are from short lists.
+    which holds four tools at most, are from short lists. A single report folds by
+    the keys it reads (``fold_for``), so columns, joins and searches that only
+    others need are pruned.
     """
+    marks = {"is_fallback": FALLBACK_MARK, "is_loop_break": LOOP_BREAK_MARK}
+    tools = {k: F.array_contains("tools_used", mark) for k, mark in marks.items() if k in keys}
     margin = F.col("topic_margin")
+    sums = {
+        "n_margin": F.count(margin),
+        "margin_sum": F.sum(margin),
+        "margin_min": F.min(margin),
+        "margin_max": F.max(margin),
+        "n_low": F.count_if(margin < TOPIC_MARGIN_THRESHOLD),
+    }
+    wanted = sums.items() if margins else ()
     return (
-        frame.withColumns(
-            {
-                "is_fallback": F.array_contains("tools_used", FALLBACK_MARK),
-                "is_loop_break": F.array_contains("tools_used", LOOP_BREAK_MARK),
-            }
-        )
-        .groupBy(*KEYS)
-        .agg(
-            F.count("*").alias("n"),
-            F.count(margin).alias("n_margin"),
-            F.sum(margin).alias("margin_sum"),
-            F.min(margin).alias("margin_min"),
-            F.max(margin).alias("margin_max"),
-            F.count_if(margin < TOPIC_MARGIN_THRESHOLD).alias("n_low"),
-        )
+        frame.withColumns(tools)
+        .groupBy(*keys)
+        .agg(F.count("*").alias("n"), *(c.alias(name) for name, c in wanted))
     )
 
 
+def merged(folds: DataFrame) -> DataFrame:
+    """Folds of several runs as the fold of all their tickets."""
+    how = {"margin_min": F.min, "margin_max": F.max}
+    sums = ("n", "n_margin", "margin_sum", "margin_min", "margin_max", "n_low")
+    return folds.groupBy(*KEYS).agg(*(how.get(c, F.sum)(c).alias(c) for c in sums))
+
+
 # --- single figures --------------------------------------------------------
 
 
@@ -550,6 +557,36 @@ def disagreements(frame: DataFrame, n: int = 5, cut: int | None = 140) -> DataFr
     )
 
 
+_TOPIC = ("predicted_topic", "mapped_topic")
+_URGENCY = ("predicted_urgency", "mapped_urgency")
+_MARKS = ("is_fallback", "is_loop_break")
+_READS = {
+    action_distribution: ("action",),
+    action_shares: ("action",),
+    top_tool_paths: ("tool_path",),
+    fallback_rate: _MARKS,
+    action_path_cube: ("action", "tool_path"),
+    question_coverage: ("action", "n_clarifications"),
+    urgency_agreement: _URGENCY,
+    urgency_confusion: _URGENCY,
+    topic_agreement: _TOPIC,
+    margin_stats: ("mapped_topic",),
+    topic_confusion: _TOPIC,
+    topic_recall: _TOPIC,
+    length_quantiles: ("text_length",),
+    length_by_action: ("action", "text_length"),
+    length_bucket_actions: ("action", "text_length"),
+    bucket_quality: (*_TOPIC, *_URGENCY, "text_length"),
+    disagreement_counts: (*_TOPIC, *_URGENCY),
+    headline_kpis: (*_TOPIC, *_URGENCY, *_MARKS),
+}
+
+
+def fold_for(report: Callable[[DataFrame], DataFrame], frame: DataFrame) -> DataFrame:
+    """The fold of ``frame`` by no more than what ``report`` reads."""
+    return fold(frame, _READS[report], margins=report in (margin_stats, bucket_quality))
+
+
 # made from the folded table alone
 REPORTS = {
     "action_distribution": action_distribution,
@@ -602,3 +639,55 @@ def evaluate(
         **{name: make(spent) for name, make in RUNTIME_REPORTS.items()},
         "disagreements": disagreements(frame),
     }
+
+
+# --- folds kept over runs ----------------------------------------------------------
+
+_FILTERS = ["action", "predicted_topic", "predicted_urgency"]
+
+
+def store_folds(results: DataFrame, path: str, run: str) -> None:
+    """Keep one run's folds below ``path``; storing a run again replaces it.
+
+    Two tables: counts per combination of KEYS, and how often each runtime occurs per tool
+    path. Both hold the values reports can be filtered by.
+    """
+    frame = eval_frame(results)
+    fold(frame).write.mode("overwrite").parquet(f"{path}/counts/run={run}")
+    spent = value_weights(frame, "runtime_seconds", ["tool_path", *_FILTERS])
+    spent.write.mode("overwrite").parquet(f"{path}/runtimes/run={run}")
+
+
+def read_folds(spark: SparkSession, path: str, runs: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts and runtimes of the given runs, or of all, not merged yet."""
+
+    def rows(table: str) -> DataFrame:
+        base = f"{path}/{table}"
+        paths = [base] if runs is None else [f"{base}/run={r}" for r in runs]
+        return spark.read.option("basePath", base).parquet(*paths).drop("run")
+
+    return rows("counts"), rows("runtimes")
+
+
+def reports_of_folds(
+    spark: SparkSession,
+    path: str,
+    runs: Sequence[str] | None = None,
+    actions: Sequence[str] | None = None,
+    topics: Sequence[str] | None = None,
+    urgencies: Sequence[str] | None = None,
+    names: Sequence[str] | None = None,
+) -> dict[str, DataFrame]:
+    """Reports (``names``, or all) over all tickets of the runs, from their stored folds; results are not read.
+
+    Filters are applied to the folds. A ticket that is in two runs counts twice. Examples and
+    the histogram of margins need single tickets and are not among the reports.
+    """
+    counts, spent = read_folds(spark, path, runs)
+    folded = stage(merged(filtered(counts, actions, topics, urgencies)), "evaluation")
+    times = filtered(spent, actions, topics, urgencies)
+    times = stage(value_weights(times, "runtime_seconds", ["tool_path"], weight="_n"), "runtimes")
+    made = [(REPORTS, folded), (RUNTIME_REPORTS, times)]
+    return {
+        name: make(rows) for which, rows in made for name, make in which.items() if names is None or name in names
+    }

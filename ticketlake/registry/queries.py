@@ -613,13 +613,12 @@ def priority_urgency_map(spark, d):
 # --- evaluate --------------------------------------------------------------------------
 
 
-def _folded(spark, d):
-    return ev.fold(views.frame(spark, d))
+def _report(name: str, make, *rounded: str, source=None, folded=None) -> None:
+    """A report on ``source``, or on the fold by what ``folded`` (``make`` itself) reads."""
 
-
-def _report(name: str, make, *rounded: str, source=_folded) -> None:
     def run(spark, d):
-        return _round(make(source(spark, d)), *rounded)
+        rows = source(spark, d) if source else ev.fold_for(folded or make, views.frame(spark, d))
+        return _round(make(rows), *rounded)
 
     QUERIES[name] = run
 
@@ -656,7 +655,7 @@ _report(
     "low_pct",
 )
 _report("topic_confusion", ev.topic_confusion)
-_report("topic_confusion_cells", lambda f: ev.topic_confusion(f, margins=False))
+_report("topic_confusion_cells", lambda f: ev.topic_confusion(f, margins=False), folded=ev.topic_confusion)
 _report("topic_recall", ev.topic_recall, "recall_pct")
 
 
@@ -712,6 +711,44 @@ _report(
     source=views.frame,
 )
 
+
+
+def _two_runs(spark, d):
+    """Results stored as two runs' folds: those with a known urgency, and the rest."""
+    path = new_folder(spark, "folds")
+    rows = stage(views.results(spark, d), "results")
+    known = labels.priority_urgency(F.col("ground_truth.priority")).isNotNull()
+    ev.store_folds(rows.where(known), path, "known")
+    ev.store_folds(rows.where(~known), path, "unknown")
+    return path
+
+
+@query
+def merged_runs_kpis(spark, d):
+    """Filtered figures of two runs, from their folds."""
+    made = ev.reports_of_folds(
+        spark,
+        _two_runs(spark, d),
+        actions=["FORWARD", "ESCALATE", "CLARIFY"],
+        topics=["Policy", "Claims", "Other"],
+        urgencies=["medium", "high"],
+        names=["headline_kpis"],
+    )
+    return _round(made["headline_kpis"], "topic_pct", "topic_specific_pct", "urgency_pct")
+
+
+@query
+def merged_runs_confusion(spark, d):
+    made = ev.reports_of_folds(spark, _two_runs(spark, d), ["known", "unknown"], names=["topic_confusion"])
+    return made["topic_confusion"]
+
+
+@query
+def merged_runs_buckets(spark, d):
+    made = ev.reports_of_folds(spark, _two_runs(spark, d), names=["bucket_quality"])["bucket_quality"]
+    return _round(made, "mean_margin", "topic_pct", "urgency_pct")
+
+
 # --- profile ----------------------------------------------------------------------------
 
 
