@@ -1200,8 +1200,9 @@ FROM prepared p JOIN shortlist s USING (ticket_id) GROUP BY 1
     "shortlist",
 )
 
-# folds of two runs, merged, are those of all results
+# two loads, or folds of two runs, give what one gives
 for _name, _of in (
+    ("dedup_two_loads", "dedup_version"),
     ("merged_runs_kpis", "headline_kpis_filtered"),
     ("merged_runs_confusion", "topic_confusion"),
     ("merged_runs_buckets", "bucket_quality"),

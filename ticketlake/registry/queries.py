@@ -22,6 +22,7 @@ from ..plans.score import embed_anchors, score_topics
 from ..schemas import FILE_VERSIONS, TOPICS
 from ..sources import csv_files, tables
 from ..sources.csv_files import CSV_OPTIONS, read_ticket_files
+from ..sources.ticket_store import TicketStore
 from ..storage import new_folder, stage
 from . import views
 
@@ -100,6 +101,16 @@ def dedup_version(spark, d):
     )
 
 
+@query
+def dedup_two_loads(spark, d):
+    """The tickets of two groups of versions, loaded one after the other into a store."""
+    store = TicketStore(spark, new_folder(spark, "tickets"), buckets=8, tie=["ticket_id"])
+    rows = views.valid(spark, d).select("ticket_id", "subject", "body", "version", "language")
+    newer = F.col("version").isin("v5", "v3", "de_norm")
+    store.add(rows.where(~newer))
+    return store.add(rows.where(newer))
+
+
 @query
 def language_filter(spark, d):
     one = dedup_by_version(views.valid(spark, d), ["ticket_id"])
