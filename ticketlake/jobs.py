@@ -1,6 +1,7 @@
 """Spark entry points: ``spark-submit -m``-style jobs over stored tables.
 
     python -m ticketlake.jobs prepare  --folder F --out SAMPLE --rejected-out R --reports-out S --n 5000
+    python -m ticketlake.jobs check-maps --queue-topics MAP --out FINDINGS [--priority-urgencies MAP]
     python -m ticketlake.jobs score-texts --sample SAMPLE --model package.module:factory --store STORE --out C [--vectors]
     python -m ticketlake.jobs score    --sample SAMPLE --vectors V --anchors A --classifier-scores C --out SCORED
     python -m ticketlake.jobs requests --scored SCORED --sample SAMPLE --system prompt.txt --out REQUESTS
@@ -27,10 +28,12 @@ from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.scorers import text_classifier, text_embedder
 
+from .operators.mappings import check, names_of, uncovered
 from .operators.requests import (
     completeness_requests,
     first_requests,
@@ -42,7 +45,7 @@ from .operators.sampling import head
 from .operators.steps import awaiting_helper, completeness, pick_attempts, validate_steps
 from .plans import decide, evaluate, prepare, profile
 from .plans.score import score
-from .schemas import HELPER_LOG, STEP_LOG
+from .schemas import HELPER_LOG, STEP_LOG, TOPICS, URGENCY_LEVELS
 from .sources.tables import read_prepared, read_results
 from .storage import stage, staged_run
 
@@ -90,6 +93,20 @@ def _score_texts(spark: SparkSession, a: argparse.Namespace) -> None:
     ).write.mode("overwrite").parquet(a.out)
 
 
+def _check_maps(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Write where the maps and what they are for do not meet.
+
+    Not every topic needs a queue of its own; a target nobody knows, or a level that no priority
+    leads to, fails the job.
+    """
+    topics = spark.read.parquet(a.queue_topics)
+    found = uncovered(topics, names_of(spark, TOPICS), "topic")
+    if a.priority_urgencies:
+        levels = spark.read.parquet(a.priority_urgencies)
+        found = found.unionByName(uncovered(levels, names_of(spark, URGENCY_LEVELS), "urgency"))
+    check(found, a.out, (F.col("side") == "unknown") | (F.col("field") == "urgency"))
+
+
 def _with_text(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Scored tickets with what a request says about them; texts come from the sample."""
     scored = spark.read.parquet(a.scored).select("ticket_id", "topic", "urgency")
@@ -182,6 +199,8 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", type=int, default=42)
     p = job("score", _score, "sample", "vectors", "anchors", "classifier-scores", "out")
     p.add_argument("--n", type=int)
+    p = job("check-maps", _check_maps, "queue-topics", "out")
+    p.add_argument("--priority-urgencies", help="table of label and target")
     p = job("score-texts", _score_texts, "sample", "model", "store", "out")
     p.add_argument("--vectors", action="store_true", help="the model gives vectors, not scores")
     job("requests", _requests, "scored", "sample", "system", "out")

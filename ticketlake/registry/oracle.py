@@ -1208,3 +1208,26 @@ for _name, _of in (
     ("merged_runs_buckets", "bucket_quality"),
 ):
     ORACLE[_name] = ORACLE[_of]
+
+
+def _gaps(field: str, value: str, entries: dict) -> str:
+    listed = ", ".join(f"({_q(k)})" for k in entries)
+    return f"""
+SELECT '{field}' AS field, 'unmapped' AS side, {value} AS label, count(*) AS n FROM tickets_raw
+WHERE {value} IS NOT NULL AND {value} NOT IN (SELECT * FROM (VALUES {listed})) GROUP BY ALL
+UNION ALL
+SELECT '{field}', 'unused', label, 0 FROM (VALUES {listed}) e(label)
+WHERE NOT EXISTS (FROM tickets_raw WHERE {value} = label)
+"""
+
+
+_oracle(
+    "mapping_gaps",
+    ["tickets_raw"],
+    _gaps("queue", "queue", QUEUE_TOPICS) + "UNION ALL" + _gaps("priority", f"lower({_strip('priority')})", PRIORITY_URGENCY),
+)
+_oracle(
+    "mapped_by_table",
+    ["tickets_raw"],
+    f"SELECT ticket_id, queue, priority, {_queue_topic('queue')} AS mapped_topic, {_priority_urgency('priority')} AS mapped_urgency FROM tickets_raw",
+)

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 from ..functions import labels, text, topic
 from ..functions.scorers import text_classifier, text_embedder
 from ..operators import canonical as canon
+from ..operators import mappings as mp
 from ..operators import requests as req
 from ..operators import reuse, sampling
 from ..operators import steps as st
@@ -19,7 +20,7 @@ from ..operators.dedup import dedup_by_version
 from ..plans import evaluate as ev
 from ..plans import profile as prof
 from ..plans.score import embed_anchors, score_topics
-from ..schemas import FILE_VERSIONS, TOPICS
+from ..schemas import FILE_VERSIONS, PRIORITY_URGENCY, QUEUE_TOPICS, TOPICS
 from ..sources import csv_files, tables
 from ..sources.csv_files import CSV_OPTIONS, read_ticket_files
 from ..sources.ticket_store import TicketStore
@@ -621,6 +622,25 @@ def priority_urgency_map(spark, d):
     )
 
 
+@query
+def mapped_by_table(spark, d):
+    """Both maps as tables, joined."""
+    rows = views.view(spark, d, "tickets_raw").select("ticket_id", "queue", "priority")
+    queues, levels = mp.as_table(spark, QUEUE_TOPICS), mp.as_table(spark, PRIORITY_URGENCY)
+    rows = mp.apply_map(rows, F.col("queue"), queues, "mapped_topic", "Other")
+    return mp.apply_map(rows, mp.folded(F.col("priority")), levels, "mapped_urgency")
+
+
+@query
+def mapping_gaps(spark, d):
+    """Queues and priorities without an entry, and entries without tickets."""
+    rows = views.view(spark, d, "tickets_raw")
+    queues, levels = mp.as_table(spark, QUEUE_TOPICS), mp.as_table(spark, PRIORITY_URGENCY)
+    return mp.gaps(rows, F.col("queue"), queues, "queue").unionByName(
+        mp.gaps(rows, mp.folded(F.col("priority")), levels, "priority")
+    )
+
+
 # --- evaluate --------------------------------------------------------------------------
 
 
