@@ -424,7 +424,7 @@ SELECT row_index, ('0x' || substr(md5('{_v4}:' || row_index), 1, 12))::BIGINT AS
        CASE WHEN kind >= 2 THEN 'q' END AS queue, CASE WHEN kind >= 2 THEN 't' END AS type,
        CASE WHEN kind = 3 THEN 'row has more cells than the header' ELSE '' END AS error
 FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, doc_id % 4 AS kind, lang,
-             {_strip("translate(substr(text, 1, 40), chr(10) || chr(13), '  ') || ', x'")} AS subject
+             {_strip("text || ', x'")} AS subject
       FROM documents)
 """,
 )
