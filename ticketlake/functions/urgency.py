@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import URGENCY_HIGH, URGENCY_MEDIUM, URGENCY_WORDS
@@ -28,6 +28,11 @@ def _may_overlap(a: Sequence[str], b: Sequence[str]) -> bool:
     return False
 
 
+# entries up to which all pairs are looked at for overlaps; table rows that are broadcast
+_PAIRS = 200
+_BROADCAST_ROWS = 100_000
+
+
 def split_lexicon(lexicon: Sequence[str]) -> tuple[list[str], list[str]]:
     """Entries one alternation can find, and entries that need a search of their own.
 
@@ -44,8 +49,15 @@ def split_lexicon(lexicon: Sequence[str]) -> tuple[list[str], list[str]]:
 
 
 def signals(text: Column, lexicon: Sequence[str] = URGENCY_WORDS) -> Column:
-    """Lexicon entries found as whole words, each once, in lexicon order."""
+    """Lexicon entries found as whole words, each once, in lexicon order.
+
+    A few overlapping entries are searched one by one; many are looked up (``indexed_signals``).
+    """
     lowered = F.lower(text)
+    if len(lexicon) > SEARCHED and all(map(indexable, lexicon)):
+        together, alone = split_lexicon(lexicon) if len(lexicon) <= _PAIRS else ([], lexicon)
+        if len(alone) > SEARCHED:
+            return indexed_signals(text, list(dict.fromkeys(lexicon)))
     together, alone = split_lexicon(lexicon)
 
     def pattern(entries: Sequence[str]) -> str:
@@ -74,6 +86,70 @@ def signals(text: Column, lexicon: Sequence[str] = URGENCY_WORDS) -> Column:
     return F.array_intersect(F.array(*(F.lit(e) for e in lexicon)), hits)
 
 
+#: what a word is, and entries beyond which overlapping ones are looked up instead of searched one by one
+_WORD = r"[\p{L}\p{N}_]+"
+SEARCHED = 8
+
+
+def indexable(entry: str) -> bool:
+    """Whether an entry begins and ends with a word, so that it can only match whole runs of words."""
+    return bool(re.fullmatch(r"\w(.*\w)?", entry, re.S))
+
+
+def word_runs(text: Column, most: int) -> Column:
+    """Distinct runs of up to ``most`` words in lower case, each with what stands between its words.
+
+    Runs of k words come from those of k - 1, so a text is read once, whatever is looked up in them.
+    """
+    lowered = F.lower(text)
+    words = F.regexp_extract_all(lowered, F.lit(_WORD), F.lit(0))
+    between = F.split(lowered, _WORD, -1)  # one more than there are words
+
+    def longer(p: Column, runs_before: Column, k: int) -> Column:
+        rest = F.greatest(F.size(p["w"]) - k, F.lit(0))
+        return F.transform(
+            F.slice(runs_before, F.lit(1), rest),
+            lambda run, i: F.concat(run, F.get(p["b"], i + k), F.get(p["w"], i + k)),
+        )
+
+    def runs(p: Column) -> Column:
+        out = [p["w"]]
+        for k in range(1, most):
+            out.append(longer(p, out[-1], k))
+        return F.array_distinct(F.concat(*out))
+
+    # bound once: what a lambda refers to would else be worked out for each element
+    return F.transform(F.array(F.struct(words.alias("w"), between.alias("b"))), runs)[0]
+
+
+def indexed_signals(text: Column, lexicon: Sequence[str]) -> Column:
+    """What ``signals`` finds, for entries that are ``indexable``: a hash lookup per run of words.
+
+    The cost of a text does not depend on the number of entries, nor on how they overlap.
+    """
+    most = max(len(_words(e)) for e in lexicon)
+    hits = F.filter(word_runs(text, most), lambda run: run.isin(list(lexicon)))
+    place = F.array(*map(F.lit, lexicon))
+    ordered = F.array_sort(F.transform(hits, lambda e: F.struct(F.array_position(place, e).alias("at"), e.alias("entry"))))
+    return F.transform(ordered, lambda x: x["entry"])
+
+
+def table_signals(rows: DataFrame, lexicon: DataFrame, most: int, id_col: str = "ticket_id", text_col: str = "text") -> DataFrame:
+    """(id, signals_found) of rows in which entries of a lexicon table are found, in the order of ``ord``.
+
+    ``lexicon`` has ``entry`` (in lower case, of up to ``most`` words) and ``ord``; it may hold any number of
+    entries. Only runs of words that are entries go on: by broadcast where the lexicon is counted to be
+    small, by shuffle of the distinct runs beyond. Rows without a hit are left out; those that share an id
+    are one.
+    """
+    runs = rows.select(id_col, F.explode(word_runs(F.col(text_col), most)).alias("entry"))
+    entries = lexicon.groupBy("entry").agg(F.min("ord").alias("ord"))
+    small = entries.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS
+    found = runs.join(F.broadcast(entries) if small else entries, "entry").select(id_col, F.struct("ord", "entry").alias("hit"))
+    ordered = F.array_sort(F.collect_set("hit"))  # bounded by a text's words
+    return found.groupBy(id_col).agg(F.transform(ordered, lambda x: x["entry"]).alias("signals_found"))
+
+
 def signal_score(found: Column) -> Column:
     """One hit scores 0.5, two or more 1.0."""
     return F.least(F.size(found) * F.lit(0.5), F.lit(1.0))

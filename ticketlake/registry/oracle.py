@@ -1231,3 +1231,28 @@ _oracle(
     ["tickets_raw"],
     f"SELECT ticket_id, queue, priority, {_queue_topic('queue')} AS mapped_topic, {_priority_urgency('priority')} AS mapped_urgency FROM tickets_raw",
 )
+
+
+def _runs(table: str, key: str) -> str:
+    """Words, and pairs of words with what stands between them, of each text in lower case."""
+    word = r"[\p{L}\p{N}_]+"
+    return f"""
+SELECT {key}, unnest(w) AS entry FROM (
+  SELECT {key}, regexp_extract_all(lower(text), '{word}') AS w FROM {table})
+UNION
+SELECT {key}, w[i] || b[i + 1] || w[i + 1] FROM (
+  SELECT {key}, w, b, unnest(range(1, len(w))) AS i FROM (
+    SELECT {key}, regexp_extract_all(lower(text), '{word}') AS w, string_split_regex(lower(text), '{word}') AS b FROM {table}))
+"""
+
+
+_oracle(
+    "lexicon_table_signals",
+    [],
+    f"""
+SELECT doc_id AS ticket_id, count(*)::INT AS n_signals, md5(string_agg(entry, '|' ORDER BY md5(entry))) AS digest
+FROM ({_runs('documents', 'doc_id')})
+WHERE entry IN (SELECT entry FROM ({_runs('benchmark', 'item_id')}) WHERE regexp_matches(entry, '^[^ ]+( [^ ]+)?$'))
+GROUP BY doc_id
+""",
+)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import labels, text, topic
+from ..functions import urgency as urgency_fn
 from ..functions.scorers import text_classifier, text_embedder
 from ..operators import canonical as canon
 from ..operators import mappings as mp
@@ -319,6 +320,19 @@ def urgency_signals(spark, d):
     )
 
 
+@query
+def lexicon_table_signals(spark, d):
+    """All words and pairs of words of the benchmark, thousands of overlapping entries, looked up in each document."""
+    runs = F.explode(urgency_fn.word_runs(F.col("text"), 2)).alias("entry")
+    entries = views.table(spark, d, "benchmark").select(runs).where("entry RLIKE '^[^ ]+( [^ ]+)?$'")
+    lexicon = stage(entries.distinct().withColumn("ord", F.md5("entry")), "lexicon")
+    docs = views.table(spark, d, "documents").withColumnRenamed("doc_id", "ticket_id")
+    found = urgency_fn.table_signals(docs, lexicon, 2)
+    return found.select(
+        "ticket_id", F.size("signals_found").alias("n_signals"), F.md5(F.array_join("signals_found", "|")).alias("digest")
+    )
+
+
 @query
 def urgency_level(spark, d):
     rows = views.urgent(spark, d).select("ticket_id", "urgency_score", "urgency")
