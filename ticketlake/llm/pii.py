@@ -6,9 +6,10 @@ source characters it stands for:
 
 * look-alike letters, full-width and other decimal digits, typographic dashes, dots and spaces
   become ASCII, invisible characters go;
-* spelled digits become digits, and what separates two of them goes; "plus" before one
-  becomes "+";
-* "at" and "dot", bracketed or as words, with the spaces around them, become "@" and ".".
+* spelled digits become digits, and white space, a comma or another sign between two of them goes; "plus"
+  before one becomes "+";
+* "at" and "dot", bracketed with white space of any kind and length around them, or as words between
+  spaces, become "@" and ".".
 
 The same patterns then run on the rewritten text, and matches that hold something
 rewritten are mapped back to source spans. Such a span is added unless it is equal to or inside
@@ -170,8 +171,10 @@ class Rewritten:
 _NUMBER = "|".join(DIGITS)
 _SPELLED = re.compile(rf"(?:{_NUMBER})(?![a-z])")
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]")
-#: an opening bracket, the word or sign, the closing one; with the spaces around
-_BRACKETED = re.compile(r" {0,4}[\[({<] {0,4}(at|@|dot|\.) {0,4}[\])}>] {0,4}", re.I)
+#: an opening bracket, the word or sign, the closing one; white space around is taken by ``_bracketed``
+_BRACKETED = re.compile(r"[\[({<]\s*(at|@|dot|\.)\s*[\])}>]", re.I)
+#: between two spelled digits: white space of any kind and length, with one sign at most
+_GAP = re.compile(r"(?=[\s,;/-])\s*[,;/-]?\s*")
 _BARE = re.compile(r"(?<=[A-Za-z0-9]) +(at|@|dot|\.) +(?=[A-Za-z0-9])", re.I)
 _BEGINS = re.compile(r"\.[A-Z][a-z]")
 
@@ -193,6 +196,25 @@ def _number_words(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _bracketed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Bracketed signs with all white space around them; each character is looked at a few times at most."""
+    end = 0
+    for m in _BRACKETED.finditer(text):
+        a, b = m.span()
+        while a > end and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        # white space alone may lie between two signs: it is the first one's
+        yield max(a, end), b, m.group(1).lower()
+        end = b
+
+
+def _bare(text: str) -> Iterator[tuple[int, int, str]]:
+    for m in _BARE.finditer(text):
+        yield m.start(), m.end(), m.group(1).lower()
+
+
 def rewrite(text: str) -> Rewritten | None:
     """The text rewritten; null where there is nothing to rewrite."""
     out = None
@@ -211,18 +233,18 @@ def rewrite(text: str) -> Rewritten | None:
         edits, last = [], None
         for a, b, digit in numbers:
             gap = out.text[last:a] if last is not None else None
-            if gap is not None and re.fullmatch(r"[ -]{1,2}", gap):
+            if gap is not None and _GAP.fullmatch(gap):
                 edits.append((last, a, "", 1))
             elif re.search(r"(?i)(?<![a-z])plus $", out.text[max(0, a - 6) : a]):
                 edits.append((a - 5, a, "+", 1))
             edits.append((a, b, digit, 1))
             last = b
         out.replace(edits)
-    for pattern, weak in ((_BRACKETED, {}), (_BARE, {"at": 2, ".": 3})):
-        edits = []
-        for m in pattern.finditer(out.text if out else text):
-            found = m.group(1).lower()
-            edits.append((m.start(), m.end(), "@" if found in ("at", "@") else ".", weak.get(found, 1)))
+    for signs, weak in ((_bracketed, {}), (_bare, {"at": 2, ".": 3})):
+        edits = [
+            (a, b, "@" if found in ("at", "@") else ".", weak.get(found, 1))
+            for a, b, found in signs(out.text if out else text)
+        ]
         if edits:
             out = out or Rewritten(text)
             out.replace(edits)
