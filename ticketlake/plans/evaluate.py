@@ -21,6 +21,7 @@ from ..operators.quantiles import (
     value_weights,
     weighted_quantiles,
 )
+from ..operators.sketches import ERROR, merged_sketches, sketched_quantiles, sketches
 from ..operators.tables import (
     crosstab,
     dense_distribution,
@@ -649,13 +650,33 @@ _FILTERS = ["action", "predicted_topic", "predicted_urgency"]
 def store_folds(results: DataFrame, path: str, run: str) -> None:
     """Keep one run's folds below ``path``; storing a run again replaces it.
 
-    Two tables: counts per combination of KEYS, and how often each runtime occurs per tool
-    path. Both hold the values reports can be filtered by.
+    Three tables: counts per combination of KEYS, how often each runtime occurs per tool
+    path, and sketches of the runtimes. All hold the values reports can be filtered by.
     """
     frame = eval_frame(results)
     fold(frame).write.mode("overwrite").parquet(f"{path}/counts/run={run}")
     spent = value_weights(frame, "runtime_seconds", ["tool_path", *_FILTERS])
     spent.write.mode("overwrite").parquet(f"{path}/runtimes/run={run}")
+    store_runtime_sketches(frame, path, run)
+
+
+def store_runtime_sketches(frame: DataFrame, path: str, run: str, error: float = ERROR) -> None:
+    """Keep a run's runtimes as sketches of fixed size per tool path and filter values."""
+    by = ["tool_path", *(c for c in _FILTERS if c in frame.columns)]
+    sketches(frame, "runtime_seconds", by, error).write.mode("overwrite").parquet(f"{path}/sketches/run={run}")
+
+
+def sketched_runtimes(
+    spark: SparkSession,
+    path: str,
+    probs: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 0.95, 1.0),
+    actions: Sequence[str] | None = None,
+    topics: Sequence[str] | None = None,
+    urgencies: Sequence[str] | None = None,
+) -> DataFrame:
+    """tool_path, n and q, approximate quantiles of the runtimes of all runs, from their sketches alone."""
+    kept = filtered(spark.read.parquet(f"{path}/sketches").drop("run"), actions, topics, urgencies)
+    return sketched_quantiles(merged_sketches(kept, ["tool_path"]), probs)
 
 
 def read_folds(spark: SparkSession, path: str, runs: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -1256,3 +1256,14 @@ WHERE entry IN (SELECT entry FROM ({_runs('benchmark', 'item_id')}) WHERE regexp
 GROUP BY doc_id
 """,
 )
+
+
+_oracle(
+    "runtime_sketches",
+    ["runtimes"],
+    """
+SELECT tool_path, count(*) AS n, p::DOUBLE AS p, 1 AS within
+FROM runtimes, (VALUES (0.05), (0.25), (0.5), (0.75), (0.95)) v(p)
+WHERE runtime_seconds IS NOT NULL GROUP BY tool_path, p
+""",
+)

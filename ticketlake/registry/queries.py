@@ -790,6 +790,26 @@ def merged_runs_buckets(spark, d):
     return _round(made, "mean_margin", "topic_pct", "urgency_pct")
 
 
+@query
+def runtime_sketches(spark, d):
+    """Sketched quantiles of two runs' runtimes, and whether the exact rank of each is within the error."""
+    path, error, probs = new_folder(spark, "sketches"), 0.02, [0.05, 0.25, 0.5, 0.75, 0.95]
+    spent = stage(views.view(spark, d, "runtimes"), "runtimes")
+    for name, part in (("short", F.col("runtime_seconds") < 25), ("long", F.col("runtime_seconds") >= 25)):
+        ev.store_runtime_sketches(spent.where(part), path, name, error)
+    found = ev.sketched_runtimes(spark, path, probs)
+    asked = F.arrays_zip(F.array(*map(F.lit, probs)).alias("p"), F.col("q").alias("at"))
+    points = found.select("tool_path", "n", F.inline(asked))
+    value, at = F.col("runtime_seconds"), F.col("at")
+    ranks = (
+        spent.join(F.broadcast(points), "tool_path")  # one row per tool path and p
+        .groupBy("tool_path", "n", "p")
+        .agg(F.count_if(value < at).alias("below"), F.count_if(value <= at).alias("upto"))
+    )
+    within = (F.col("below") / F.col("n") - error <= F.col("p")) & (F.col("p") <= F.col("upto") / F.col("n") + error)
+    return ranks.select("tool_path", "n", "p", within.cast("int").alias("within"))
+
+
 # --- profile ----------------------------------------------------------------------------
 
 
