@@ -106,11 +106,13 @@ def _high(squared: np.ndarray) -> np.ndarray:
     return np.nextafter(np.sqrt(squared), np.inf)
 
 
-def _beyond(a: np.ndarray, b: np.ndarray, best: np.ndarray) -> np.ndarray:
-    """Whether a - b, rounded down, is more than ``best``."""
-    if a.dtype == object or b.dtype == object:
-        return (a - b > best).astype(bool)
-    return np.nextafter(a - b, -np.inf) > best
+def _bound(squared: np.ndarray) -> np.ndarray:
+    """What a difference of doubles must exceed to be, unrounded, more than the square root.
+
+    One step above ``_high``: a rounded difference is at most one part in 2**53 too large.
+    """
+    high = _high(squared)
+    return high if high.dtype == object else np.nextafter(high, np.inf)
 
 
 # --- the tree ---------------------------------------------------------------------------------
@@ -142,7 +144,7 @@ def build(entries: np.ndarray, at: np.ndarray | None = None) -> Node:
     at = np.arange(len(entries)) if at is None else at
     if len(at) <= LEAF:
         return Node(at)
-    taken = _spread(entries, at)
+    taken = sorted(_spread(entries, at))
     splits, rest = at[taken], np.delete(at, taken)
     to_splits = _squared(entries[rest], entries[splits])
     nearest = np.argmin(to_splits, axis=1)
@@ -168,32 +170,30 @@ class Search:
         self.best = _squared(queries, entries[:1])[:, 0]
         self.compared = 0
 
-    def _offer(self, rows: np.ndarray, found: np.ndarray, entry: int) -> None:
+    def _offer(self, rows: np.ndarray, found: np.ndarray, entry: np.ndarray) -> None:
         """Exact comparison; of equal distances the lower index stays."""
         have = self.best[rows]
         better = ((found < have) | ((found == have) & (entry < self.index[rows]))).astype(bool)
         self.best[rows[better]] = found[better]
-        self.index[rows[better]] = entry
-        self.compared += len(rows)
+        self.index[rows[better]] = entry[better]
 
     def run(self, node: Node, rows: np.ndarray) -> None:
         squared = _squared(self.queries[rows], self.entries[node.splits])
-        alive = np.ones(squared.shape, bool)
-        for i, entry in enumerate(node.splits):
-            at = np.flatnonzero(alive[:, i])
-            if not len(at):
-                continue
-            self._offer(rows[at], squared[at, i], int(entry))
-            if node.low is None:
-                continue
-            near, far = _low(squared[at, i])[:, None], _high(squared[at, i])[:, None]
-            best = _high(self.best[rows[at]])[:, None]
-            out = _beyond(near, node.high[i][None, :], best) | _beyond(node.low[i][None, :], far, best)
-            alive[at] &= ~out
+        self.compared += squared.size
+        # splits are in ascending order, so the first of equals is the lowest
+        at = np.argmin(squared, axis=1)
+        self._offer(rows, squared[np.arange(len(rows)), at], node.splits[at])
+        if node.low is None:
+            return
+        near, far, best = _low(squared), _high(squared), _bound(self.best[rows])[:, None]
+        out = np.zeros(squared.shape, bool)
+        for i in range(len(node.splits)):
+            out |= (near[:, i, None] - node.high[i] > best).astype(bool)
+            out |= (node.low[i] - far[:, i, None] > best).astype(bool)
         for j, child in enumerate(node.children):
-            at = np.flatnonzero(alive[:, j]) if child else ()
-            if len(at):
-                self.run(child, rows[at])
+            left = np.flatnonzero(~out[:, j]) if child else ()
+            if len(left):
+                self.run(child, rows[left])
 
 
 @dataclass
